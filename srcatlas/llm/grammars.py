@@ -110,7 +110,7 @@ type = ( "readonly" | "MOD" | "keyof" | "unique" | "typeof" | "infer" | "asserts
 tprim = ID | NUM | STR | "-" NUM | "null" | "true" | "false" | "void" | "this" | "import" args | "(" type ")" | tobj | "[" ( tel ( "," tel )* ","? )? "]" | "TYPEKW" | "const" ;
 tel = "..."? ( ID "?"? ":" )? type "?"? ;
 tpost = "[" type? "]" | "." ID | "<" type ( "," type )* ( ">" | ">>" ) | "!" ;
-tobj = "{" ( tmem ( ";" | "," )? )* "}" ;
+tobj = "{" ( tmem ( ";" | "," ) )* tmem? "}" ;
 tmem = ( "MOD" | "get" | "set" | "-" | "+" )* ( key OPT? ( ":" type | tparams? params ret? )? | "[" ID ( ":" | "in" ) type ( "as" type )? "]" "-"? OPT? ":" type | "new"? params ret? | tparams params ret? ) ;
 """,
     "csharp": r"""
