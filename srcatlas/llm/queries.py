@@ -122,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": "SELECT revision FROM contents WHERE octet_length(bytes) > 4096",
         "p3_found": """
             WITH cur AS (SELECT key, arg_max(vector, touched) AS v FROM vector_cache GROUP BY key),
-            ok AS (SELECT key, v FROM cur WHERE len(v) = 64 AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
-            u AS (SELECT key, list_transform(v, x -> CAST(x AS DOUBLE) / m) AS v FROM (SELECT key, v, list_max(list_transform(v, x -> abs(CAST(x AS DOUBLE)))) AS m FROM ok))
+            ok AS (SELECT key, v FROM cur WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+            u AS (SELECT key, list_transform(v, lambda x: CAST(x AS DOUBLE) / m) AS v FROM (SELECT key, v, list_max(list_transform(v, lambda x: abs(CAST(x AS DOUBLE)))) AS m FROM ok))
             SELECT a.key AS key_a, b.key AS key_b FROM u a JOIN u b ON a.key < b.key WHERE list_cosine_similarity(a.v, b.v) >= 0.9""",
     }
