@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import hierarchies
+from . import hierarchies, retrieval, structure
 
-MODULES = [hierarchies]
+MODULES = [hierarchies, retrieval, structure]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["p6_hierarchy"](spark, d)
+    return queries()["search"](spark, d)
