@@ -31,7 +31,8 @@ externitem = "extern" STR? ( "{" item* "}" | "crate" ID ";" | fnitem ) ;
 generics = "<" ( gparam ( "," gparam )* ","? )? ">" ;
 gparam = LIFE ( ":" LIFE ( "+" LIFE )* )? | "const" ID ":" type | ID ( ":" bounds )? ( "=" type )? ;
 bounds = ( "?"? ( path | LIFE | "for" generics path ) ( "+" "?"? ( path | LIFE ) )* ) ;
-where = "where" ( type ":" bounds ","? )* ;
+where = "where" ( whereitem ( "," whereitem )* ","? )? ;
+whereitem = ( "for" generics )? ( type | LIFE ) ":" bounds? ;
 fnitem = ( "const" | "async" | "unsafe" | "extern" STR? )* "fn" ID generics? "(" ( attr* param ( "," attr* param )* ","? )? ")" ( "->" type )? where? ( block | ";" ) ;
 param = "&"? LIFE? "mut"? "self" ( ":" type )? | pat ":" type | type | "..." ;
 structitem = "struct" ID generics? where? ( fields | ";" | "(" ( vis? type ( "," vis? type )* ","? )? ")" where? ";" ) ;
@@ -57,7 +58,7 @@ pat = "|"? pat1 ( "|" pat1 )* ;
 pat1 = ( "ref" | "mut" )* ID ( "@" pat )? | "_" | ".." | "..=" patlit | patlit ( ( ".." | "..=" | "..." ) patlit? )? | path ( "(" ( pat ( "," pat )* ","? )? ")" | "{" ( fpat ( "," fpat )* ","? )? "}" )? | "(" ( pat ( "," pat )* ","? )? ")" | "[" ( pat ( "," pat )* ","? )? "]" | "&" "mut"? pat | "&&" pat | macro | "box" pat ;
 fpat = ( ID ":" pat | ( "ref" | "mut" )* ID | ".." | NUM ":" pat ) ;
 patlit = "-"? NUM | STR | "true" | "false" | path ;
-blockexpr = ( LIFE ":" )? ( "unsafe" | "async" "move"? | "const" )? block | "if" cond block ( "else" ( "if" cond block | block ) )* | ( LIFE ":" )? "loop" block | ( LIFE ":" )? "while" cond block | ( LIFE ":" )? "for" pat "in" expr block | "match" expr "{" attr* ( pat ( "if" expr )? "=>" expr ( "," attr* pat ( "if" expr )? "=>" expr )* ","? )? "}" | "match" expr "{" ( pat ( "if" expr )? "=>" expr ","? )* "}" ;
+blockexpr = ( LIFE ":" )? ( "unsafe" | "async" "move"? | "const" )? block | "if" cond block ( "else" ( "if" cond block | block ) )* | ( LIFE ":" )? "loop" block | ( LIFE ":" )? "while" cond block | ( LIFE ":" )? "for" pat "in" expr block | "match" expr "{" ( attr* pat ( "if" expr )? "=>" ( blockexpr ","? | expr "," ) )* ( attr* pat ( "if" expr )? "=>" expr )? "}" ;
 cond = expr | "let" pat "=" expr ( "&&" ( expr | "let" pat "=" expr ) )* ;
 expr = unary* primary postfix* ( bin expr )? | unary* primary postfix* "as" type ( bin expr )? | range | "return" expr? | "break" LIFE? expr? | "continue" LIFE? | closure ;
 range = expr? ( ".." | "..=" ) expr? ;
@@ -73,7 +74,7 @@ margs = ( expr ( ( "," | ";" | "=>" ) expr )* ( "," | ";" )? | ID "=" expr | typ
     "typescript": r"""
 file = stmt* ;
 stmt = block | ";" | decl | "import" imp | "export" exp | "if" "(" e ")" stmt ( "else" stmt )? | "for" "await"? "(" forhead ")" stmt | "while" "(" e ")" stmt | "do" stmt "while" "(" e ")" ";"? | "return" e? ";" | ( "break" | "continue" ) ID? ";" | "throw" e ";" | "try" block ( "catch" ( "(" bind ")" )? block )? ( "finally" block )? | "switch" "(" e ")" "{" ( ( "case" e | "default" ) ":" stmt* )* "}" | ID ":" stmt | e ";" | "debugger" ";" ;
-endings = ";" | "return" | "break" | "continue" | "debugger" | ID | NUM | STR | ")" | "]" | "}" | "++" | "--" | "this" | "null" | "true" | "false" | "super" ;
+endings = ";" | "return" | "break" | "continue" | "debugger" | ID | NUM | STR | "TPL" | ")" | "]" | "}" | "++" | "--" | "this" | "null" | "true" | "false" | "super" ;
 block = "{" stmt* "}" ;
 decl = ( "const" | "let" | "var" ) "enum"? bind ( "," bind )* ";" | "async"? "function" "*"? ID? tparams? params ret? ( block | ";" ) | decorator* "abstract"? "class" ID? tparams? ( "extends" e )? ( "implements" type ( "," type )* )? cbody | TYPED ;
 bind = target "!"? ( ":" type )? ( "=" e )? ;
@@ -95,11 +96,11 @@ KW = "default" | "import" | "export" | "class" | "new" | "delete" | "in" | "of"
 e = ( unary* prim post* | arrow ) ( ( bin | "?" e ":" | "=" | "ASG" | "," ) e )? | "yield" "*"? e? | unary* prim post* ( "as" | "is" ) ( type | "const" ) ;
 unary = "!" | "-" | "+" | "~" | "++" | "--" | "typeof" | "void" | "delete" | "await" | "..." | "new" ;
 bin = "BIN" | "-" | "+" | "*" | "<" | ">" | "in" | "of" | "instanceof" | "|" | "&" | "/" | "??" ;
-prim = ID | NUM | STR | "this" | "super" | "null" | "true" | "false" | "(" e? ")" | "[" ( ","* e ( ","+ e )* ","? )? "]" | obj | "async"? "function" "*"? ID? tparams? params ret? block | decorator* "class" ID? tparams? ( "extends" e )? cbody | "new" "." ID | "import" ( "." ID | args ) | SOFT ;
+prim = ID | NUM | STR | "TPL" | "this" | "super" | "null" | "true" | "false" | "(" e? ")" | "[" ( ","* e ( ","+ e )* ","? )? "]" | obj | "async"? "function" "*"? ID? tparams? params ret? block | decorator* "class" ID? tparams? ( "extends" e )? cbody | "new" "." ID | "import" ( "." ID | args ) | SOFT ;
 SOFT = "of" | "get" | "set" | "type" | "from" | "as" | "async" | "is" | "await" | "yield" | "let" | "static" | "MOD" | "abstract" | "TYPEKW" ;
 obj = "{" ( prop ( "," prop )* ","? )? "}" ;
 prop = "..." e | ( "async" | "get" | "set" )* "*"? key ( OPT? ":" e | tparams? params ret? block | "=" e )? ;
-post = "." key | "?." ( key | args | "[" e "]" ) | args | "[" e "]" | STR | "++" | "--" | "!" | "<" type ( "," type )* ">" ( args | STR ) ;
+post = "." key | "?." ( key | args | "[" e "]" ) | args | "[" e "]" | "TPL" | "++" | "--" | "!" | "<" type ( "," type )* ">" ( args | "TPL" ) ;
 args = "(" ( e ( "," e )* ","? )? ")" ;
 arrow = "async"? ( ID | tparams? params ret? ) "=>" ( e | block ) ;
 """,
@@ -107,7 +108,7 @@ arrow = "async"? ( ID | tparams? params ret? ) "=>" ( e | block ) ;
 TYPED = "MOD"? ( ( "interface" | "TYPEKW" ) ID tparams? ( "extends" type ( "," type )* )? tobj | "type" ID tparams? "=" type ";" | ( "namespace" | "module" ) ( ID ( "." ID )* | STR ) block | "const"? "enum" ID "{" ( key ( "=" e )? ( "," key ( "=" e )? )* ","? )? "}" ) | "MOD" ( decl | "TYPEKW" block ) ;
 tparams = "<" ( "const" | "in" | "out" )* ID ( "extends" type )? ( "=" type )? ( "," ID ( "extends" type )? ( "=" type )? )* ","? ">" ;
 type = ( "readonly" | "MOD" | "keyof" | "unique" | "typeof" | "infer" | "asserts" | "abstract" | "new" )* tprim tpost* ( ( "|" | "&" | "extends" | "is" ) type )? ( "?" type ":" type )? | ( "|" | "&" ) type | "new"? tparams? params "=>" type ;
-tprim = ID | NUM | STR | "-" NUM | "null" | "true" | "false" | "void" | "this" | "import" args | "(" type ")" | tobj | "[" ( tel ( "," tel )* ","? )? "]" | "TYPEKW" | "const" ;
+tprim = ID | NUM | STR | "TPL" | "-" NUM | "null" | "true" | "false" | "void" | "this" | "import" args | "(" type ")" | tobj | "[" ( tel ( "," tel )* ","? )? "]" | "TYPEKW" | "const" ;
 tel = "..."? ( ID "?"? ":" )? type "?"? ;
 tpost = "[" type? "]" | "." ID | "<" type ( "," type )* ( ">" | ">>" ) | "!" ;
 tobj = "{" ( tmem ( ";" | "," ) )* tmem? "}" ;
@@ -154,8 +155,8 @@ decl = fn | ( "MOD" )* ( "class" ID ( "extends" ID )? ( "implements" ID ( "," ID
 fn = "function" "&"? nm params ( ":" type )? ( block | ";" ) ;
 nm = ID | KW ;
 KW = "MOD" | "class" | "function" | "use" | "new" | "echo" | "print" | "default" | "list" | "array" | "isset" | "unset" | "empty" | "clone" | "static" | "for" | "foreach" | "if" | "else" | "while" | "do" | "switch" | "case" | "match" | "try" | "catch" | "finally" | "throw" | "return" | "break" | "continue" | "const" | "global" | "include" | "namespace" | "trait" | "interface" | "enum" | "extends" | "implements" | "fn" | "yield" | "goto" | "declare" | "as" | "null" | "true" | "false" | "instanceof" | "and" | "exit" | "self" ;
-member = attrs* ( "MOD" | "static" | "var" )* ( fn | type? VAR ( "=" e )? ( "," VAR ( "=" e )? )* ( ";" | "{" any "}" ) | "const" type? nm "=" e ( "," nm "=" e )* ";" | "case" nm ( "=" e )? ";" ) | "use" ID ( "," ID )* ( ";" | "{" any "}" ) ;
-any = ( ID | "::" | "as" | "MOD" | ";" | ID ID | "=>" e )* ;
+member = attrs* ( "MOD" | "static" | "var" )* ( fn | type? VAR ( "=" e )? ( "," VAR ( "=" e )? )* ( ";" | "{" ( ID params? ( "=>" e ";" | block ) )* "}" ) | "const" nm "=" e ( "," nm "=" e )* ";" | "case" nm ( "=" e )? ";" ) | "use" ID ( "," ID )* ( ";" | "{" any "}" ) ;
+any = ( ID ( "::" ID )? ( "insteadof" ID ( "," ID )* | "as" "MOD"? ID? ) ";" )* ;
 params = "(" ( param ( "," param )* ","? )? ")" ;
 param = attrs* ( "MOD" )* type? "&"? "..."? VAR ( "=" e )? ;
 type = "?"? tname ( ( "|" | "&" ) tname )* | "(" type ")" ( "|" type )? ;
@@ -192,7 +193,7 @@ table = "{" ( field ( ( "," | ";" ) field )* ( "," | ";" )? )? "}" ;
 field = "[" e "]" "=" e | ID "=" e | SOFT "=" e | e ;
 type = tprim ( "?" | ( "|" | "&" ) tprim )* | ( "|" | "&" ) type ;
 tprim = ID ( "." ID )? ( "<" ( type ( "," type )* )? ">" )? "..."? | STR | "nil" | "true" | "false" | "{" ( tfield ( ( "," | ";" ) tfield )* ( "," | ";" )? )? "}" | tparams? "(" ( ( ID ":" )? type ( "," ( ID ":" )? type )* )? ")" ( "->" type )? | ID "(" e ")" | "..." type | ID "..." ;
-tfield = ( ID | SOFT ) ":" type | "[" type "]" ":" type | ID ID ":" type | type ;
+tfield = ( ID | SOFT ) ":" type | "[" type "]" ":" type | type ;
 """,
     "dreammaker": r"""
 line = path ( "(" params ")" )? | path "=" e | path "{" | "var" path? ( "=" e )? ( "," ID ( "=" e )? )* | e | "if" "(" e ")" s? | "else" ( "if" "(" e ")" )? s? | "for" "(" head ")" s? | "while" "(" e ")" s? | "do" | "switch" "(" e ")" | "return" e? | ( "break" | "continue" ) ID? | "goto" ID | "del" e | "set" ID ( "=" | "in" ) e | "spawn" ( "(" e? ")" )? s? | ID ":" | "try" | "catch" ( "(" e ")" )? | "throw" e | "proc" | "verb" | path "in" e | "}" | "{" | "STR" ;

@@ -44,6 +44,7 @@ _INLINE_TAG = re.compile(r"</?(?:em|b|i|u|s|strong|code|span|a|mark|sub|sup|smal
 _TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑­][ \t]*\r?\n[ \t]*(?:(?:[>|*#;]|//|--)[ \t]*)*(?=\w)")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|[nrt])")
+_INNER = re.compile(r"(?<=[^\W_])[*`~]{1,3}(?=[^\W_])")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -55,6 +56,8 @@ def words(text: str) -> list[str]:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", _INLINE_TAG.sub("", text))
+    if "*" in text or "`" in text or "~" in text:
+        text = _INNER.sub("", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.translate(_FOLD)).casefold()
         text = "".join(c for c in text if not unicodedata.combining(c)).translate(_FOLD)

@@ -24,7 +24,7 @@ class _Memo(dict):
     def __init__(self, family: str):
         super().__init__()
         pairs, _, _ = adjacent(family)
-        names = sorted({x for p in pairs for x in p} | {"ID", "NUM", "STR", "BAD", "START", "END", "NL", "VAR", "LIFE", "TAG", "ATTR", "DECO"})
+        names = sorted({x for p in pairs for x in p} | {"ID", "NUM", "STR", "BAD", "START", "END", "NL", "VAR", "LIFE", "TAG", "ATTR", "DECO", "TPL"})
         self.family, self.code = family, {n: chr(0x100 + i) for i, n in enumerate(names)}
         self.words = {}
         for table in (OPERATORS[family], WORDS[family]):
@@ -43,6 +43,8 @@ class _Memo(dict):
             if c in "\"'`" or t[-1] in "\"'`":
                 if c == "'" and t[-1] != "'" and family == "rust":
                     return "LIFE"
+                if c == "`" and family in ("typescript", "javascript"):
+                    return "TPL"
                 return "STR"
             if c == "#" and family in ("csharp", "php", "dreammaker") and t != "#[":
                 return None
@@ -117,7 +119,7 @@ def _productions(family: str) -> list[re.Pattern]:
         return re.compile(re.sub(r"<([^<>]+)>", lambda x: re.escape(m[x[1]]) if x[1] in m else re.escape(m["BAD"]), p.replace("<lt>", re.escape(m.get("<", m["BAD"])))))
 
     if family == "rust":
-        return [rx("<const><ID>(?!<:>|<,>|<=>)"), rx("<static><ID><=>"), rx("<struct><ID>(?![<{><;>(]|<lt>|<(>|<where>|<{>|<;>)"), rx("<for>(?:<ID>|<_>)<(>"), rx("<let><ID><ID>")]
+        return [rx("(?<!<*>)<const><ID>(?!<:>)"), rx("<static><ID><=>"), rx("<struct><ID>(?![<{><;>(]|<lt>|<(>|<where>|<{>|<;>)"), rx("<for>(?:<ID>|<_>)<(>"), rx("<let><ID><ID>")]
     json = rx(r"\A<{><STR><:>")
     if family in ("typescript", "csharp"):
         return [json]
