@@ -54,9 +54,9 @@ def container_scopes(container: str | None) -> list[list[str]]:
     return [[re.sub(r"<.*$", "", p).strip() for p in re.split(r"::|[\\./]", n) if p.strip()] for n in names]
 
 
-def qualified(definitions: DataFrame, qualifier: list[str], name: str) -> DataFrame:
+def qualified(definitions: DataFrame, qualifier: list[str], name: str | None) -> DataFrame:
     """``A::b``: definitions ``b`` whose owners - module path and container - end with the qualifier (tier 0) or hold it
-    in order (tier 1); only the best tier present is kept.  A substring test runs before the exact one."""
+    in order (tier 1); only the best tier present is kept.  Without a name, definitions of any name.  A substring test runs before the exact one."""
     owner = F.concat(module_segments(F.col("path")), F.when(F.col("container").isNull(), F.array()).otherwise(F.split("container", r"::|[\\./]")))
     hint: Column = F.lit(True)
     both = F.concat_ws("/", F.coalesce("container", F.lit("")), F.replace("path", F.lit("-"), F.lit("_")))
@@ -67,7 +67,8 @@ def qualified(definitions: DataFrame, qualifier: list[str], name: str) -> DataFr
     suffix = (F.size(owner) >= n) & (F.slice(owner, F.greatest(F.size(owner) - n + 1, F.lit(1)), n) == q)
     # position of the next qualifier element, or -1 once one is missing
     reached = F.aggregate(owner, F.lit(0), lambda i, x: F.when((i < n) & (F.get(q, i) == x), i + 1).otherwise(i))
-    hit = definitions.where((F.col("name") == name) & hint).withColumn("tier", F.when(suffix, 0).when(reached == n, 1)).where("tier IS NOT NULL")
+    named = F.lit(True) if name is None else F.col("name") == name
+    hit = definitions.where(named & hint).withColumn("tier", F.when(suffix, 0).when(reached == n, 1)).where("tier IS NOT NULL")
     best = Window.partitionBy()
     return hit.withColumn("best", F.min("tier").over(best)).where("tier = best").drop("best")
 

@@ -23,9 +23,7 @@ def rank_declarations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qualified_match(spark: SparkSession, d: str) -> DataFrame:
-    return N.qualified(R.definitions(spark, d).where("container IS NOT NULL"), ["Safe"], "constructor_").select("id", "tier").unionByName(
-        N.qualified(R.definitions(spark, d), ["Active"], "__index").select("id", "tier")
-    )
+    return N.qualified(R.definitions(spark, d), ["Safe"], None).select("id", "file_id", "span_start", "tier").distinct()
 
 
 def owner_hint(spark: SparkSession, d: str) -> DataFrame:
@@ -170,6 +168,9 @@ _SEG = r"array_to_string(list_transform(list_filter(string_split(regexp_replace(
 SQL = {
     "sym_exact": f"WITH {R.DEFS} SELECT id, file_id, row_number() OVER (ORDER BY {_TIERS}, {_T}::INT, -({_DEPTH}), path, span_start, span_end, id) AS rank FROM defs WHERE name = 'field2'",
     "rank_declarations": f"WITH {R.DEFS} SELECT DISTINCT id, file_id, span_start, {_TIERS} AS tier, {_T} AS test, {_DEPTH} AS depth FROM defs",
+    "qualified_match": f"""WITH {R.DEFS}, o AS (SELECT *, list_concat(string_split({_SEG}, '/'), CASE WHEN container IS NULL THEN [] ELSE regexp_split_to_array(container, '::|[\\\\./]') END) AS owner FROM defs),
+t AS (SELECT id, file_id, span_start, CASE WHEN owner[-1] = 'Safe' THEN 0 WHEN list_contains(owner, 'Safe') THEN 1 END AS tier FROM o)
+SELECT DISTINCT id, file_id, span_start, tier FROM t WHERE tier = (SELECT min(tier) FROM t)""",
     "owner_hint": f"WITH {R.DEFS} SELECT kind, count(*) AS n FROM defs WHERE contains(coalesce(container, '') || '/' || replace(path, '-', '_'), 'ring') GROUP BY kind",
     "module_segments": f"WITH {R.FILES} SELECT id, {_SEG} AS segments FROM f",
     "refs": f"WITH {R.DEFS} SELECT DISTINCT id, file_id, span_start, CASE WHEN {_T} THEN 3 WHEN kind = 'constant' THEN 0 WHEN kind = 'class' THEN 2 ELSE 1 END AS tier FROM defs",
