@@ -54,7 +54,9 @@ def exceeded(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
 def latency(rows: DataFrame, by: str, value: str, order: str, warm_up: int = 12) -> DataFrame:
     """Median and 95th percentile per group without its first ``warm_up`` rows."""
     w = Window.partitionBy(by).orderBy(order)
-    r = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") > warm_up)
+    # only the warm-up rows are ranked; the rest is kept by their last one
+    edge = rows.select(by, order).withColumn("n", F.row_number().over(w)).where(F.col("n") <= warm_up).groupBy(by).agg(F.max(order).alias("edge"))
+    r = rows.join(edge, by, "left").where(F.col("edge").isNull() | (F.col(order) > F.col("edge")))
     return r.groupBy(by).agg(F.count("*").alias("rows"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"))
 
 

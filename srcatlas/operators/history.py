@@ -69,8 +69,8 @@ def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
 def retained(windows: DataFrame, most_windows: int = 256, most_rows: int = 4096) -> DataFrame:
     """Whole windows (generation, rows) to keep: the newest ones within both limits.  One row per generation."""
     w = Window.orderBy(F.desc("generation")).rowsBetween(Window.unboundedPreceding, 0)
-    r = windows.withColumn("n", F.count("*").over(w)).withColumn("reach", F.sum("rows").over(w))
-    return r.where((F.col("n") <= most_windows) & (F.col("reach") <= most_rows)).drop("n", "reach")
+    newest = windows.orderBy(F.desc("generation")).limit(most_windows)
+    return newest.withColumn("reach", F.sum("rows").over(w)).where(F.col("reach") <= most_rows).drop("reach")
 
 
 def observations_since(observations: DataFrame, windows: DataFrame, after: int, upto: int) -> tuple[DataFrame, bool]:

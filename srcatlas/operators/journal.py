@@ -12,16 +12,26 @@ def debounce(events: DataFrame, by: list[str], quiet_ms: int = 75, longest_ms: i
 
     Columns: by, started, ended, events, tick.  Events without a time are left out.
     """
-    w = Window.partitionBy(*by).orderBy("ts")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = events.where("ts IS NOT NULL").withColumn("us", us)
-    e = e.withColumn("new", (F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(2**60)) > quiet_ms * 1000).cast("int"))
-    e = e.withColumn("burst", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    q = quiet_ms * 1000
+    e = events.where("ts IS NOT NULL").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    # a key's events are cut into buckets of time, so a key with a third of all rows is spread over tasks;
+    # a bucket needs only the last event before it and the bursts begun before it, from one row per bucket
+    size = max(q * 64, 3_600_000_000)
+    e = e.withColumn("bucket", F.floor(F.col("us") / size))
+    w = Window.partitionBy(*by, "bucket").orderBy("us")
+    e = e.withColumn("inner", (F.col("us") - F.lag("us").over(w) > q).cast("int"))
+    per = e.groupBy(*by, "bucket").agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.coalesce(F.sum("inner"), F.lit(0)).alias("inside"))
+    v = Window.partitionBy(*by).orderBy("bucket")
+    per = per.withColumn("opens", F.coalesce((F.col("lo") - F.lag("hi").over(v) > q).cast("int"), F.lit(1)))
+    per = per.withColumn("before", F.coalesce(F.sum(F.col("inside") + F.col("opens")).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    e = e.join(per.select(*by, "bucket", "opens", "before"), [*by, "bucket"])
+    run = F.coalesce(F.sum("inner").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    e = e.withColumn("burst", F.col("before") + F.col("opens") + run)
     if longest_ms is None:
         e = e.withColumn("tick", F.lit(0).cast("long"))
     else:
-        first = F.min("us").over(Window.partitionBy(*by, "burst"))
-        e = e.withColumn("tick", F.floor((F.col("us") - first) / (longest_ms * 1000)))
+        first = e.groupBy(*by, "burst").agg(F.min("us").alias("first"))
+        e = e.join(first, [*by, "burst"]).withColumn("tick", F.floor((F.col("us") - F.col("first")) / (longest_ms * 1000)))
     return e.groupBy(*by, "burst", "tick").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events")).drop("burst")
 
 
@@ -117,8 +127,12 @@ def receipt(prepared: int, accepted: int, flushed: bool) -> dict:
 
 def journal_segments(records: DataFrame, rotate: int, total: int) -> DataFrame:
     """Segment of each record (ts, id, size) by running size, and whether the newest segments within ``total`` keep it."""
-    w = Window.orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    r = records.withColumn("segment", F.floor((F.sum("size").over(w) - F.col("size")) / rotate))
+    # running sums by hour, then within the hour
+    h = records.withColumn("hour", F.date_trunc("hour", "ts"))
+    per = h.groupBy("hour").agg(F.sum("size").alias("sum"))
+    per = per.withColumn("before", F.coalesce(F.sum("sum").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("hour", "before")
+    w = Window.partitionBy("hour").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    r = h.join(per, "hour").withColumn("segment", F.floor((F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0))) / rotate))
     s = r.groupBy("segment").agg(F.sum("size").alias("bytes"))
     v = Window.orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, 0)
     return s.withColumn("kept", F.sum("bytes").over(v) <= total)

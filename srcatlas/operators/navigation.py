@@ -34,10 +34,10 @@ def shared_depth(path: Column, cwd: str) -> Column:
     return depth
 
 
-def rank_declarations(hits: DataFrame, cwd: str = "") -> DataFrame:
-    """Adds rank by (kind tier, test path, directories shared with ``cwd`` descending, path, start, end, id)."""
+def rank_declarations(hits: DataFrame, cwd: str = "", limit: int = 10_000) -> DataFrame:
+    """The first ``limit`` (a result's size) by (kind tier, test path, directories shared with ``cwd`` descending, path, start, end, id), with their rank."""
     keys = [kind_tier(F.col("kind")), is_test_path(F.col("path")).cast("int"), -shared_depth(F.col("path"), cwd), F.col("path"), F.col("span_start"), F.col("span_end"), F.col("id")]
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    return hits.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
 
 
 def symbols(definitions: DataFrame, name: str, cwd: str = "") -> DataFrame:
@@ -69,8 +69,8 @@ def qualified(definitions: DataFrame, qualifier: list[str], name: str | None) ->
     reached = F.aggregate(owner, F.lit(0), lambda i, x: F.when((i < n) & (F.get(q, i) == x), i + 1).otherwise(i))
     named = F.lit(True) if name is None else F.col("name") == name
     hit = definitions.where(named & hint).withColumn("tier", F.when(suffix, 0).when(reached == n, 1)).where("tier IS NOT NULL")
-    best = Window.partitionBy()
-    return hit.withColumn("best", F.min("tier").over(best)).where("tier = best").drop("best")
+    best = hit.agg(F.min("tier").alias("best"))  # one row
+    return hit.join(F.broadcast(best)).where("tier = best").drop("best")
 
 
 def follow_imports(start: DataFrame, imports: DataFrame, hops: int = 4) -> DataFrame:

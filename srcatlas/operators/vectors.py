@@ -90,8 +90,11 @@ def fair_turns(queue: DataFrame, query_turns: int = 3) -> DataFrame:
     """Order of service: roots take turns; after ``query_turns`` queries one background item.  ``queue``: root, arrived, background."""
     w = Window.partitionBy("root", "background").orderBy("arrived")
     r = queue.withColumn("nth", F.row_number().over(w))
-    v = Window.partitionBy("background").orderBy("nth", "root")
-    r = r.withColumn("place", F.row_number().over(v))
+    # place = rows of earlier turns + place within the turn
+    per = r.groupBy("background", "nth").agg(F.count("*").alias("n"))
+    per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("background").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    v = Window.partitionBy("background", "nth").orderBy("root")
+    r = r.join(per, ["background", "nth"]).withColumn("place", F.col("before") + F.row_number().over(v)).drop("before")
     slot = F.when(F.col("background"), F.col("place") * (query_turns + 1)).otherwise(F.col("place") + F.floor((F.col("place") - 1) / query_turns))
     return r.withColumn("slot", slot.cast("long"))
 

@@ -180,7 +180,8 @@ def agent_adoption(spark: SparkSession, d: str) -> DataFrame:
 
 def _member_hits(spark: SparkSession, d: str) -> DataFrame:
     f = R.files(spark, d).where("member IS NOT NULL")
-    return f.select("member", "id", F.row_number().over(Window.partitionBy("member").orderBy("id")).alias("rank"))
+    ranked = f.select("member", "id", F.row_number().over(Window.partitionBy("member").orderBy("id")).alias("rank"))
+    return ranked.where("rank <= 1000")
 
 
 def ws_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +189,7 @@ def ws_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ws_widen(spark: SparkSession, d: str) -> DataFrame:
-    return federation.widen(_member_hits(spark, d), "no-such-member").groupBy("member").agg(F.count("*").alias("hits"))
+    return federation.widen(R.files(spark, d).where("member IS NOT NULL"), "no-such-member").groupBy("member").agg(F.count("*").alias("hits"))
 
 
 def ws_scope(spark: SparkSession, d: str) -> DataFrame:
