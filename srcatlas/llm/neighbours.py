@@ -182,13 +182,13 @@ def _prepared(vectors: DataFrame, dims: int) -> tuple[DataFrame, DataFrame, int]
 
 
 def similar_pairs(
-    vectors: DataFrame, min_similarity: float = 0.9, list_size: int = 256, replicas: int = 6, ratio: float = 1.5, block: int = 4096, dims: int = DIMS, **fitting: int
+    vectors: DataFrame, min_similarity: float = 0.9, list_size: int = 256, replicas: int = 6, ratio: float = 1.5, block: int = 4096, max_copies: int = 16, dims: int = DIMS, **fitting: int
 ) -> DataFrame:
     """(key_a, key_b, similarity): unordered pairs of usable vectors whose cosine is at least ``min_similarity``.
 
-    Found where the two share a list.  Copies are expanded into pairs only with the
-    representatives found near them and with one another; classes of up to some
-    ten copies are meant.  Null keys and unusable vectors give no pair; empty tables none.
+    Found where the two share a list.  A class of at most ``max_copies`` exact copies is expanded into all
+    its pairs; of a larger class the least key stands for all, and every copy is paired with it,
+    so no link is lost and no group gives pairs in the square of its size.  Null keys and unusable vectors give no pair; empty tables none.
     """
     units, reps, count = _prepared(vectors, dims)
     if count == 0:
@@ -234,11 +234,17 @@ def similar_pairs(
     others = copies.where("key <> rep")
     if others.isEmpty():
         return near
-    a, b = copies.select(F.col("key").alias("ka"), F.col("rep").alias("key_a")), copies.select(F.col("key").alias("kb"), F.col("rep").alias("key_b"))
+    # small classes are expanded; of a larger one the representative stands for all, and each copy is paired with it
+    size = others.groupBy("rep").agg((F.count("*") + 1).alias("size"))
+    sized = copies.join(size, "rep", "left").withColumn("small", F.coalesce(F.col("size") <= max_copies, F.lit(True)))
+    shown = sized.where(F.col("small") | (F.col("key") == F.col("rep")))
+    a, b = shown.select(F.col("key").alias("ka"), F.col("rep").alias("key_a")), shown.select(F.col("key").alias("kb"), F.col("rep").alias("key_b"))
     across = near.join(a, "key_a").join(b, "key_b").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
-    multi = copies.join(others.select("rep").distinct(), "rep", "left_semi")
-    within = multi.alias("x").join(multi.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(within)
+    one = F.lit(1.0).alias("similarity")
+    multi = sized.where("small AND size > 1").select("rep", "key")
+    within = multi.alias("x").join(multi.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"), one)
+    star = sized.where("NOT small AND key <> rep").select(F.col("rep").alias("key_a"), F.col("key").alias("key_b"), one)
+    return across.unionByName(within).unionByName(star)
 
 
 def top_k(

@@ -170,6 +170,13 @@ def test_pairs_match_brute_force(spark):
     assert neighbours.similar_pairs(v.limit(0)).count() == 0 and neighbours.top_k(v.limit(0)).count() == 0
 
 
+def test_large_class_of_copies_is_a_star(spark):
+    rows = vectors()[:50] + [(f"q{i:03d}", [1.0] * 64, 1) for i in range(40)] + [("p", [1.0] * 63 + [1.1], 1)]
+    v = spark.createDataFrame(rows, "key string, vector array<float>, touched long")
+    got = {(r.key_a, r.key_b) for r in neighbours.similar_pairs(v, list_size=32).collect() if r.key_a[0] in "pq"}
+    assert got == {("q000", f"q{i:03d}") for i in range(1, 40)} | {("p", "q000")}
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(9000, 64)).astype(np.float32)
