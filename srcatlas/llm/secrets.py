@@ -61,6 +61,9 @@ JOIN = re.compile(r"\s*(?:\+|\.\.?|,|&)?\s*")
 TRIGGER = re.compile(r"(?i)pass|pwd|pw(?=[_\d\W]|box)|secret|token|key|cred|auth|bearer|://|-----begin|eyJ[a-z0-9]|-u ")
 BARE = re.compile(r"^\s*(?:#|;|//)?\s*(?:export\s+)?(?:[-*]\s+)?([A-Za-z_][\w.-]*)\s*[:=]\s*([^\s\"'`#;][^\n\r]*?)\s*$")
 
+#: a short distinguishing suffix of a configuration key
+SUFFIX = re.compile(r"_[A-Za-z0-9]{3}$")
+
 FORMATS = {"json": "json", "yml": "yaml", "yaml": "yaml", "toml": "ini", "ini": "ini", "cfg": "ini", "conf": "ini", "properties": "ini", "env": "ini", "md": "text", "txt": "text"}
 
 
@@ -156,8 +159,8 @@ def find(path: str, text: str) -> list[tuple[int, int, str]]:
     fmt = FORMATS.get(ext)
     if fmt in ("json", "yaml", "ini"):
         for name, a, b in config_entries(fmt, text):
-            key = re.sub(r"_[A-Za-z0-9]{3}$", "", name.rsplit(".", 1)[-1])
-            if _sensitive(key) and is_secret_value(text[a:b], True):
+            key = name.rsplit(".", 1)[-1]
+            if (_sensitive(key) or _sensitive(SUFFIX.sub("", key))) and is_secret_value(text[a:b], True):
                 found.append((a, b, "named", a))
     lines: set[tuple[int, int]] = set()
     for m in TRIGGER.finditer(text):
@@ -188,7 +191,7 @@ def find(path: str, text: str) -> list[tuple[int, int, str]]:
             name = m[1]
             if name.lower() in ("text", "value", "default", "str"):
                 name = (re.findall(r"[A-Za-z_]\w*", line[: m.start()].replace("public", "").replace("string", "").replace("const", "").replace("static", "")) or [""])[-1]
-            if not _sensitive(re.sub(r"_[A-Za-z0-9]{3}$", "", name) if fmt else name):
+            if not (_sensitive(name) or fmt and _sensitive(SUFFIX.sub("", name))):
                 continue
             parts, at = [], m.end() - 1
             while len(parts) < 4 and (x := LITERAL.match(line, at)):
