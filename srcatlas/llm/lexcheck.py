@@ -118,17 +118,17 @@ def _productions(family: str) -> list[re.Pattern]:
     def rx(p: str) -> re.Pattern:
         return re.compile(re.sub(r"<([^<>]+)>", lambda x: re.escape(m[x[1]]) if x[1] in m else re.escape(m["BAD"]), p.replace("<lt>", re.escape(m.get("<", m["BAD"])))))
 
-    if family == "rust":
-        return [rx("(?<!<*>)<const><ID>(?!<:>)"), rx("<static><ID><=>"), rx("<struct><ID>(?![<{><;>(]|<lt>|<(>|<where>|<{>|<;>)"), rx("<for>(?:<ID>|<_>)<(>"), rx("<let><ID><ID>")]
     json = rx(r"\A<{><STR><:>")
-    if family in ("typescript", "csharp"):
-        return [json]
+    if family == "rust":
+        return [json, rx("(?<!<*>)<const><ID>(?!<:>)"), rx("<static><ID><=>"), rx("<struct><ID>(?![<{><;>(]|<lt>|<(>|<where>|<{>|<;>)"), rx("<for>(?:<ID>|<_>)<(>"), rx("<let><ID><ID>")]
     if family == "javascript":
         inner = "(?:[^<(><)><{><=>]|<=>(?:<ID>|<NUM>|<STR>))*"
         return [json, rx(f"<function><ID>?<(>{inner}<:>"), rx(f"<function><ID>?<(>{inner}<)><:>"), rx("(?:<const>|<let>|<var>)<ID><:>"), rx(f"(?:<;>|<}}>|<{{>)(?:<NL>)*<ID><(>{inner}<)><:>(?:[^<;><?>])*?<{{>")]
     if family == "luau":
-        return [rx("<local>(?!<ID>|<function>)"), rx("<if>[^<then><end>]*<end>")]
-    return []
+        return [json, rx("<local>(?!<ID>|<function>)"), rx("<if>[^<then><end>]*<end>"), rx("(?:<then>|<do>|<else>|<end>|<repeat>|<;>|<)>|<]>|<}>|<STR>|<NUM>|<nil>|<true>|<false>)<ID><ID>")]
+    if family == "php":
+        return [json, rx("<)><:><?>?<ID><VAR>"), rx("(?:<;>|<{>|<}>)<ID><VAR>")]
+    return [json]
 
 
 _CLOSER = {")": "(", "]": "[", "}": "{"}

@@ -43,12 +43,12 @@ GOOD = {
     "dreammaker": ['#define X 1\n/datum/a\n\tvar/b = 1\n\tvar/list/c = list()\n\n/obj/x/proc/f(a, b = 2)\n\tfor(var/i in 1 to 10)\n\t\tif(a == i)\n\t\t\treturn "x[a] {"\n\treturn ..()\n'],
 }
 BAD = {
-    "rust": ["fn f() {\n  let x = g(\n", "fn f() { let s = \"abc }\n", "const X = 1;\n", "fn f() {}\n<<<<<<< HEAD\nfn g() {}\n", "function f(a) { return a; }\n", "fn f() { a + + }\n"],
+    "rust": ["fn f() {\n  let x = g(\n", "fn f() { let s = \"abc }\n", "const X = 1;\n", "fn f() {}\n<<<<<<< HEAD\nfn g() {}\n", "function f(a) { return a; }\n", "fn f() { a + + }\n", '{ "a": 1 }\n'],
     "typescript": ["class A { f() { return 1; }\n", "const a = b_\"x\";\n", "using System;\npublic sealed class A { }\n", "const a = ;\n"],
     "javascript": ["function f(a: string) { return a; }\n", "const x: number = 1;\n", '{\n  "a": 1\n}\n', "f(}\n", "const x = 1;\n}}\n", "let a b\n"],
     "csharp": ["class A { void F() { var x = 1 } }\n", "class A { string s = \"x; }\n", "local a = 1\n"],
-    "php": ["<?php\nfunction f( { }\n", "<?php\n$a = 'x\n", "<?php\n$a = 1;\n=======\n$b = 2;\n"],
-    "luau": ["local function f()\n  if a then\nend\n", "const a = 1;\n", "local note = \"x\nlocal y = 1\n"],
+    "php": ["<?php\nfunction f( { }\n", "<?php\n$a = 'x\n", "<?php\n$a = 1;\n=======\n$b = 2;\n", "<?php\nfunction f(A $a): int\n  $b = 1;\n{ return 1; }\n", "<?php\nfunction f() { retrun $a; }\n"],
+    "luau": ["local function f()\n  if a then\nend\n", "const a = 1;\n", "local note = \"x\nlocal y = 1\n", "local a = f()\nretrun a\n"],
     "dreammaker": ["/obj/x/proc/f()\n\treturn g(\n", "/obj/x/proc/f()\n\tvar/a = 1\n\t\tvar/b = 2\n", "<<<<<<< HEAD\nvar/a = 1\n"],
 }
 
