@@ -30,25 +30,24 @@ from pyspark.sql import types as T
 
 GRADES = 5
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
-_CODE = re.compile(r"`[^`\n]*`|\b\S*[\w)][_/\\:.]{1,2}[\w(]\S*|--\w\S*|\b\w+\(\)|\bsym:\S+|https?://\S+")
-_SPEAKER = re.compile(r"(?m)^\s*(?:[\w.-]+ wrote:|[\w.-]+:(?=\s)|[\w.-]+>)")
-_HEAD = re.compile(r"(?m)^\s*#.*$")
-_CODE_LINE = re.compile(r"(?m)^.*(?:[{};]\s*$|^\s{4,}\S*[=(]|\b(?:const|return|local|function|var/|fn|let|public|end)\b.*[=();{]).*$")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_STOP = re.compile(r"[.!?…]+(?=[\s\"')\]]|$)|\n\s*\n|\n\s*[-*•]\s")
-_END = re.compile(r"[.!?…](?=[\s\"')\]]|$)")
+_HEAD = re.compile(r"(?m)^[ \t]*#.*$")
+#: a line of code outside a fence: it ends as a statement does, or declares something
+_CODE_LINE = re.compile(r"(?m)^[^\n]*(?:[{};]|[)=][ \t]*(?:then|do)?)[ \t]*$")
+#: a word that is no part of a symbol, path, option, inline code, or speaker's mark
+_WORD = re.compile(r"(?<![\w./\\:`>$@-])[^\W\d_]+(?![\w/\\:(`>=]|\.\w|\()")
+_END = re.compile(r"[.!?…](?=[\s\"')\]]|$)|\n[ \t]*\n")
 FEATURES = 14
 
 
 def clean(text: str) -> str:
-    """The prose of a text: code blocks, inline code, paths, headings and speakers' names are left out."""
+    """The text without fenced code, lines of code and headings; words of symbols and paths are passed over by ``_WORD``."""
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n\n", text)
     if "#" in text:
         text = _HEAD.sub("", text)
-    if ";" in text or "{" in text or "=" in text:
+    if ";\n" in text or "{\n" in text or ")\n" in text or "=\n" in text:
         text = _CODE_LINE.sub("", text)
-    return _CODE.sub(" ", _SPEAKER.sub("", text))
+    return text
 
 
 def prose_words(text: str) -> list[str]:
@@ -68,14 +67,17 @@ class Model:
         get = self.words.get
         known = np.array([g for g in map(get, words) if g is not None])
         x = np.zeros(FEATURES)
-        if len(known):
-            x[0:5] = np.quantile(known, (0.25, 0.5, 0.7, 0.85, 0.95))
-            x[5:9] = [(known >= g).mean() for g in (1.5, 2.25, 3.0, 3.75)]
-            x[9] = known.mean()
-        ends = len(_END.findall(prose))
-        if ends * 60 >= len(words) and ends:
-            n = sum(1 for s in _STOP.split(prose) if len(s) > 8 and _WORD.search(s))
-            x[10] = np.log1p(len(words) / max(1, n))
+        n = len(known)
+        if n:
+            known.sort()
+            x[0:5] = known[(np.array((0.25, 0.5, 0.7, 0.85, 0.95)) * (n - 1) + 0.5).astype(int)]
+            x[5:9] = 1 - np.searchsorted(known, (1.5, 2.25, 3.0, 3.75)) / n
+            x[9] = known.sum() / n
+        # marks of the ends of sentences and paragraphs; several in a row end one sentence
+        stops = [m.start() for m in _END.finditer(prose)]
+        if len(stops) * 60 >= len(words) and stops:
+            ends = 1 + sum(b - a > 8 for a, b in zip(stops, stops[1:]))
+            x[10] = np.log1p(len(words) / ends)
             x[11] = x[10] ** 2
         else:
             x[12] = 1.0
