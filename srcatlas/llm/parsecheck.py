@@ -109,7 +109,8 @@ def check_files(files: DataFrame, contents: DataFrame) -> DataFrame:
     """
     now = current_files(files).withColumn("family", family(F.col("path"))).where("family IS NOT NULL AND revision IS NOT NULL")
     keys = now.groupBy("revision").agg(F.sort_array(F.collect_set("family")).alias("families"))
-    lexed = write_stage(lex(join_bodies(keys, contents)), "lexed")
+    # a body that stands in several rows of contents counts once; the facts are small, the bodies aren't
+    lexed = write_stage(lex(join_bodies(keys, contents)), "lexed").dropDuplicates(["revision", "family"])
     found = verdicts(lexed)
     cols = ["id", "member", "path", "language", "status", "revision", "family"]
     return now.select(*cols).join(found, ["revision", "family"]).withColumnRenamed("id", "file_id")

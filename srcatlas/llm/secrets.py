@@ -272,7 +272,7 @@ def credentials(files: DataFrame, contents: DataFrame) -> DataFrame:
     All bodies are read, also those that no current file points to.  Null and
     empty bodies give no row; a null path is read as code.  Extra columns are ignored.
     """
-    return _with_path(files, contents).mapInArrow(_scan(False), _FOUND)
+    return _with_path(files, contents).mapInArrow(_scan(False), _FOUND).dropDuplicates(["revision", "start"])
 
 
 def redacted(files: DataFrame, contents: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def oversized_pieces(contents: DataFrame, region_spans: DataFrame, definitions:
     big = contents.select("revision", "bytes").where((F.length("bytes") > limit) & F.col("revision").isNotNull())
     keys = contents.where(F.length("bytes") > limit).select("revision")
     cuts = section_offsets(region_spans, definitions, keys)
-    return split(big.join(cuts.hint("shuffle_hash"), "revision", "left"), limit, overlap)
+    return split(big.join(cuts.hint("shuffle_hash"), "revision", "left"), limit, overlap).dropDuplicates(["revision", "piece_no"])
 
 
 def against_coverage(split_pieces: DataFrame, files: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -71,8 +71,10 @@ def test_parse_check_on_frames(spark):
     good, bad = b"fn f() {}\n", b"fn f() { g(\n"
     big = b"fn f() {\n" + b"g(h[1]);\n" * 5000 + b"}\n"
     files, contents = tables(spark, [(1, "a", "x.rs", good), (2, "a", "y.rs", bad), (3, "b", "z.rs", bad), (4, "b", "n.md", bad), (5, None, "q.js", good), (6, "a", "gone.rs", None), (7, "a", "big.RS", big), (8, "a", "e.rs", b"")])
-    files = files.unionByName(files)
-    got = {r.file_id: r.valid for r in parsecheck.check_files(files, contents).collect()}
+    files, contents = files.unionByName(files), contents.unionByName(contents)
+    rows = parsecheck.check_files(files, contents).collect()
+    got = {r.file_id: r.valid for r in rows}
+    assert len(rows) == len(got)
     assert got == {1: True, 2: False, 3: False, 5: False, 7: True, 8: True}
     cov = spark.createDataFrame([("a", 1, 4, None), ("a", 2, 7, None)], "member string, generation long, parse_failures long, captured_at timestamp")
     r = {(x.member, x.family): (x.files, x.invalid, x.reported_parse_failures) for x in parsecheck.rates(parsecheck.check_files(files, contents), cov).collect()}
@@ -121,8 +123,9 @@ def test_origins(spark):
         (11, "b", "src/k.rs", lib), (12, "c", "src/l.rs", lib + b"// l\n"), (13, "d", "src/m.rs", b"// m\n" + lib), (14, "a", "src/n.rs", b"// Copyright the a authors. All rights reserved.\nfn n() {}\n"), (15, None, "o.txt", note),
     ]
     files, contents = tables(spark, rows)
-    got = {r.file_id: r for r in handwritten.classify(files.unionByName(files), contents).collect()}
-    assert len(got) == 14
+    rows = handwritten.classify(files.unionByName(files), contents.unionByName(contents)).collect()
+    got = {r.file_id: r for r in rows}
+    assert len(got) == len(rows) == 14
     assert got[2].generated and got[3].minified and got[4].data and got[5].vendored and got[7].vendored and got[9].generated
     assert all(got[i].vendored for i in (11, 12, 13))  # one body in three members, by fingerprints alone
     hand = {i for i, r in got.items() if r.hand_written}
@@ -206,7 +209,7 @@ def test_split_on_frames(spark):
     files, contents = tables(spark, [(1, "m", "a.rs", big), (2, "m", "b.rs", big), (3, "m", "c.rs", small)])
     spans = spark.createDataFrame([(1, 1, rev(big), 0, 3000, 7), (2, 2, rev(big), 0, 3000, 7), (3, 1, rev(big), 5, 2, None)], "region_id long, file_id long, revision string, span_start long, span_end long, definition long")
     defs = spark.createDataFrame([(7, 1, rev(big), 0, 3000), (7, 1, rev(big), 0, 3000), (8, 1, rev(big), 9, 1)], "id long, file_id long, revision string, span_start long, span_end long")
-    p = splitting.oversized_pieces(contents, spans, defs)
+    p = splitting.oversized_pieces(contents.unionByName(contents), spans, defs)
     rows = sorted((r.piece_no, r.span_start, r.span_end, r.boundary) for r in p.collect())
     assert rows[0] == (0, 0, 3000, "definition") and rows[-1][2] == len(big)
     cov = spark.createDataFrame([("m", 1, 5, None), ("m", 2, 6, None)], "member string, generation long, truncated_files long, captured_at timestamp")
