@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,22 +30,20 @@ from ..session import write_stage
 TASK_ROWS = 150_000
 
 
-def _contract(kind: pa.DataType, with_path: bool):
-    """Follows chains within a partition: (id, parent, w, hop) -> (id, top, exit, dist, trail, cyclic)."""
+def _contract(kind: pa.DataType):
+    """Follows chains within a partition: (id, parent, w) -> (id, part, top, exit, dist, cyclic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         parents: list = []
         weights: list = []
-        hops: list = []
         for b in batches:
             ids += b.column(0).to_pylist()
             parents += b.column(1).to_pylist()
             weights += b.column(2).to_pylist()
-            if with_path:
-                hops += b.column(3).to_pylist()
         if not ids:
             return
+        part = TaskContext.get().partitionId()
         at = {x: i for i, x in enumerate(ids)}
         n = len(ids)
         up = [at.get(p, -1) if p is not None else -1 for p in parents]
@@ -67,38 +66,64 @@ def _contract(kind: pa.DataType, with_path: bool):
                     top[y], dist[y] = y, 0
                 else:
                     top[y], dist[y] = top[up[y]], dist[up[y]] + weights[y]
-        names = ["id", "top", "exit", "dist", "trail", "cyclic"]
-        for a in range(0, n, 4096):
-            part = range(a, min(n, a + 4096))
-            trails = []
-            if with_path:
-                for i in part:
-                    out: list = []
-                    if state[i] == 2:
-                        x = i
-                        while up[x] >= 0:
-                            out.append(ids[x])
-                            out += reversed(hops[x] or ())
-                            x = up[x]
-                        out.reverse()
-                    trails.append(out)
-            else:
-                trails = [None] * len(part)
+        for a in range(0, n, 8192):
+            rows = range(a, min(n, a + 8192))
+            done = [state[i] == 2 for i in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[i] for i in part], kind),
-                    pa.array([ids[top[i]] if state[i] == 2 else None for i in part], kind),
-                    pa.array([parents[i] if state[i] == 2 and up[i] < 0 else None for i in part], kind),
-                    pa.array([dist[i] if state[i] == 2 else None for i in part], pa.int64()),
-                    pa.array(trails, pa.list_(kind)),
-                    pa.array([state[i] == 3 for i in part], pa.bool_()),
+                    pa.array([ids[i] for i in rows], kind),
+                    pa.array([part] * len(rows), pa.int32()),
+                    pa.array([ids[top[i]] if d else None for i, d in zip(rows, done)], kind),
+                    pa.array([parents[i] if d and up[i] < 0 else None for i, d in zip(rows, done)], kind),
+                    pa.array([dist[i] if d else None for i, d in zip(rows, done)], pa.int64()),
+                    pa.array([not d for d in done], pa.bool_()),
                 ],
-                names=names,
+                names=["id", "part", "top", "exit", "dist", "cyclic"],
             )
 
     return run
 
 
+def _trails(kind: pa.DataType, only_wanted: bool):
+    """(id, parent, hop, part, dist, cyclic, wanted, root, depth, upper, lost) -> (id, root, depth, trail, cyclic) of the wanted nodes or of all.
+
+    Root, depth and the trail above come from the row of the fragment's top; the trail runs from
+    below the root to the node.  Links within a part are local, whatever parts share the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in range(11)]
+        for b in batches:
+            for c, x in zip(cols, b.columns):
+                c += x.to_pylist()
+        ids, parents, hops, parts, dist, cyclic, wanted, root, depth, upper, lost = cols
+        at = {x: i for i, x in enumerate(ids)}
+        up = [-1] * len(ids)
+        for i, p in enumerate(parents):
+            j = at.get(p, -1) if p is not None and not cyclic[i] else -1
+            up[i] = j if j >= 0 and parts[j] == parts[i] and not cyclic[j] else -1
+        want = [i for i in range(len(ids)) if wanted[i]] if only_wanted else range(len(ids))
+        for a in range(0, len(want), 2048):
+            out: list[list] = [[], [], [], [], []]
+            for i in want[a : a + 2048]:
+                t: list = []
+                x = i
+                while up[x] >= 0:
+                    t.append(ids[x])
+                    t += reversed(hops[x] or ())
+                    x = up[x]
+                bad = bool(cyclic[i] or lost[x])
+                if not bad:
+                    t += reversed(upper[x] or ())
+                    t.reverse()
+                row = (ids[i], None, None, None, True) if bad else (ids[i], root[x], None if depth[x] is None else depth[x] + dist[i], t, False)
+                for c, v in zip(out, row):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (kind, kind, pa.int64(), pa.list_(kind), pa.bool_()))], names=["id", "root", "depth", "trail", "cyclic"])
+
+    return run
+
+
 def _double(q: DataFrame, with_path: bool) -> DataFrame:
     """Pointer doubling on (id, parent, w, hop): (id, root, depth, trail, cyclic); trail: from below the root to the node."""
     own = F.concat(F.coalesce("hop", F.array()), F.array("id")) if with_path else F.lit(None).cast(q.schema["hop"].dataType)
@@ -130,36 +155,56 @@ def _solve(q: DataFrame, count: int, order: list[str], with_path: bool, task_row
     parts = max(1, -(-count // task_rows))
     # a single task only where the count says that it fits one
     placed = q.coalesce(1) if parts == 1 else q.repartitionByRange(parts, *order)
-    schema = T.StructType(
-        [T.StructField("id", kind), T.StructField("top", kind), T.StructField("exit", kind), T.StructField("dist", T.LongType()), T.StructField("trail", T.ArrayType(kind)), T.StructField("cyclic", T.BooleanType())]
+    found = T.StructType(
+        [T.StructField("id", kind), T.StructField("part", T.IntegerType()), T.StructField("top", kind), T.StructField("exit", kind), T.StructField("dist", T.LongType()), T.StructField("cyclic", T.BooleanType())]
     )
-    frag = placed.select("id", "parent", "w", "hop", *order).mapInArrow(_contract(arrow, with_path), schema)
+    trail_type = T.StructType([T.StructField("id", kind), T.StructField("root", kind), T.StructField("depth", T.LongType()), T.StructField("trail", T.ArrayType(kind)), T.StructField("cyclic", T.BooleanType())])
+    none, no_trail = F.lit(None).cast(kind), F.lit(None).cast(T.ArrayType(kind))
+
+    def trails(rows: DataFrame, only_wanted: bool) -> DataFrame:
+        """Rows are brought together by part and whole paths made last, so none is shuffled."""
+        given = {"wanted": F.lit(True), "root": none, "depth": F.lit(None).cast("long"), "upper": no_trail, "lost": F.lit(None).cast("boolean")}
+        rows = rows.withColumns({k: v for k, v in given.items() if k not in rows.columns})
+        together = rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, "part")
+        return together.select("id", "parent", "hop", "part", "dist", "cyclic", "wanted", "root", "depth", "upper", "lost").mapInArrow(_trails(arrow, only_wanted), trail_type)
+
+    frag = write_stage(placed.select("id", "parent", "w").mapInArrow(_contract(arrow), found), "fragments")
+    links = frag.join(q.select("id", "parent", "hop"), "id") if with_path else frag
     if parts == 1:
-        return frag.select("id", F.col("top").alias("root"), F.col("dist").alias("depth"), "trail", "cyclic")
-    frag = write_stage(frag, "fragments")
+        if with_path:
+            return trails(links.withColumn("root", F.col("id")).withColumn("depth", F.lit(0).cast("long")), False)
+        return frag.select("id", F.col("top").alias("root"), F.col("dist").alias("depth"), no_trail.alias("trail"), "cyclic")
     tops = frag.where("id = top")
-    inner = frag.select(F.col("id").alias("exit"), F.col("top").alias("parent"), (F.coalesce("dist", F.lit(0)) + 1).alias("w"), F.col("trail").alias("hop"), F.col("cyclic").alias("into_cycle"))
+    inner = frag.select(F.col("id").alias("exit"), F.col("top").alias("parent"), (F.coalesce("dist", F.lit(0)) + 1).alias("w"), F.col("cyclic").alias("into_cycle"))
     edges = tops.select("id", "exit").where("exit IS NOT NULL").hint("shuffle_hash").join(inner, "exit")
-    where = q.select("id", *order)
-    rest = tops.select("id", "exit").join(edges.select("id"), "id", "left_anti").select("id", F.lit(None).cast(kind).alias("parent"), F.lit(0).cast("long").alias("w"), F.lit(None).cast(T.ArrayType(kind)).alias("hop"))
-    hanging = edges.where("into_cycle").select("id")
+    if with_path:
+        # only nodes that other fragments hang on need their trail before the quotient is solved
+        asked = edges.select(F.col("exit").alias("id"), F.lit(True).alias("wanted")).distinct()
+        t = trails(links.join(asked.hint("shuffle_hash"), "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False))), True)
+        edges = edges.join(t.select(F.col("id").alias("exit"), F.col("trail").alias("hop")), "exit", "left")
+    else:
+        edges = edges.withColumn("hop", no_trail)
+    edges = write_stage(edges, "exits")
+    rest = tops.select("id").join(edges.select("id"), "id", "left_anti").select("id", none.alias("parent"), F.lit(0).cast("long").alias("w"), no_trail.alias("hop"))
+    # fragments that hang on a local cycle stay in the quotient as roots of their own, so that what hangs on them is found too
+    hanging = edges.where("into_cycle").select("id", none.alias("parent"), F.lit(0).cast("long").alias("w"), no_trail.alias("hop"))
     live = edges.where(~F.col("into_cycle")).select("id", "parent", "w", "hop")
-    lost = write_stage(hanging.select("id", F.lit(None).cast(kind).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast(T.ArrayType(kind)).alias("trail"), F.lit(True).alias("cyclic")), "into-cycle")
-    # fragments that hang on a local cycle stay in the quotient as cyclic roots, so that what hangs on them is found too
-    quotient = live.unionByName(rest).unionByName(hanging.select("id", F.lit(None).cast(kind).alias("parent"), F.lit(0).cast("long").alias("w"), F.lit(None).cast(T.ArrayType(kind)).alias("hop")))
-    quotient = write_stage(quotient.join(where, "id"), "quotient")
+    quotient = live.unionByName(rest).unionByName(hanging)
+    quotient = write_stage(quotient.join(q.select("id", *[c for c in order if c != "id"]), "id"), "quotient")
     left = quotient.count()
     if left > 0.6 * count and left > task_rows:
         solved = _double(quotient, with_path)
     else:
         solved = _solve(quotient, left, order, with_path, task_rows)
-    bad = lost.select(F.col("id").alias("root"), F.lit(True).alias("on_cycle"))
+    bad = hanging.select(F.col("id").alias("root"), F.lit(True).alias("on_cycle"))
     solved = solved.join(bad.hint("shuffle_hash"), "root", "left").withColumn("cyclic", F.col("cyclic") | F.coalesce("on_cycle", F.lit(False)))
     solved = solved.select(F.col("id").alias("top"), "root", "depth", F.col("trail").alias("upper"), F.col("cyclic").alias("lost"))
-    full = frag.join(solved.hint("shuffle_hash"), "top", "left")
+    if with_path:
+        above = solved.select(F.col("top").alias("id"), "root", "depth", "upper", "lost")
+        return trails(links.join(above.hint("shuffle_hash"), "id", "left"), False)
+    full = frag.join(solved.drop("upper").hint("shuffle_hash"), "top", "left")
     cyc = F.col("cyclic") | F.coalesce("lost", F.lit(False))
-    trail = F.concat(F.coalesce("upper", F.array()), "trail") if with_path else F.col("trail")
-    return full.select("id", F.when(~cyc, F.col("root")).alias("root"), F.when(~cyc, F.col("depth") + F.col("dist")).alias("depth"), F.when(~cyc, trail).alias("trail"), cyc.alias("cyclic"))
+    return full.select("id", F.when(~cyc, F.col("root")).alias("root"), F.when(~cyc, F.col("depth") + F.col("dist")).alias("depth"), no_trail.alias("trail"), cyc.alias("cyclic"))
 
 
 def hierarchy(links: DataFrame, order: list[str] | None = None, with_path: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -223,3 +268,10 @@ def commit_hierarchy(commits: DataFrame, with_path: bool = True, task_rows: int
     got = _hierarchy(current_commits(commits), ["member", "observed_at", "id"], with_path, task_rows)
     text = lambda c: F.lower(F.hex(c))
     return got.select(text(F.col("id")).alias("oid"), text(F.col("root")).alias("root"), "depth", F.transform("path", text).alias("path"), "cyclic")
+
+
+def commit_subtrees(commits: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(oid, descendants, height) of every rooted commit.  Partitions are local to member and time, so most of a
+    path's entries are counted before the shuffle; no path is written or shuffled."""
+    got = subtree_sizes(_hierarchy(current_commits(commits), ["member", "observed_at", "id"], True, task_rows))
+    return got.select(F.lower(F.hex("id")).alias("oid"), "descendants", "height")
