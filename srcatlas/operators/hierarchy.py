@@ -270,8 +270,73 @@ def commit_hierarchy(commits: DataFrame, with_path: bool = True, task_rows: int
     return got.select(text(F.col("id")).alias("oid"), text(F.col("root")).alias("root"), "depth", F.transform("path", text).alias("path"), "cyclic")
 
 
+def _gather(kind: pa.DataType):
+    """(id, parent, w, c, h, part, dist) -> (id, total, height): sums of c and greatest distances below each node, within parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in range(7)]
+        for b in batches:
+            for x, y in zip(cols, b.columns):
+                x += y.to_pylist()
+        ids, parents, w, total, height, part, dist = cols
+        at = {x: i for i, x in enumerate(ids)}
+        for i in sorted(range(len(ids)), key=dist.__getitem__, reverse=True):
+            j = at.get(parents[i], -1) if parents[i] is not None else -1
+            if j >= 0 and part[j] == part[i]:
+                total[j] += total[i]
+                height[j] = max(height[j], height[i] + w[i])
+        for a in range(0, len(ids), 16384):
+            e = slice(a, a + 16384)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[e], kind), pa.array(total[e], pa.int64()), pa.array(height[e], pa.int64())], names=["id", "total", "height"])
+
+    return run
+
+
+def _totals(q: DataFrame, count: int, order: list[str], task_rows: int) -> DataFrame | None:
+    """(id, parent, w, c, h, *order) of a forest -> (id, total, height); None if a round doesn't shrink it."""
+    kind = q.schema["id"].dataType
+    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.int64() if isinstance(kind, T.LongType) else pa.string()
+    parts = max(1, -(-count // task_rows))
+    placed = q.coalesce(1) if parts == 1 else q.repartitionByRange(parts, *order)
+    found = T.StructType(
+        [T.StructField("id", kind), T.StructField("part", T.IntegerType()), T.StructField("top", kind), T.StructField("exit", kind), T.StructField("dist", T.LongType()), T.StructField("cyclic", T.BooleanType())]
+    )
+    frag = placed.select("id", "parent", "w").mapInArrow(_contract(arrow), found).drop("cyclic")
+    rows = write_stage(q.join(frag.hint("shuffle_hash"), "id"), "rows")
+
+    def gather(r: DataFrame) -> DataFrame:
+        together = r.coalesce(1) if parts == 1 else r.repartitionByRange(parts, "part")
+        return together.select("id", "parent", "w", "c", "h", "part", "dist").mapInArrow(_gather(arrow), T.StructType([T.StructField("id", kind), T.StructField("total", T.LongType()), T.StructField("height", T.LongType())]))
+
+    if parts == 1:
+        return gather(rows)
+    inner = rows.groupBy(F.col("top").alias("id")).agg(F.sum("c").alias("c"), F.max(F.col("dist") + F.col("h")).alias("h"))
+    tops = rows.where("id = top").select("id", "exit", F.col("w").alias("own"), *[c for c in order if c != "id"])
+    near = rows.select(F.col("id").alias("exit"), F.col("top").alias("parent"), F.col("dist").alias("below"))
+    edges = tops.join(near, "exit", "left")
+    quotient = edges.withColumn("w", F.coalesce(F.col("below") + F.col("own"), F.lit(1)).cast("long")).join(inner, "id")
+    quotient = write_stage(quotient.select("id", "parent", "w", "c", "h", "exit", "own", *[c for c in order if c != "id"]), "quotient")
+    left = quotient.count()
+    if left > 0.6 * count and left > task_rows:
+        return None
+    solved = _totals(quotient.drop("exit", "own"), left, order, task_rows)
+    if solved is None:
+        return None
+    hung = quotient.where("parent IS NOT NULL").select("id", F.col("exit"), "own").join(solved, "id")
+    hung = hung.groupBy(F.col("exit").alias("id")).agg(F.sum("total").alias("more"), F.max(F.col("height") + F.col("own")).alias("far"))
+    r = rows.join(hung.hint("shuffle_hash"), "id", "left")
+    return gather(r.withColumn("c", F.col("c") + F.coalesce("more", F.lit(0))).withColumn("h", F.greatest("h", F.coalesce("far", F.lit(0)))))
+
+
 def commit_subtrees(commits: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(oid, descendants, height) of every rooted commit.  Partitions are local to member and time, so most of a
-    path's entries are counted before the shuffle; no path is written or shuffled."""
-    got = subtree_sizes(_hierarchy(current_commits(commits), ["member", "observed_at", "id"], True, task_rows))
-    return got.select(F.lower(F.hex("id")).alias("oid"), "descendants", "height")
+    """(oid, descendants, height) of every rooted commit, by the same contraction: sums within partitions, then of the
+    quotient forest, then within partitions again.  Paths are made only where a round does not shrink the forest."""
+    order = ["member", "observed_at", "id"]
+    one = write_stage(current_commits(commits), "current")
+    rooted = _hierarchy(one, order, False, task_rows).where(~F.col("cyclic")).select("id")
+    q = one.join(rooted.hint("shuffle_hash"), "id").select("id", "parent", F.lit(1).cast("long").alias("w"), F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("h"), "member", "observed_at")
+    q = write_stage(q, "rooted")
+    got = _totals(q, q.count(), order, task_rows)
+    if got is None:
+        got = subtree_sizes(_hierarchy(one, order, True, task_rows)).select("id", (F.col("descendants") + 1).alias("total"), "height")
+    return got.select(F.lower(F.hex("id")).alias("oid"), (F.col("total") - 1).alias("descendants"), "height")

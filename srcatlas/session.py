@@ -55,6 +55,8 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(drop_stages)
     _written.append((spark, path))
     return spark.read.parquet(path)
 
@@ -86,6 +88,8 @@ def drop_stages() -> None:
     """Remove the tables that ``write_stage`` wrote; frames that still read them become invalid."""
     while _written:
         spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:
+            continue
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

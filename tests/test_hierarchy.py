@@ -66,3 +66,17 @@ def test_commits(spark):
     c = spark.createDataFrame(rows, "member string, oid string, parent string, observed string").selectExpr("member", "oid", "parent", "timestamp(observed) AS observed_at", "0 AS depth")
     got = {r.oid: (r.depth, r.cyclic) for r in H.commit_hierarchy(c).collect()}
     assert got == {o[0]: (0, False), o[1]: (1, False), o[2]: (2, False), o[3]: (0, False), o[4]: (0, False), o[5]: (None, True), o[6]: (None, True), big: (None, True), o[7]: (0, False)}
+
+
+def test_commit_subtrees_over_several_levels(spark):
+    p = {i: q for i, q in forest(700, 9, 0.9).items() if i <= 700}
+    oid = lambda i: None if i is None else "%040x" % (i + 1)
+    rows = [("m%d" % (i % 2), oid(i), oid(q), i) for i, q in p.items()]
+    c = spark.createDataFrame(rows, "member string, oid string, parent string, t long").selectExpr("member", "oid", "parent", "timestamp_seconds(t) AS observed_at")
+    want = {}
+    for path in filter(None, brute(p).values()):
+        for k, x in enumerate(path):
+            n, h = want.get(oid(x), (-1, 0))
+            want[oid(x)] = (n + 1, max(h, len(path) - 1 - k))
+    for task_rows in (10**6, 120):
+        assert {r.oid: (r.descendants, r.height) for r in H.commit_subtrees(c, task_rows).collect()} == want
