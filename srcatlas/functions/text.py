@@ -14,18 +14,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def count_token(toks: Column, term: str) -> Column:
-    return F.size(F.filter(toks, lambda x: x == F.lit(term)))
+_IN = r"[\p{L}\p{N}]"
 
 
-def count_phrase(toks: Column, terms: list[str]) -> Column:
-    """Places, overlapping ones too, at which the terms stand next to each other in order.
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
-    The tokens are joined once and the places counted by a look-ahead, so a row costs
-    its length and not its length times the phrase's.
-    """
-    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
-    return F.regexp_count(joined, F.lit("(?<= )(?=" + " ".join(terms) + " )"))
+
+def count_tokens(low: Column) -> Column:
+    """Tokens of a lower-case text, counted without making them."""
+    return F.regexp_count(low, F.lit(TOKEN))
+
+
+def count_token(low: Column, term: str) -> Column:
+    """Tokens of a lower-case text that equal the term (letters and digits)."""
+    return F.regexp_count(low, F.lit(f"(?<!{_IN}){term}(?!{_IN})"))
+
+
+def count_phrase(low: Column, terms: list[str]) -> Column:
+    """Places, overlapping ones too, at which the terms are successive tokens of a lower-case text."""
+    return F.regexp_count(low, F.lit(f"(?<!{_IN})(?=" + r"[^\p{L}\p{N}]+".join(terms) + f"(?!{_IN}))"))
 
 
 def expand_identifiers(name: Column) -> Column:

@@ -1,7 +1,6 @@
 """Retrieval lanes: each gives at most one row per path, in rank order.
 
-A lane reads its table once: terms are counted inside the row with array
-functions, so nothing is exploded and nothing is shuffled but one row per hit path.
+A lane reads its table once: terms are counted inside the row, so nothing is exploded and nothing is shuffled but one row per hit path.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import basename
-from ..functions.text import count_phrase, count_token, tokens
+from ..functions.text import count_phrase, count_token, count_tokens, lowered
 
 LANE_FILES = 1000
 #: constants of the published ranking function (fixed values)
@@ -49,14 +48,16 @@ def exact(definitions: DataFrame, name: str, limit: int = LANE_FILES) -> DataFra
     return hit.orderBy("path").limit(limit)
 
 
-def _columns(regions: DataFrame) -> dict[str, Column]:
-    return {c: tokens(F.col(c)) for c in COLUMN_WEIGHTS if c in regions.columns}
+def _lowered(regions: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Regions with their texts in lower case; terms are counted in these by expressions that make no arrays."""
+    cols = [c for c in COLUMN_WEIGHTS if c in regions.columns]
+    return regions.select("id", "path", *[lowered(F.col(c)).alias(f"t_{c}") for c in cols]), {c: F.col(f"t_{c}") for c in cols}
 
 
 def term_stats(regions: DataFrame, terms: list[str]) -> dict:
     """Regions, average length, and regions per term: one pass, one row."""
-    cols = _columns(regions)
-    length = sum((F.size(c) for c in cols.values()), F.lit(0))
+    regions, cols = _lowered(regions)
+    length = sum((count_tokens(c) for c in cols.values()), F.lit(0))
     has = [F.sum(F.when(sum((count_token(c, t) for c in cols.values()), F.lit(0)) > 0, 1).otherwise(0)).alias(f"d{i}") for i, t in enumerate(terms)]
     row = regions.agg(F.count("*").alias("n"), F.avg(length).alias("avg"), *has).first()
     return {"n": row["n"], "avg": row["avg"] or 1.0, "df": {t: row[f"d{i}"] or 0 for i, t in enumerate(terms)}}
@@ -76,8 +77,8 @@ def any_terms(regions: DataFrame, terms: list[str], need_all: bool = False, limi
     if not terms:
         return regions.select("id", "path", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     stats = term_stats(regions, terms)
-    cols = _columns(regions)
-    length = sum((F.size(c) for c in cols.values()), F.lit(0))
+    regions, cols = _lowered(regions)
+    length = sum((count_tokens(c) for c in cols.values()), F.lit(0))
     freq = [sum((count_token(c, t) * COLUMN_WEIGHTS[k] for k, c in cols.items()), F.lit(0.0)) for t in terms]
     hits = regions.select("id", "path", length.alias("len"), *[f.alias(f"f{i}") for i, f in enumerate(freq)])
     test: Column = F.lit(need_all)
@@ -97,7 +98,7 @@ def _best(scored: DataFrame, limit: int) -> DataFrame:
 
 def phrase(regions: DataFrame, terms: list[str], limit: int = LANE_FILES) -> DataFrame:
     """Regions in one column of which the terms are adjacent; score is the number of such places times the column's weight."""
-    cols = _columns(regions)
+    regions, cols = _lowered(regions)
     places = sum((count_phrase(c, terms) * COLUMN_WEIGHTS[k] for k, c in cols.items()), F.lit(0.0))
     return _best(regions.select("id", "path", places.alias("score")).where("score > 0"), limit)
 
