@@ -131,6 +131,83 @@ def _productions(family: str) -> list[re.Pattern]:
     return [json]
 
 
+#: reduced groups: round, square, curly; a header that no statement has (it may be a method's name), and a group that holds one
+_P, _S, _B, _Q, _BQ = "\x01\x02\x03\x04\x05"
+_BRACES = ("typescript", "javascript", "csharp", "php", "rust")
+
+
+@cache
+def _statements(family: str) -> tuple:
+    """(faults within a level, headers of no statement, innermost groups, faults that follow reduction) by the statement productions of the grammars."""
+    m = memo(family).code
+
+    def rx(p: str) -> re.Pattern:
+        """<x>: the class of x; P, S, B: reduced groups; Z: anything within the level; !(a|b): no class of these within the level."""
+        one = lambda x: re.escape(m.get(x, m["BAD"]))
+        brackets = "".join(one(x) for x in ("(", ")", "[", "]", "{", "}", "#[", "#!["))
+        p = re.sub(r"!\(([^()]*)\)", lambda x: "[^" + brackets + "".join(one(y) for y in x[1].split("|") if y) + "]*", p)
+        p = p.replace("Z", f"[^{brackets}]*").replace("P", _P).replace("S", _S).replace("B", _B)
+        return re.compile(re.sub(r"«([^«»]+)»", lambda x: one(x[1]), p))
+
+    name = "".join(f"(?<!«{x}»)" for x in (".", "?.", "->", "?->", "::", "function", "fn", "const", "&", "@", "async", "get", "set", "*", "static") if x in m)
+    inside, headers = [], []
+    # neither three parts nor a collection
+    two = "!(;)«;»!(;)«;»!(;)"
+    if family in ("typescript", "javascript"):
+        headers = [name + f"«for»(?:«await»)?«(»(?!{two}«)»)!(of|in)«)»", name + "(?:«if»|«while»|«switch»)«(»«)»", name + "«switch»P«{»(?!«case»|«default»|«}»)Z«}»"]
+        inside = [name + "«try»B(?!«catch»|«finally»)", name + "«do»B(?!«while»P)", "(?<!«try»)(?<!«catch»)(?<!«catch»P)B«finally»B", "(?<!«try»)B«catch»B", "«{»!(if)" + name + "«else»(?=B|«return»|«if»|«throw»)"]
+    elif family == "csharp":
+        inside = [
+            f"«for»«(»(?!{two}«)»)Z«)»", "«foreach»«(»!(in)«)»", "(?:«if»|«while»|«switch»|«lock»|«catch»|«foreach»)«(»«)»", "«try»B(?!«catch»|«finally»)", "«do»B(?!«while»P)",
+            "(?<!«try»)(?<!«catch»)(?<!«catch»P)(?<!«when»P)B(?:«catch»|«finally»)", "«{»!(if)«else»", "«switch»P«{»(?!«case»|«default»|«}»)Z«}»",
+        ]
+    elif family == "php":
+        inside = [
+            name + f"«for»«(»(?!{two}«)»)Z«)»", name + "«foreach»«(»!(as)«)»", name + "(?:«if»|«while»|«switch»|«elseif»|«catch»|«foreach»)«(»«)»", name + "«try»B(?!«catch»|«finally»)", name + "«do»B(?!«while»P)",
+            "(?<!«try»)(?<!«catch»P)B(?:«catch»P|«finally»B)", "«{»!(if|elseif)" + name + "«else»(?=B|«:»)", name + "«switch»P«{»(?!«case»|«default»|«}»|«TAG»)Z«}»",
+        ]
+    elif family == "rust":
+        inside = ["(?:«;»|«{»|B)«for»(?!«<»)!(in|;)B", "«match»!(;|=>)«{»(?!«}»)!(=>)«}»", "«{»!(if|let)«else»", "(?:«if»|«else»«if»)B(?!B|P|«.»)«else»"]
+    groups = [(rx(f"«{a}»Z«{b}»"), c) for a, b, c in (("(", ")", _P), ("[", "]", _S), ("{", "}", _B), ("#[", "]", _S), ("#![", "]", _S)) if a in m and b in m]
+    # a group that holds such a header: a block has a fault, a class or an object a method of that name
+    held = rx(f"«{{»[^«{{»«}}»«(»«)»«[»«]»]*{_Q}Z«}}»")
+    block = rx(f"(?:P|«else»|«try»|«do»|«finally»|«=>»|«;»|«{{»|B){_BQ}")
+    classes = rx(f"«class»[^«;»«{{»«}}»{_B}{_BQ}]*{_BQ}")
+    return [rx(x) for x in inside], [rx(x) for x in headers], groups, held, block, classes
+
+
+def statement_faults(family: str, s: str) -> int:
+    """Statements of a class string that no production has: reduced from the innermost groups out."""
+    if family == "luau":
+        return sum(len(p.findall(s)) for p in _luau_statements())
+    if family not in _BRACES:
+        return 0
+    inside, headers, groups, held, block, classes = _statements(family)
+    s, faults, n = memo(family).code["{"] + s, 0, -1
+    while n != len(s):
+        n = len(s)
+        for p in headers:
+            s = p.sub(lambda x: _Q + (_P if x[0][-1] == memo(family).code[")"] else _B), s)
+        faults += sum(len(p.findall(s)) for p in inside)
+        if headers and _Q in s:
+            s = held.sub(_BQ, s)
+        if _BQ in s:
+            s = classes.sub(_B, s)
+            faults += len(block.findall(s))
+            s = s.replace(_BQ, _B)
+        for p, c in groups:
+            s = p.sub(c, s)
+    # what is left stands at file level, where no method does
+    return faults + s.count(_Q)
+
+
+@cache
+def _luau_statements() -> list[re.Pattern]:
+    m = memo("luau").code
+    rx = lambda p: re.compile(re.sub(r"«([^«»]+)»", lambda x: re.escape(m.get(x[1], m["BAD"])), p))
+    return [rx("«for»[^«=»«in»«do»]*«do»"), rx("«for»«ID»«=»[^«,»«do»«function»]*«do»"), rx("«elseif»[^«then»«function»«if»]*(?:«end»|«elseif»|«else»)"), rx("«while»[^«do»«function»«if»]*«end»")]
+
+
 _CLOSER = {")": "(", "]": "[", "}": "{"}
 
 
@@ -163,6 +240,9 @@ def _dm(tokens: list[str], m: _Memo) -> tuple[set, int, str]:
     start, end = code["START"], code["END"]
     stack, depth, line, indent, prev_open, control = [0], 0, [], 0, True, {}
     opener_words = {code[w] for w in ("if", "else", "for", "while", "do", "switch", "spawn", "try", "catch", "proc", "verb") if w in code}
+    before: dict[int, str] = {}  # first class of the last line at each indentation
+    owed = {code[a]: code[b] for a, b in (("try", "catch"), ("do", "while")) if a in code and b in code}
+    owner = {code["else"]: {code["if"], code["else"]}, code["catch"]: {code["try"]}}
     slash, assign, lpar, ident, var = code["/"], code["="], code["("], code["ID"], code["var"]
     lb, rb = {code[x] for x in "(["}, {code[x] for x in ")]"}
 
@@ -175,6 +255,12 @@ def _dm(tokens: list[str], m: _Memo) -> tuple[set, int, str]:
         whole.append(s)
         t = start + s + end
         pairs.update(map(str.__add__, t, t[1:]))
+        for k in [k for k in before if k > indent]:
+            faults += before.pop(k) in owed
+        if s[0] != code["}"] and s[0] != code["{"]:
+            last = before.get(indent)
+            faults += last in owed and s[0] != owed[last] or s[0] in owner and last not in owner[s[0]]
+            before[indent] = s[0]
         if indent > stack[-1]:
             if not prev_open:
                 faults += 1
@@ -215,6 +301,7 @@ def _dm(tokens: list[str], m: _Memo) -> tuple[set, int, str]:
         elif c in rb:
             depth -= 1
     flush()
+    faults += sum(x in owed for x in before.values())
     return pairs, faults, "".join(whole)
 
 
@@ -265,6 +352,7 @@ def check(family: str, data: bytes) -> tuple[list[int], list[str], int]:
             codes = {(ord(a) - base) * 1024 + ord(b) - base for a, b in set(zip(t, t[1:]))}
     for p in _productions(family):
         faults += len(p.findall(s))
+    faults += statement_faults(family, s)
     keep, table, expr_if = _bracket_rx(family)
     if expr_if:
         s = expr_if[0].sub(lambda x: x[0].replace(expr_if[1], ""), s)

@@ -61,6 +61,34 @@ def test_valid_and_invalid_sources(family):
         assert not valid(family, s), s
 
 
+#: adjacent pairs and brackets are fine, statements are not
+NO_STATEMENT = {
+    "typescript": ["function f() { for (i = 0; i < n) {} }\n", "try { } x();\n", "class A { f() { for (x) {} } }\n"],
+    "javascript": ["for (i = 0; i < n) {}\n", "a(() => { try { } x(); })\n"],
+    "csharp": ["class A { void F() { for (i = 0; i < n) {} } }\n", "class A { void F() { try { } x(); } }\n"],
+    "php": ["<?php\nfor ($i = 0; $i < $n) {}\n", "<?php\ntry { } x();\n", "<?php\nforeach ($a) {}\n"],
+    "rust": ["fn f() { ; for x { } }\n", "fn f() { match x { 1 } }\n"],
+    "luau": ["for i do\nend\n", "for i = 1 do end\n"],
+    "dreammaker": ["/proc/f()\n\ttry\n\t\tx()\n\ty()\n", "/proc/f()\n\tx()\n\telse\n\t\ty()\n"],
+}
+STATEMENTS = {
+    "typescript": [
+        "class A { for(x) { } catch(e) { } if() { } switch(a) { x() } }\n", "const a = { for(x) { return 1 }, try: 1 }\nfor (const a of b) {}\nfor (;;) {}\nSymbol.for('x');p.catch(() => {});\n",
+        "for await (const [k, {v}] of f(a, () => { for (;;) {} })) { }\ntry {} finally {}\ntry {} catch {} finally {}\ndo { x() } while (a)\nif (a) {} else if (b) {} else {}\n",
+    ],
+    "csharp": ["class A { void F() { for (;;) { } foreach (var a in b) { } try { } catch (E e) when (e.X) { } catch { } finally { } do { } while (a); if (a) { } else { } } }\n"],
+    "dreammaker": ["/proc/f()\n\ttry\n\t\tx()\n\tcatch(var/e)\n\t\ty()\n\tif(a)\n\t\tx()\n\telse if(b)\n\t\ty()\n\telse\n\t\tz()\n"],
+}
+
+
+@pytest.mark.parametrize("family", list(SOURCES))
+def test_statements_of_no_production(family):
+    for s in NO_STATEMENT[family]:
+        assert not valid(family, s), s
+    for s in STATEMENTS.get(family, []):
+        assert lexcheck.check(family, s.encode())[2] == 0, s
+
+
 def test_comment_with_foreign_bytes_is_valid():
     assert valid("rust", b"// \xff\xfe\nfn f() {}\n")
     assert not valid("rust", b"fn f() { \xff }\n")
