@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..session import write_stage
 
@@ -31,7 +32,7 @@ TASK_ROWS = 150_000
 
 
 def _contract(kind: pa.DataType):
-    """Follows chains within a partition: (id, parent, w) -> (id, part, top, exit, dist, cyclic)."""
+    """Follows chains within a partition: (id, parent, w) -> (id, part, top, exit, own, dist, cyclic); own: the weight of a top's link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -75,10 +76,11 @@ def _contract(kind: pa.DataType):
                     pa.array([part] * len(rows), pa.int32()),
                     pa.array([ids[top[i]] if d else None for i, d in zip(rows, done)], kind),
                     pa.array([parents[i] if d and up[i] < 0 else None for i, d in zip(rows, done)], kind),
+                    pa.array([weights[i] if d and up[i] < 0 else None for i, d in zip(rows, done)], pa.int64()),
                     pa.array([dist[i] if d else None for i, d in zip(rows, done)], pa.int64()),
                     pa.array([not d for d in done], pa.bool_()),
                 ],
-                names=["id", "part", "top", "exit", "dist", "cyclic"],
+                names=["id", "part", "top", "exit", "own", "dist", "cyclic"],
             )
 
     return run
@@ -156,7 +158,7 @@ def _solve(q: DataFrame, count: int, order: list[str], with_path: bool, task_row
     # a single task only where the count says that it fits one
     placed = q.coalesce(1) if parts == 1 else q.repartitionByRange(parts, *order)
     found = T.StructType(
-        [T.StructField("id", kind), T.StructField("part", T.IntegerType()), T.StructField("top", kind), T.StructField("exit", kind), T.StructField("dist", T.LongType()), T.StructField("cyclic", T.BooleanType())]
+        [T.StructField("id", kind), T.StructField("part", T.IntegerType()), T.StructField("top", kind), T.StructField("exit", kind), T.StructField("own", T.LongType()), T.StructField("dist", T.LongType()), T.StructField("cyclic", T.BooleanType())]
     )
     trail_type = T.StructType([T.StructField("id", kind), T.StructField("root", kind), T.StructField("depth", T.LongType()), T.StructField("trail", T.ArrayType(kind)), T.StructField("cyclic", T.BooleanType())])
     none, no_trail = F.lit(None).cast(kind), F.lit(None).cast(T.ArrayType(kind))
@@ -175,8 +177,9 @@ def _solve(q: DataFrame, count: int, order: list[str], with_path: bool, task_row
             return trails(links.withColumn("root", F.col("id")).withColumn("depth", F.lit(0).cast("long")), False)
         return frag.select("id", F.col("top").alias("root"), F.col("dist").alias("depth"), no_trail.alias("trail"), "cyclic")
     tops = frag.where("id = top")
-    inner = frag.select(F.col("id").alias("exit"), F.col("top").alias("parent"), (F.coalesce("dist", F.lit(0)) + 1).alias("w"), F.col("cyclic").alias("into_cycle"))
-    edges = tops.select("id", "exit").where("exit IS NOT NULL").hint("shuffle_hash").join(inner, "exit")
+    inner = frag.select(F.col("id").alias("exit"), F.col("top").alias("parent"), F.coalesce("dist", F.lit(0)).alias("below"), F.col("cyclic").alias("into_cycle"))
+    edges = tops.select("id", "exit", "own").where("exit IS NOT NULL").hint("shuffle_hash").join(inner, "exit")
+    edges = edges.withColumn("w", F.col("below") + F.col("own")).drop("below", "own")
     if with_path:
         # only nodes that other fragments hang on need their trail before the quotient is solved
         asked = edges.select(F.col("exit").alias("id"), F.lit(True).alias("wanted")).distinct()
@@ -299,9 +302,9 @@ def _totals(q: DataFrame, count: int, order: list[str], task_rows: int) -> DataF
     parts = max(1, -(-count // task_rows))
     placed = q.coalesce(1) if parts == 1 else q.repartitionByRange(parts, *order)
     found = T.StructType(
-        [T.StructField("id", kind), T.StructField("part", T.IntegerType()), T.StructField("top", kind), T.StructField("exit", kind), T.StructField("dist", T.LongType()), T.StructField("cyclic", T.BooleanType())]
+        [T.StructField("id", kind), T.StructField("part", T.IntegerType()), T.StructField("top", kind), T.StructField("exit", kind), T.StructField("own", T.LongType()), T.StructField("dist", T.LongType()), T.StructField("cyclic", T.BooleanType())]
     )
-    frag = placed.select("id", "parent", "w").mapInArrow(_contract(arrow), found).drop("cyclic")
+    frag = placed.select("id", "parent", "w").mapInArrow(_contract(arrow), found).drop("own", "cyclic")
     rows = write_stage(q.join(frag.hint("shuffle_hash"), "id"), "rows")
 
     def gather(r: DataFrame) -> DataFrame:
@@ -328,15 +331,40 @@ def _totals(q: DataFrame, count: int, order: list[str], task_rows: int) -> DataF
     return gather(r.withColumn("c", F.col("c") + F.coalesce("more", F.lit(0))).withColumn("h", F.greatest("h", F.coalesce("far", F.lit(0)))))
 
 
-def commit_subtrees(commits: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(oid, descendants, height) of every rooted commit, by the same contraction: sums within partitions, then of the
-    quotient forest, then within partitions again.  Paths are made only where a round does not shrink the forest."""
-    order = ["member", "observed_at", "id"]
-    one = write_stage(current_commits(commits), "current")
+def _subtrees(one: DataFrame, order: list[str], task_rows: int) -> DataFrame:
+    """(id, total, height) of the rooted nodes of ``one``."""
     rooted = _hierarchy(one, order, False, task_rows).where(~F.col("cyclic")).select("id")
     q = one.join(rooted.hint("shuffle_hash"), "id").select("id", "parent", F.lit(1).cast("long").alias("w"), F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("h"), "member", "observed_at")
     q = write_stage(q, "rooted")
     got = _totals(q, q.count(), order, task_rows)
     if got is None:
         got = subtree_sizes(_hierarchy(one, order, True, task_rows)).select("id", (F.col("descendants") + 1).alias("total"), "height")
+    return got
+
+
+def commit_subtrees(commits: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(oid, descendants, height) of every rooted commit, by the same contraction: sums within partitions, then of the
+    quotient forest, then within partitions again.  Paths are made only where a round does not shrink the forest."""
+    got = _subtrees(write_stage(current_commits(commits), "current"), ["member", "observed_at", "id"], task_rows)
     return got.select(F.lower(F.hex("id")).alias("oid"), (F.col("total") - 1).alias("descendants"), "height")
+
+
+def commit_descendants(commits: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(oid, root, place, last) of every rooted commit: all descendants of all commits, in one row each.
+
+    ``place`` numbers a tree in pre-order, children by oid, its root 0.  The descendants of a commit are
+    the rows of its root whose place is above its own and at most its ``last``.  A place is the sum,
+    along the path, of one and the sizes of the earlier siblings' subtrees: a weighted depth.
+    """
+    order = ["member", "observed_at", "id"]
+    one = write_stage(current_commits(commits), "current")
+    got = write_stage(_subtrees(one, order, task_rows).select("id", "total"), "totals")
+    nodes = one.join(got.hint("shuffle_hash"), "id")
+    earlier = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    # roots have no siblings and would be one group
+    below = nodes.where("parent IS NOT NULL").withColumn("w", F.coalesce(F.sum("total").over(earlier), F.lit(0)) + 1)
+    q = below.unionByName(nodes.where("parent IS NULL").withColumn("w", F.lit(1).cast("long")))
+    q = write_stage(q.select("id", "parent", "w", "total", F.lit(None).cast(T.ArrayType(T.BinaryType())).alias("hop"), "member", "observed_at"), "weighted")
+    solved = _solve(q.drop("total"), q.count(), order[:2], False, task_rows).select("id", "root", F.col("depth").alias("place"))
+    text = lambda c: F.lower(F.hex(c))
+    return solved.join(got.hint("shuffle_hash"), "id").select(text("id").alias("oid"), text("root").alias("root"), "place", (F.col("place") + F.col("total") - 1).alias("last"))

@@ -22,7 +22,12 @@ def p6_subtrees(spark: SparkSession, d: str) -> DataFrame:
     return H.commit_subtrees(table(spark, d, "commits"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_subtrees": p6_subtrees}
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every commit: the rows of its root with a place above its own and up to its last."""
+    return H.commit_descendants(table(spark, d, "commits"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_subtrees": p6_subtrees, "p6_descendants": p6_descendants}
 
 _CURRENT = r"""
 WITH RECURSIVE raw AS (SELECT oid, regexp_replace(lower(arg_max(coalesce(parent, ''), observed_at)), '\s', '', 'g') AS p FROM commits WHERE oid IS NOT NULL GROUP BY oid),
@@ -38,4 +43,9 @@ SQL = {
     "p6_subtrees": _CURRENT
     + """, up AS (SELECT oid, unnest(string_split(path, '/')) AS ancestor, depth, unnest(range(depth + 1)) AS place FROM down)
 SELECT ancestor AS oid, count(*) - 1 AS descendants, CAST(max(depth - place) AS BIGINT) AS height FROM up GROUP BY ancestor""",
+    # '/' is below every hexadecimal digit, so paths sort in pre-order
+    "p6_descendants": _CURRENT
+    + """, n AS (SELECT oid, root, path, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place FROM down),
+up AS (SELECT unnest(string_split(path, '/')) AS ancestor FROM down), c AS (SELECT ancestor, count(*) - 1 AS n FROM up GROUP BY ancestor)
+SELECT n.oid, root, place, place + c.n AS last FROM n JOIN c ON c.ancestor = n.oid""",
 }

@@ -80,3 +80,31 @@ def test_commit_subtrees_over_several_levels(spark):
             want[oid(x)] = (n + 1, max(h, len(path) - 1 - k))
     for task_rows in (10**6, 120):
         assert {r.oid: (r.descendants, r.height) for r in H.commit_subtrees(c, task_rows).collect()} == want
+
+
+def test_commit_descendants_hold_them_all(spark):
+    p = {i: q for i, q in forest(700, 9, 0.9).items() if i <= 700}
+    oid = lambda i: None if i is None else "%040x" % (i + 1)
+    rows = [("m%d" % (i % 2), oid(i), oid(q), i) for i, q in p.items()]
+    c = spark.createDataFrame(rows, "member string, oid string, parent string, t long").selectExpr("member", "oid", "parent", "timestamp_seconds(t) AS observed_at")
+    want = {(oid(x), oid(path[-1])) for path in filter(None, brute(p).values()) for x in path[:-1]}
+    for task_rows in (10**6, 120, 40):
+        at = {r.oid: r for r in H.commit_descendants(c, task_rows).collect()}
+        place = {(r.root, r.place): r.oid for r in at.values()}
+        assert len(place) == len(at) == sum(x is not None for x in brute(p).values())
+        assert {(r.oid, place[r.root, k]) for r in at.values() for k in range(r.place + 1, r.last + 1)} == want
+
+
+def test_depths_over_several_levels(spark):
+    p = forest(3000, 5, 0.97)
+    got = {r.id: r.depth for r in H.hierarchy(spark.createDataFrame(list(p.items()), "id long, parent long"), with_path=False, task_rows=40).collect()}
+    assert got == {i: len(path) - 1 if path else None for i, path in brute(p).items()}
+
+
+def test_descendants_query_matches_its_sql(spark, small):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    sql = entry.oracle_sql()["p6_descendants"].replace("FROM commits", f"FROM '{small}/commits.parquet'")
+    want = sorted(tuple(r) for r in duckdb.sql(sql).fetchall())
+    assert sorted(tuple(r) for r in entry.queries()["p6_descendants"](spark, small).collect()) == want
