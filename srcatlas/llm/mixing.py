@@ -1,9 +1,9 @@
 """Problem 8: mixing sources to target weights.
 
 Sizes are counted in tokens of a public tokenizer.  Weights are the given target
-shares or, without targets, the sources' token shares to an exponent that is
-bisected until the weights have a wanted entropy or no source must be repeated
-more often than allowed.  Normalised weights become token budgets; a
+shares; a source without one, or all sources where the target table is empty, has a
+part of what the shares leave, by the sources' token shares to an exponent that is bisected until
+no source must be repeated more often than allowed.  Weights become token budgets; a
 budget is realised as whole passes over the source and a part of one more,
 taken along a pseudo-random permutation in blocks: whole blocks by the sums of
 blocks, and one block by a running sum within it.
@@ -75,10 +75,11 @@ def entropy(weights: dict[str, float]) -> float:
 
 
 def bisect_exponent(sizes: dict[str, float], target_entropy: float | None = None, budget: float | None = None, max_repeats: dict[str, float] | None = None) -> float:
-    """The exponent in [0, 1] whose weights have ``target_entropy``, or the least one that repeats no source beyond its limit.
+    """The exponent of at least 0 whose weights have ``target_entropy``, or the least one in [0, 1] that repeats no source beyond its limit.
 
-    Entropy falls, and the most-repeated source's need falls, as the exponent grows,
-    so either is found by bisection; the nearer end is returned where the goal is out of range.
+    Entropy falls as the exponent grows, from that of equal weights to that of the largest sources alone; the upper end
+    is doubled until it is low enough.  Up to 1 the most-repeated source's need falls too.  Either is
+    found by bisection; the nearer end is returned where the goal is out of range.
     """
     def short(x: float) -> bool:
         w = temperature_weights(sizes, x)
@@ -89,6 +90,9 @@ def bisect_exponent(sizes: dict[str, float], target_entropy: float | None = None
     lo, hi = 0.0, 1.0
     if not short(lo):
         return lo
+    # at 1024 a source of 99 % of the largest one's size has a weight of 1e-5 of its
+    while target_entropy is not None and short(hi) and hi < 1024:
+        lo, hi = hi, hi * 2
     if short(hi):
         return hi
     for _ in range(60):
@@ -101,11 +105,13 @@ def source_sizes(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target source: source (as spelt there), target_share, max_repeats, documents, tokens, all_tokens.
 
     ``all_tokens`` is the size of all documents together, each counted once, whether
-    or not their source is a target.
+    or not their source is a target.  An empty target table stands for all sources of the documents, without shares.
     """
     by = sized.groupBy(source_key(F.col("source")).alias("key")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     total = by.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
     t = targets.where("source IS NOT NULL").select("source", "target_share", "max_repeats", source_key(F.col("source")).alias("key")).dropDuplicates(["key"])
+    if t.isEmpty():
+        t = by.where("key IS NOT NULL").select(F.col("key").alias("source"), F.lit(None).cast("double").alias("target_share"), F.lit(None).cast("long").alias("max_repeats"), "key")
     # total has one row
     out = t.join(by, "key", "left").join(F.broadcast(total))
     return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "all_tokens")
@@ -118,11 +124,45 @@ def reachable(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("wanted_tokens", need).withColumn("possible_tokens", most).withColumn("reachable", most >= need)
 
 
+def plan(sizes: list[dict], total_tokens: int | None = None) -> list[dict]:
+    """``source_sizes``' rows with weight, wanted and possible tokens, budget, reachable and tempered_share.
+
+    The weight is the target share; sources without one divide what the shares leave, by tempered weights
+    that repeat none beyond its limit where any do.  ``tempered_share``: the tempered weight, over all
+    sources, of equal entropy.  The budget is the wanted tokens up to the possible ones.
+    """
+    rows = [dict(r) for r in sizes]
+    total = total_tokens if total_tokens is not None else (rows[0]["all_tokens"] if rows else 0)
+    have = {r["source"]: float(r["tokens"]) for r in rows}
+    limit = {r["source"]: 1 if r["max_repeats"] is None else r["max_repeats"] for r in rows}
+    weight = {r["source"]: r["target_share"] for r in rows if r["target_share"] is not None}
+    free = {k: v for k, v in have.items() if k not in weight}
+    rest = max(0.0, 1.0 - sum(weight.values()))
+    share = temperature_weights(free, bisect_exponent(free, budget=rest * total, max_repeats=limit))
+    weight |= {k: rest * w for k, w in share.items()}
+    tempered = temperature_weights(have, bisect_exponent(have, target_entropy=entropy(weight)))
+    for r in rows:
+        k = r["source"]
+        r["weight"], r["tempered_share"] = weight[k], tempered[k]
+        r["wanted_tokens"], r["possible_tokens"] = weight[k] * total, r["tokens"] * limit[k]
+        # a tempered budget at its very limit is as large as that limit but for rounding
+        r["reachable"] = r["possible_tokens"] >= r["wanted_tokens"] - (1e-6 * total if k in free else 0)
+        r["budget"] = float(min(r["wanted_tokens"], r["possible_tokens"]))
+    return rows
+
+
+def planned(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[list[dict], DataFrame]:
+    """``plan`` of the sources as rows (one per source: the mix's configuration, not its data), and as a frame."""
+    rows = plan([r.asDict() for r in source_sizes(sized, targets).collect()], total_tokens)
+    kinds = {"source": "string", "target_share": "double", "max_repeats": "long", "documents": "long", "tokens": "long", "wanted_tokens": "double", "budget": "double", "tempered_share": "double", "reachable": "boolean"}
+    return rows, sized.sparkSession.createDataFrame([tuple(r[k] for k in kinds) for r in rows], ", ".join(f"{k} {v}" for k, v in kinds.items()))
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, block_documents: int = 20000, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(documents of the mix, report).
 
     Documents: doc_id, source, tokens, copies (at least 1).  Report: per target source the
-    target share, the exponent-tempered share of equal entropy, budget and reached tokens,
+    target share (null: tempered), the exponent-tempered share of equal entropy, budget and reached tokens,
     reached share, copies of its most used document, and whether its share is reachable.
 
     The mix has ``total_tokens`` tokens (default: as many as all documents together) where
@@ -131,21 +171,14 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     Documents with a null id or of no target source, and those without tokens, aren't used.
     """
     sized = write_stage(with_tokens(documents, vocabulary).withColumn("key", source_key(F.col("source"))), "sized")
-    sizes = reachable(source_sizes(sized, targets))
-    # one row per target source: a table of the mix's configuration, not of the data
-    plan = [r.asDict() for r in sizes.collect()]
-    have = {r["source"]: float(r["tokens"]) for r in plan}
-    want = {r["source"]: r["target_share"] or 0.0 for r in plan}
-    tempered = temperature_weights(have, bisect_exponent(have, target_entropy=entropy(want)))
-    total = total_tokens if total_tokens is not None else (plan[0]["all_tokens"] if plan else 0)
+    rows, sizes = planned(sized, targets, total_tokens)
     budgets = []
-    for r in plan:
-        budget = min(want[r["source"]] * total, r["tokens"] * (r["max_repeats"] or 1))
-        passes = int(budget // r["tokens"]) if r["tokens"] else 0
+    for r in rows:
+        passes = int(r["budget"] // r["tokens"]) if r["tokens"] else 0
         blocks = max(1, -(-r["documents"] // block_documents))
-        budgets.append((r["source"], r["source"].strip().lower(), float(budget), passes, float(budget - passes * r["tokens"]), blocks, tempered[r["source"]]))
+        budgets.append((r["source"], r["source"].strip().lower(), passes, float(r["budget"] - passes * r["tokens"]), blocks))
     spark = documents.sparkSession
-    b = spark.createDataFrame(budgets, "mix_source string, key string, budget double, passes int, rest double, blocks int, tempered_share double")
+    b = spark.createDataFrame(budgets, "mix_source string, key string, passes int, rest double, blocks int")
     d = sized.where("doc_id IS NOT NULL AND tokens > 0").join(F.broadcast(b), "key")
     d = d.withColumn("place", F.xxhash64("doc_id", F.lit(seed))).withColumn("block", F.pmod("place", F.col("blocks")))
     sums = d.groupBy("key", "block").agg(F.sum("tokens").alias("block_tokens"))
@@ -162,7 +195,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     used = write_stage(used, "mix")
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
     all_used = got.agg(F.sum("reached_tokens").alias("mix_tokens"))
-    report = sizes.select("source", "target_share", "max_repeats", "documents", "tokens", "reachable").join(b.select(F.col("mix_source").alias("source"), "budget", "tempered_share"), "source").join(got, "source", "left").join(F.broadcast(all_used))
+    report = sizes.join(got, "source", "left").join(F.broadcast(all_used))
     report = report.select(
         "source", "target_share", "tempered_share", "max_repeats", "documents", "tokens", "budget", F.coalesce("reached_tokens", F.lit(0)).alias("reached_tokens"),
         F.coalesce(F.col("reached_tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "reachable",

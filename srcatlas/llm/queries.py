@@ -81,8 +81,8 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.with_tokens(table(spark, d, "documents"))
-    return mixing.reachable(mixing.source_sizes(write_stage(sized, "sized"), table(spark, d, "mix_targets"))).where("NOT reachable").select("source")
+    sized = write_stage(mixing.with_tokens(table(spark, d, "documents")), "sized")
+    return mixing.planned(sized, table(spark, d, "mix_targets"))[1].where("NOT reachable").select("source")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -107,6 +107,33 @@ def test_mix(spark):
     assert e_used.count() == 0 and e_report.count() == 4
 
 
+def test_exponent_above_one_reaches_a_concentrated_target():
+    sizes = {"a": 500.0, "b": 300.0, "c": 200.0}
+    x = mixing.bisect_exponent(sizes, target_entropy=0.3)
+    assert x > 1 and abs(mixing.entropy(mixing.temperature_weights(sizes, x)) - 0.3) < 1e-9
+
+
+def test_plan_limits_tempered_weights_by_repeats():
+    rows = [{"source": k, "target_share": None, "max_repeats": m, "documents": 9, "tokens": n, "all_tokens": 1000} for k, n, m in (("a", 900, 1), ("b", 90, 2), ("c", 10, 4))]
+    got = {r["source"]: r for r in mixing.plan(rows)}
+    assert all(r["reachable"] and r["budget"] <= r["possible_tokens"] for r in got.values()) and got["c"]["budget"] > 10
+    assert abs(sum(r["budget"] for r in got.values()) - 1000) < 1e-2
+    rows[0]["target_share"] = 0.95
+    got = {r["source"]: r for r in mixing.plan(rows)}
+    assert not got["a"]["reachable"] and abs(got["b"]["wanted_tokens"] + got["c"]["wanted_tokens"] - 50) < 1e-6
+
+
+def test_mix_without_targets(spark):
+    rows = [(i, " ".join(WORDS[:20]), None, s, None, None) for i, s in enumerate(["big"] * 40 + ["small"] * 4)]
+    d = spark.createDataFrame(rows, DOCS)
+    none = spark.createDataFrame([], "source string, target_share double, max_repeats long")
+    used, report = mixing.mix(d, none)
+    assert {r.doc_id: r.copies for r in used.collect()} == {i: 1 for i in range(44)}
+    total = sum(r.tokens for r in report.collect())
+    half = {r.source: r for r in mixing.mix(d, none, total_tokens=total // 4)[1].collect()}
+    assert half["small"].reached_share > 0.25 and half["small"].most_copies == 1
+
+
 def graded(n, seed):
     rng = random.Random(seed)
     easy, mid, hard = WORDS[:40], WORDS[40:80], WORDS[80:]
