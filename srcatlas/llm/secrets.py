@@ -43,8 +43,12 @@ WORDS = re.compile(r"^(?:[a-z]+(?:[ ._/-]+[a-z]+)*[.!?]?|[A-Z]+(?:[ _-][A-Z]+)*|
 HEX = re.compile(r"^[0-9a-fA-F]+$")
 
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+PEM_MARK = re.compile(r"-----(?:END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?|BEGIN [A-Z0-9 ]+)-----")
+#: a line of a key block: a header, or no word but base 64
+KEY_LINE = re.compile(r"[^\w\n]*(?:[A-Za-z][A-Za-z-]*: .*|[A-Za-z0-9+/=]{1,15}[^\w\n]*)?$")
 B64_RUN = re.compile(r"[A-Za-z0-9+/=]{16,}")
+#: the short last line of a key
+B64_REST = re.compile(r"(?m)^[^\nA-Za-z0-9]*([A-Za-z0-9][A-Za-z0-9+/=]{0,14})[^\nA-Za-z0-9]*$")
 URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s@\"'`<>/]{3,})@[\w\[.-]")
 URL_PARAM = re.compile(r"(?i)[?&](?:key|api_?key|access_?token|auth_?token|token|sig|signature|secret|client_secret|password|pwd|auth)=([A-Za-z0-9._~%+/=-]{12,})")
 HEADER = re.compile(r"(?i)\bauthorization[\"']?\s*[:=]\s*[\"']?(?:bearer|basic|token|apikey|digest)\s+([A-Za-z0-9._~+/=-]{12,})")
@@ -78,7 +82,7 @@ def mixed(v: str) -> bool:
 
 def is_secret_value(v: str, named: bool) -> bool:
     """The value's shape is that of a secret; ``named``: it stands under a sensitive name."""
-    if len(v) < 6 or len(v) > 4096 or STAND_IN.match(v) or UUID.match(v) or DIGEST.match(v) or WORDS.match(v):
+    if len(v) < 6 or STAND_IN.match(v) or UUID.match(v) or DIGEST.match(v) or WORDS.match(v):
         return False
     if " " in v or "://" in v or v.startswith(("data:", "-----")) or v.isdigit() or v[0] == "/" and not mixed(v):
         return False
@@ -143,6 +147,18 @@ def _sensitive(name: str) -> bool:
     return bool(SENSITIVE.search(last)) and not REFERS.search(last)
 
 
+def _key_end(text: str, at: int, limit: int) -> int:
+    """End of the last contiguous line of a key block that has no END; what follows BEGIN on its line belongs to it."""
+    first = True
+    while at < limit:
+        nl = text.find("\n", at, limit)
+        stop = limit if nl < 0 else nl + 1
+        if not first and not KEY_LINE.match(re.sub(r"\\[nrt]", "", B64_RUN.sub("", text[at:stop])).rstrip("\n")):
+            return at
+        at, first = stop, False
+    return at
+
+
 def find(path: str, text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the live credentials in a Latin-1 text, in order and without overlaps.
 
@@ -150,11 +166,13 @@ def find(path: str, text: str) -> list[tuple[int, int, str]]:
     """
     found: list[tuple[int, int, str, int]] = []
     for m in PEM.finditer(text):
-        end = PEM_END.search(text, m.end())
-        stop = end.start() if end and end.start() - m.end() < 20000 else min(len(text), m.end() + 4000)
+        # up to END, or to another BEGIN or the last contiguous line of base 64 where END is missing
+        end = PEM_MARK.search(text, m.end())
+        stop = end.start() if end and end[0].startswith("-----END") else _key_end(text, m.end(), end.start() if end else len(text))
         runs = [r for r in B64_RUN.finditer(text, m.end(), stop)]
         if sum(len(r[0]) for r in runs) >= 64:
             found += [(r.start(), r.end(), "private_key", m.start() if i == 0 else -1) for i, r in enumerate(runs)]
+            found += [(r.start(1), r.end(1), "private_key", -1) for r in B64_REST.finditer(text, runs[0].end(), stop)]
     ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
     fmt = FORMATS.get(ext)
     if fmt in ("json", "yaml", "ini"):
@@ -194,7 +212,7 @@ def find(path: str, text: str) -> list[tuple[int, int, str]]:
             if not (_sensitive(name) or fmt and _sensitive(SUFFIX.sub("", name))):
                 continue
             parts, at = [], m.end() - 1
-            while len(parts) < 4 and (x := LITERAL.match(line, at)):
+            while (x := LITERAL.match(line, at)):
                 parts.append((x.start(2), x.end(2)))
                 j = JOIN.match(line, x.end())
                 at = j.end() if j else x.end()

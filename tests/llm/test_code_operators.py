@@ -192,6 +192,26 @@ def test_private_key_counts_once_and_certificates_never():
     assert not secrets.find("a.rs", body.replace("RSA PRIVATE", "PUBLIC"))
 
 
+def masked(path, text):
+    return secrets.redact(text.encode("latin-1"), [(a, b) for a, b, _, _ in secrets.find(path, text)]).decode("latin-1")
+
+
+def test_credentials_of_any_length():
+    blob = "aB3dE9" * 1000
+    assert [p >= 0 for *_, p in secrets.find("a.json", '{"keystore_password": "%s"}' % blob)] == [True]
+    parts = ["q7Rt%dZx" % i for i in range(9)]
+    out = masked("a.js", "const api_key = " + " + ".join(f"'{x}'" for x in parts) + ";")
+    assert not [x for x in parts if x in out]
+
+
+@pytest.mark.parametrize("end", ["-----END PGP PRIVATE KEY BLOCK-----\n", ""])
+def test_whole_key_block_is_masked(end):
+    lines = ["aB3dE9gH" * 8] * 500 + ["Zz9Yy8"]
+    code = "fn after_the_key_and_its_code(argument_of_it: u32) -> u32 { 1 }\n"
+    out = masked("a.rs", "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1.0\n\n" + "\n".join(lines) + "\n" + end + code)
+    assert "aB3dE9gH" not in out and code in out and (not end or "Zz9Yy8" not in out)
+
+
 def test_redaction_keeps_length_and_leaves_nothing(spark):
     rows = [(i, "m", p, t.encode()) for i, (p, t, _) in enumerate(CASES)]
     files, contents = tables(spark, rows)
