@@ -135,8 +135,6 @@ def body_facts(fam: str, data: bytes) -> tuple[bool, bool, bool, bool, np.ndarra
     comments = 0
     for t in {t for t in tokens if is_comment(t, luau)}:
         comments += len(t)
-        if len(t) > 4000:
-            t = t[:2000] + "\n" + t[-2000:]
         for line in _FOOT.split(t):
             line = _LEAD.sub("", line)
             if GENERATED_NOTE.match(line):

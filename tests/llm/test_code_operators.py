@@ -160,6 +160,13 @@ def test_origins(spark):
     assert {6, 8, 10, 14} <= hand and 1 in hand
 
 
+def test_note_in_the_middle_of_a_long_comment():
+    pad = " * All rights are reserved by the authors of this file.\n" * 100
+    for note, want in (("Code generated by x 1.0. DO NOT EDIT.", (True, False)), ("vendored copy of foo 1.2", (False, True))):
+        facts = handwritten.body_facts("rust", f"/*\n{pad} * {note}\n{pad} */\nfn f() {{}}\n".encode())
+        assert facts[:2] == want
+
+
 def test_winnowing_finds_a_shared_run():
     import numpy as np
 
