@@ -209,14 +209,37 @@ class Index:
                 runs.append((i1 - i0 - d, i0, i1, x0, x1, own))
         if not runs:
             return 0
-        runs.sort(reverse=True)
-        best = 0
-        for a, r in enumerate(runs[:12]):
-            got, own = r[0], r[5]
-            two = [(q[0], q[5]) for q in runs[a + 1 : 40] if (q[1] >= r[2] - 2 and q[3] >= r[4] - 2) or (q[2] <= r[1] + 2 and q[4] <= r[3] + 2)]
-            for g, o in [(0, 0), *two[:1]]:
-                if (own + o) * 4 >= n * SHARE and got + g >= best:
-                    best = got + g
+        return self.best(n, runs)
+
+    @staticmethod
+    def best(n: int, runs: list[tuple[int, int, int, int, int, int]]) -> int:
+        """The most words of one run, or of two in order (matched, item from, to, document from, to, own), 0 if under the share.
+
+        One run precedes another if it ends at most two words after the other begins, in the item and in the
+        document.  Runs are swept by where they begin in the document; of those that have ended there, each item
+        end keeps the (own, matched) that no other exceeds in both.  So every pair counts, and a run is compared with what
+        differs in the item, however often a document repeats it.
+        """
+        need = n * SHARE / 4
+        best = max((r[0] for r in runs if r[5] >= need), default=0)
+        starts = sorted(runs, key=lambda r: r[3])
+        ends = sorted(runs, key=lambda r: r[4])
+        # front[e]: (own, matched) pairs, none dominated, of the runs with item end e
+        front: dict[int, list[tuple[int, int]]] = {}
+        k = 0
+        for r in starts:
+            while k < len(ends) and ends[k][4] <= r[3] + 2:
+                q = ends[k]
+                k += 1
+                f = front.setdefault(q[2], [])
+                if not any(o >= q[5] and g >= q[0] for o, g in f):
+                    f[:] = [(o, g) for o, g in f if o > q[5] or g > q[0]]
+                    f.append((q[5], q[0]))
+            for e, f in front.items():
+                if e <= r[1] + 2:
+                    for own, got in f:
+                        if own + r[5] >= need and got + r[0] > best:
+                            best = got + r[0]
         return best if best >= SHARE * n - 1e-9 else 0
 
     @staticmethod

@@ -73,6 +73,31 @@ def test_standing_instruction_is_no_leak(spark):
     assert got == {(2, 2)}
 
 
+def test_second_run_behind_many_copies_of_the_first():
+    w = item(1).split()
+    other = lambda k: item(500 + k, 60)
+    doc = " ".join(f"{' '.join(w[:15])} {other(k)}" for k in range(60)) + " " + " ".join(w[40:52])
+    (got,) = leakage.Index([(7, item(1))]).search([doc])
+    assert got[:2] == (0, 0) and got[2] >= 26
+    assert not leakage.Index([(7, item(1))]).search([" ".join(w[40:52]) + " " + doc.rsplit(" ", 12)[0]])
+
+
+def test_best_pair_of_runs_matches_brute_force():
+    rng = random.Random(11)
+    for _ in range(400):
+        n, runs = rng.randrange(20, 60), []
+        for _ in range(rng.randrange(1, 60)):
+            i, x, k = rng.randrange(n), rng.randrange(300), rng.randrange(6, 12)
+            runs.append((rng.randrange(3, k + 1), i, i + k, x, x + k, rng.randrange(k)))
+        need, want = n * leakage.SHARE, 0
+        for q in runs:
+            for r in [None, *runs]:
+                if r is None or q[2] <= r[1] + 2 and q[4] <= r[3] + 2:
+                    if (q[5] + (r[5] if r else 0)) * 4 >= need:
+                        want = max(want, q[0] + (r[0] if r else 0))
+        assert leakage.Index.best(n, runs) == (want if want >= need - 1e-9 else 0)
+
+
 def test_exponent_bisection():
     sizes = {"a": 900.0, "b": 90.0, "c": 10.0, "d": 0.0}
     w1 = mixing.temperature_weights(sizes, 1.0)
