@@ -5,7 +5,7 @@ on a bounded sample; each leaf has about ``list_size`` vectors.  A vector is
 stored in every list whose squared distance is within a ratio of that of its
 nearest one, up to a number of replicas, so vectors near a boundary stand in several
 lists.  Centroids are searched through an in-memory graph of their
-neighbours (by one product where they are few).  Lists are compared as matrix products
+neighbours, however many they are.  Lists are compared as matrix products
 within a list; a list longer than ``block`` is worked in pairs of blocks.
 
 Exact copies of a vector are one entry of the index (their least key), so a group
@@ -30,6 +30,8 @@ from ..session import write_stage
 
 DIMS = 64
 GRAPH = 24
+#: least width of the beam, lists expanded at once, and entries of a block's table of similarities
+BEAM, EXPAND, ROWS = 32, 8, 1 << 20
 
 
 def usable(vectors: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -109,38 +111,54 @@ class Centroids:
         return cls(leaf, g, tops, np.array([np.resize(e, width) for e in entry]))
 
     def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lists, similarities) of the n nearest centroids of each row, nearest first."""
+        """(lists, similarities) of the n nearest centroids of each row, nearest first: always n distinct lists."""
+        n = min(n, len(self.leaves))
+        step = max(1, ROWS // len(self.leaves))
+        parts = [self._search(x[a : a + step], n) for a in range(0, len(x), step)]
+        if not parts:
+            return np.empty((0, n), np.int64), np.empty((0, n), np.float32)
+        return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
+
+    def _search(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Graph search from the leaves of the best entry points; the beam is expanded until its best are, and grows until it holds n lists."""
         k = len(self.leaves)
-        n = min(n, k)
-        if k <= 1024 or n * 4 >= k:
-            s = x @ self.leaves.T
-            ids = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < k else np.tile(np.arange(k), (len(x), 1))
-            sim = np.take_along_axis(s, ids, 1)
-        else:
-            # graph search: leaves of the best entry points, then two rounds over the neighbours of the best so far
-            s = x @ self.tops.T
-            m = min(4, s.shape[1])
-            ids = self.entry[np.argpartition(-s, m - 1, axis=1)[:, :m]].reshape(len(x), -1)
-            sim = self._sims(x, ids)
-            for _ in range(2):
-                best = np.take_along_axis(ids, np.argpartition(-sim, min(n, 8) - 1, axis=1)[:, : min(n, 8)], 1)
-                more = self.graph[best].reshape(len(x), -1)
-                ids, sim = self._merge(ids, sim, more, self._sims(x, more), max(2 * n, 32))
-            ids, sim = self._merge(ids, sim, ids[:, :0], sim[:, :0], n)
-        order = np.argsort(-sim, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
-
-    def _sims(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return np.matmul(self.leaves[ids], x[:, :, None])[:, :, 0]
-
-    @staticmethod
-    def _merge(ids: np.ndarray, sim: np.ndarray, ids2: np.ndarray, sim2: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, sim = np.hstack([ids, ids2]), np.hstack([sim, sim2])
-        order = np.argsort(ids, axis=1, kind="stable")
-        ids, sim = np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
-        sim[:, 1:][ids[:, 1:] == ids[:, :-1]] = -9
-        top = np.argpartition(-sim, min(n, sim.shape[1]) - 1, axis=1)[:, :n]
-        return np.take_along_axis(ids, top, 1), np.take_along_axis(sim, top, 1)
+        beam = min(k, max(2 * n, BEAM))
+        sim, reached, open_ = np.full((len(x), k), -9, np.float32), np.zeros((len(x), k), bool), np.zeros((len(x), k), bool)
+        order = np.argsort(-(x @ self.tops.T), axis=1, kind="stable")
+        rows = np.arange(len(x))
+
+        def reach(r: np.ndarray, ids: np.ndarray) -> None:
+            new = np.zeros((len(x), k), bool)
+            new[r[:, None], ids] = True
+            new &= ~reached
+            i, j = np.nonzero(new)
+            for a in range(0, len(i), 65536):
+                e = slice(a, a + 65536)
+                sim[i[e], j[e]] = np.einsum("ij,ij->i", x[i[e]], self.leaves[j[e]])
+            reached[new] = open_[new] = True
+
+        used = min(4, len(self.tops))
+        reach(rows, self.entry[order[:, :used]].reshape(len(x), -1))
+        while True:
+            least = np.partition(sim, k - beam, axis=1)[:, k - beam, None]
+            s = np.where(open_ & (sim >= least), sim, -9)
+            best = np.argpartition(-s, min(EXPAND, k) - 1, axis=1)[:, :EXPAND]
+            r, c = np.nonzero(np.take_along_axis(s, best, 1) > -9)
+            if len(r):
+                ids = best[r, c]
+                open_[r, ids] = False
+                reach(r, self.graph[ids])
+                continue
+            few = np.flatnonzero(reached.sum(1) < n)
+            if not len(few):
+                break
+            # the graph may fall apart: further entry points join
+            reach(few, self.entry[order[few, used]])
+            used += 1
+        ids = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < k else np.tile(np.arange(k), (len(x), 1))
+        got = np.take_along_axis(sim, ids, 1)
+        at = np.argsort(-got, axis=1, kind="stable")
+        return np.take_along_axis(ids, at, 1), np.take_along_axis(got, at, 1)
 
 
 def fit(units: DataFrame, count: int, list_size: int = 256, max_lists: int = 8192, max_sample: int = 65536, dims: int = DIMS) -> Centroids:

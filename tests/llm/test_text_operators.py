@@ -238,3 +238,17 @@ def test_graph_search_finds_the_nearest_centroids():
     true = np.argsort(-(x[:200] @ c.leaves.T), axis=1)[:, :4]
     assert np.mean([len(set(a) & set(b)) / 4 for a, b in zip(ids, true)]) > 0.6
     assert np.mean(ids[:, 0] == true[:, 0]) > 0.7
+
+
+@pytest.mark.parametrize("lists,n", [(40, 10), (1500, 370), (2001, 500)])
+def test_graph_search_reaches_as_many_lists_as_asked_at_every_size(lists, n, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4 * lists, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = neighbours.Centroids.fit(x, lists)
+    calls = []
+    monkeypatch.setattr(c, "graph", type("G", (), {"__getitem__": lambda _, i, g=c.graph: calls.append(1) or g[i]})())
+    ids, sim = c.nearest(x[:20], n)
+    assert calls and all(len(set(r)) == n for r in ids.tolist()) and sim.min() > -1.01
+    true = np.argsort(-(x[:20] @ c.leaves.T), axis=1)[:, :n]
+    assert np.mean([len(set(a) & set(b)) / n for a, b in zip(ids, true)]) > 0.95
