@@ -417,3 +417,13 @@ def test_streaming(spark, tmp_path):
     q = feeds.publication_feed(stream, lambda: last, lambda c, n: seen.extend((r.path, r.kind, n) for r in c.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert set(seen) == {("x", "modified", 0), ("y", "added", 0)}
+
+
+def test_grades_take_every_line(spark, small):
+    import __spark_entry__ as entry
+
+    docs = {(r.doc_id, r.source, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text").collect() if r.text is not None}
+    want = sum(len(t.split("\n")) for _, _, t in docs)
+    got = entry.queries()["grade_task_all"](spark, small).collect()
+    assert sum(r.verified + r.rejected for r in got) == want
+    assert sum(r.verified + r.rejected for r in entry.queries()["grade_task"](spark, small).collect()) == sum(min(5, len(t.split("\n"))) for _, _, t in docs) < want
