@@ -1,17 +1,17 @@
 """Problem 3: the most similar vectors for every vector.
 
-An inverted index of balanced posting lists.  Centroids are fitted in two levels
-on a bounded sample; each leaf has about ``list_size`` vectors.  A vector is
-stored in every list whose squared distance is within a ratio of that of its
+An inverted index of balanced posting lists of about ``list_size`` vectors.  A few
+top centres are fitted on a bounded sample; the lists' centroids are fitted
+within the tops, in tasks, on ``per_list`` vectors a list chosen by hash, so their number
+grows with the data.  A vector is stored in every list whose squared distance is within a ratio of that of its
 nearest one, up to a number of replicas, so vectors near a boundary stand in several
 lists.  Centroids are searched through an in-memory graph of their
-neighbours, however many they are.  Lists are compared as matrix products
-within a list; a list longer than ``block`` is worked in pairs of blocks.
+neighbours, at every size: a beam of fixed width a row, whose cost does not depend on the number of lists.
+Lists are compared as matrix products within a list; a list longer than ``block`` is worked in pairs of blocks.
 
 Exact copies of a vector are one entry of the index (their least key), so a group
-of copies costs what one vector costs.  All vectors are indexed; only the fit is on a
-sample (``max_sample`` rows by hash).  What is sent to the tasks is at most
-``max_lists`` centroids with ``GRAPH`` neighbours each.
+of copies costs what one vector costs.  All vectors are indexed.  What is sent to the tasks is at most
+``max_lists`` centroids (256 bytes each) with ``GRAPH`` neighbours each: under 100 MB.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from ..session import write_stage
 
 DIMS = 64
 GRAPH = 24
-#: least width of the beam, lists expanded at once, and entries of a block's table of similarities
-BEAM, EXPAND, ROWS = 32, 8, 1 << 20
+#: least width of the beam, least number of lists expanded at once, entry points of a search, lists of an entry point
+BEAM, EXPAND, ENTRIES, ENTRY = 48, 12, 6, 16
+#: neighbours looked at in one step of a block of rows
+STEP = 1 << 17
 
 
 def usable(vectors: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -86,92 +88,137 @@ class Centroids:
     leaves: np.ndarray  # lists x dims
     graph: np.ndarray  # lists x GRAPH
     tops: np.ndarray  # entry points x dims
-    entry: np.ndarray  # entry points x leaves of each, padded with its first
+    entry: np.ndarray  # entry points x their nearest lists
+
+    @classmethod
+    def of(cls, leaves: np.ndarray, tops: np.ndarray) -> Centroids:
+        k = len(leaves)
+        graph = np.empty((k, min(GRAPH, k)), np.int32)
+        for a in range(0, k, 1024):
+            graph[a : a + 1024] = np.argpartition(-(leaves[a : a + 1024] @ leaves.T), graph.shape[1] - 1, axis=1)[:, : graph.shape[1]]
+        near = np.argpartition(-(tops @ leaves.T), min(ENTRY, k) - 1, axis=1)[:, : min(ENTRY, k)]
+        return cls(leaves, graph, tops, near.astype(np.int32))
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, seed: int = 7) -> Centroids:
+        """Both levels on one matrix."""
         rng = np.random.default_rng(seed)
         tops = _kmeans(x, max(1, round(lists**0.5)), rng)
-        near = np.concatenate([(x[a : a + 8192] @ tops.T).argmax(1) for a in range(0, len(x), 8192)])
-        leaves, entry = [], []
-        for t in range(len(tops)):
-            part = x[near == t]
-            if not len(part):
-                part = tops[t : t + 1]
-            c = _kmeans(part, max(1, round(lists * len(part) / len(x))), rng)
-            at = sum(map(len, leaves))
-            entry.append(np.arange(at, at + len(c)))
-            leaves.append(c)
-        leaf = np.concatenate(leaves)
-        g = np.empty((len(leaf), min(GRAPH, len(leaf))), np.int32)
-        for a in range(0, len(leaf), 1024):
-            s = leaf[a : a + 1024] @ leaf.T
-            g[a : a + 1024] = np.argpartition(-s, g.shape[1] - 1, axis=1)[:, : g.shape[1]]
-        width = max(map(len, entry))
-        return cls(leaf, g, tops, np.array([np.resize(e, width) for e in entry]))
+        near = nearest_top(x, tops)
+        parts = [x[near == t] for t in range(len(tops))]
+        return cls.of(np.concatenate([_kmeans(p, max(1, round(lists * len(p) / len(x))), rng) for p in parts if len(p)]), tops)
 
     def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, similarities) of the n nearest centroids of each row, nearest first: always n distinct lists."""
         n = min(n, len(self.leaves))
-        step = max(1, ROWS // len(self.leaves))
-        parts = [self._search(x[a : a + step], n) for a in range(0, len(x), step)]
+        beam = min(len(self.leaves), max(BEAM, n + n // 4))
+        step = max(1, STEP // (max(EXPAND, beam // 8) * self.graph.shape[1]))
+        parts = [self._search(x[a : a + step], n, beam) for a in range(0, len(x), step)]
         if not parts:
-            return np.empty((0, n), np.int64), np.empty((0, n), np.float32)
+            return np.empty((0, n), np.int32), np.empty((0, n), np.float32)
         return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
 
-    def _search(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Graph search from the leaves of the best entry points; the beam is expanded until its best are, and grows until it holds n lists."""
-        k = len(self.leaves)
-        beam = min(k, max(2 * n, BEAM))
-        sim, reached, open_ = np.full((len(x), k), -9, np.float32), np.zeros((len(x), k), bool), np.zeros((len(x), k), bool)
+    def _search(self, x: np.ndarray, n: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Beam search of the graph from the lists of the best entry points, until every list of the beam has been expanded.
+
+        The graph may fall apart: a row that reached fewer than n lists takes further entry points, and in the end every list.
+        """
+        rows_all, wide = len(x), max(EXPAND, beam // 8)
+        ids, sim, open_ = np.full((rows_all, beam), -1, np.int32), np.full((rows_all, beam), -9, np.float32), np.zeros((rows_all, beam), bool)
         order = np.argsort(-(x @ self.tops.T), axis=1, kind="stable")
-        rows = np.arange(len(x))
-
-        def reach(r: np.ndarray, ids: np.ndarray) -> None:
-            new = np.zeros((len(x), k), bool)
-            new[r[:, None], ids] = True
-            new &= ~reached
-            i, j = np.nonzero(new)
-            for a in range(0, len(i), 65536):
-                e = slice(a, a + 65536)
-                sim[i[e], j[e]] = np.einsum("ij,ij->i", x[i[e]], self.leaves[j[e]])
-            reached[new] = open_[new] = True
-
-        used = min(4, len(self.tops))
-        reach(rows, self.entry[order[:, :used]].reshape(len(x), -1))
+
+        def insert(rows: np.ndarray, new: np.ndarray) -> None:
+            """The beam's best of what it holds and ``new``; a list dropped before is worse than all it holds."""
+            both = np.concatenate([ids[rows], new], 1)
+            at = np.argsort(both, axis=1, kind="stable")
+            ranked = np.take_along_axis(both, at, 1)
+            again = np.zeros(both.shape, bool)
+            again[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
+            twice = np.empty(both.shape, bool)
+            np.put_along_axis(twice, at, again, 1)
+            fresh = ~twice[:, beam:]
+            i, j = np.nonzero(fresh)
+            got = np.full(new.shape, -9, np.float32)
+            got[i, j] = np.einsum("ij,ij->i", x[rows[i]], self.leaves[new[i, j]])
+            sims = np.concatenate([sim[rows], got], 1)
+            keep = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+            sim[rows] = np.take_along_axis(sims, keep, 1)
+            open_[rows] = np.take_along_axis(np.concatenate([open_[rows], fresh], 1), keep, 1)
+            ids[rows] = np.where(sim[rows] > -9, np.take_along_axis(both, keep, 1), -1)
+
+        used = min(ENTRIES, len(self.tops))
+        rows = np.arange(rows_all)
+        insert(rows, self.entry[order[:, :used]].reshape(rows_all, -1))
         while True:
-            least = np.partition(sim, k - beam, axis=1)[:, k - beam, None]
-            s = np.where(open_ & (sim >= least), sim, -9)
-            best = np.argpartition(-s, min(EXPAND, k) - 1, axis=1)[:, :EXPAND]
-            r, c = np.nonzero(np.take_along_axis(s, best, 1) > -9)
-            if len(r):
-                ids = best[r, c]
-                open_[r, ids] = False
-                reach(r, self.graph[ids])
-                continue
-            few = np.flatnonzero(reached.sum(1) < n)
-            if not len(few):
+            while len(rows):
+                waiting = np.where(open_[rows], sim[rows], -9)
+                best = np.argpartition(-waiting, min(wide, beam) - 1, axis=1)[:, :wide]
+                there = np.take_along_axis(waiting, best, 1) > -9
+                some = there.any(1)
+                rows, best, there = rows[some], best[some], there[some]
+                if len(rows):
+                    # rows with fewer open lists expand one of them again, which adds nothing
+                    one = best[np.arange(len(rows)), there.argmax(1)][:, None]
+                    best = np.where(there, best, one)
+                    open_[rows[:, None], best] = False
+                    insert(rows, self.graph[ids[rows[:, None], best]].reshape(len(rows), -1))
+            rows = np.flatnonzero((sim > -9).sum(1) < n)
+            if not len(rows):
                 break
-            # the graph may fall apart: further entry points join
-            reach(few, self.entry[order[few, used]])
-            used += 1
-        ids = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n < k else np.tile(np.arange(k), (len(x), 1))
-        got = np.take_along_axis(sim, ids, 1)
-        at = np.argsort(-got, axis=1, kind="stable")
-        return np.take_along_axis(ids, at, 1), np.take_along_axis(got, at, 1)
+            if used < len(self.tops):
+                insert(rows, self.entry[order[rows, used]])
+                used += 1
+            else:
+                for a in range(0, len(self.leaves), 4096):
+                    every = np.arange(a, min(len(self.leaves), a + 4096), dtype=np.int32)
+                    insert(rows, np.tile(every, (len(rows), 1)))
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
+        return np.take_along_axis(ids, at, 1), np.take_along_axis(sim, at, 1)
+
+
+def nearest_top(x: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[a : a + 8192] @ tops.T).argmax(1) for a in range(0, max(1, len(x)), 8192)])
+
+
+def fit(units: DataFrame, count: int, list_size: int = 256, max_lists: int = 262144, max_sample: int = 65536, per_list: int = 32, dims: int = DIMS) -> Centroids:
+    """Centroids of ``count`` vectors: one list for every ``list_size`` of them (``max_lists`` at most, a bound of what is sent to tasks: 67 million vectors; beyond it lists grow).
+
+    The tops, as many as the root of the number of lists, are fitted on at most ``max_sample`` vectors; the lists within
+    each top on ``per_list`` vectors a list.  Both are chosen by hash.  A top that holds more than ``max_sample``
+    of the chosen is fitted in parts, so no task gets a group without bound.
+    """
+    lists = int(min(max_lists, max(1, count // list_size)))
+    some: Callable[[int, float], Column] = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, n / count) * (1 << 20))
+    x = _matrix(units.where(some(3, max_sample)).limit(max_sample + max_sample // 8).select("v").toArrow().column(0), dims)
+    if not len(x):
+        x = _matrix(units.limit(max_sample).select("v").toArrow().column(0), dims)
+    x = x[np.lexsort(x.T[:2])]
+    tops = _kmeans(x, max(1, round(lists**0.5)), np.random.default_rng(7))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = nearest_top(_matrix(batch.column(1), dims), tops)
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), batch.column(1)], names=["top", "key", "v"])
+
+    chosen = write_stage(units.where(some(5, per_list * lists)).select("key", "v").mapInArrow(place, "top int, key string, v binary"), "chosen")
+    # one row a top
+    parts = chosen.groupBy("top").agg(F.ceil(F.count("*") / max_sample).cast("int").alias("parts"))
+    grouped = chosen.join(F.broadcast(parts), "top").withColumn("part", F.pmod(F.xxhash64("key", F.lit(9)), F.col("parts")).cast("int"))
 
+    def leaves(group: pa.Table) -> pa.Table:
+        g = _matrix(group.sort_by("key").column("v"), dims)
+        c = _kmeans(g, max(1, round(len(g) / per_list)), np.random.default_rng(7))
+        return pa.table({"top": pa.array([group.column("top")[0].as_py()] * len(c), pa.int32()), "v": pa.array([r.tobytes() for r in c], pa.binary())})
 
-def fit(units: DataFrame, count: int, list_size: int = 256, max_lists: int = 8192, max_sample: int = 65536, dims: int = DIMS) -> Centroids:
-    """Centroids fitted on at most ``max_sample`` of the vectors, chosen by hash; ``count``: how many there are."""
-    part = units
-    if count > max_sample:
-        part = units.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * max_sample / count)).limit(max_sample)
-    x = _matrix(part.select("v").toArrow().column(0), dims)
-    return Centroids.fit(x, int(min(max_lists, max(1, count // list_size))))
+    got = grouped.select("top", "part", "key", "v").groupBy("top", "part").applyInArrow(leaves, "top int, v binary").select("v").toArrow().column(0)
+    leaf = _matrix(got, dims) if len(got) else tops
+    # the order of collected rows is not fixed: sorted, a list's number is
+    return Centroids.of(leaf[np.lexsort(leaf.T[:2])], tops)
 
 
 def assign(units: DataFrame, centroids: Centroids, replicas: int, ratio: float, dims: int = DIMS) -> DataFrame:
-    """(list, key, v): each vector in the lists whose squared distance is at most ``ratio`` times the least one."""
+    """(list, nth, key, v): each vector in the lists whose squared distance is at most ``ratio`` times the least one; ``nth``: 0 for its nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +228,9 @@ def assign(units: DataFrame, centroids: Centroids, replicas: int, ratio: float,
                 ids, sim = centroids.nearest(x, replicas)
                 d = 2 - 2 * sim
                 row, col = np.nonzero((d <= ratio * np.maximum(d[:, :1], 1e-6)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "key", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), pa.array(col, pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "nth", "key", "v"])
 
-    return units.select("key", "v").mapInArrow(run, "list int, key string, v binary")
+    return units.select("key", "v").mapInArrow(run, "list int, nth int, key string, v binary")
 
 
 def classes(units: DataFrame) -> DataFrame:
@@ -265,26 +312,18 @@ def similar_pairs(
     return across.unionByName(within).unionByName(star)
 
 
-def top_k(
-    vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, list_size: int = 256, replicas: int = 2, ratio: float = 1.3, probe_share: float = 0.25, probe_ratio: float = 4.0, dims: int = DIMS, **fitting: int
-) -> DataFrame:
-    """(key, neighbour, similarity, rank): the k other vectors most similar to each query (ties by key).
+def _compare(stored: DataFrame, probes: DataFrame, k: int, block: int, dims: int) -> DataFrame:
+    """(rep, near, similarity): of each list that a probe names, its k + 1 most similar entries above the probe's ``least``.
 
-    ``queries``: a frame with ``key`` (default: every usable vector).  A query probes
-    at most ``probe_share`` of the lists (at least 8), those within ``probe_ratio`` of its
-    nearest squared distance.  Copies of a query's own vector come first; of
-    a class of copies at most k + 1 are looked at, which is enough for k results.
+    A long list, and one that many queries probe, is worked in pairs of blocks: entries are sent to each block of probes and
+    probes to each block of entries.
     """
-    units, reps, count = _prepared(vectors, dims)
-    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("neighbour", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    if count == 0:
-        return units.sparkSession.createDataFrame([], out)
-    centroids = fit(reps, count, list_size, dims=dims, **fitting)
-    copies = write_stage(classes(units), "classes")
-    asked = copies if queries is None else copies.join(queries.select("key").where("key IS NOT NULL").distinct(), "key", "left_semi")
-    q = reps.join(asked.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
-    stored = assign(reps, centroids, replicas, ratio, dims).withColumn("q", F.lit(False))
-    probes = assign(q, centroids, max(8, int(len(centroids.leaves) * probe_share)), probe_ratio, dims).withColumn("q", F.lit(True))
+    # at most one row a list
+    blocks = stored.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("b")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("c")), "list")
+    cut: Callable[[str], Column] = lambda n: F.pmod(F.xxhash64("key", F.lit(11)), F.col(n)).cast("int")
+    every: Callable[[str], Column] = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = probes.join(F.broadcast(blocks), "list").withColumn("j", cut("c")).withColumn("i", every("b")).select("list", "i", "j", "key", "v", "least")
+    right = stored.join(F.broadcast(blocks), "list").withColumn("i", cut("b")).withColumn("j", every("c")).select("list", "i", "j", "key", "v")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["rep", "near", "similarity"]
@@ -292,22 +331,56 @@ def top_k(
             return pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.float64())], names=names)
         x, y = _matrix(left.column("v"), dims), _matrix(right.column("v"), dims)
         kx, ky = (np.array(t.column("key").to_pylist(), dtype=object) for t in (left, right))
+        least = left.column("least").to_numpy().astype(np.float32)
         rep, near, sim = [], [], []
         for a in range(0, len(x), 512):
             s = x[a : a + 512] @ y.T
             n = min(k + 1, s.shape[1])
             ids = np.argpartition(-s, n - 1, axis=1)[:, :n]
             got = np.take_along_axis(s, ids, 1)
-            rep.append(np.repeat(kx[a : a + 512], n))
-            near.append(ky[ids].reshape(-1))
-            sim.append(got.reshape(-1).astype(np.float64))
+            r, c = np.nonzero(got >= least[a : a + 512, None])
+            rep.append(kx[a + r])
+            near.append(ky[ids[r, c]])
+            sim.append(got[r, c].astype(np.float64))
         r, m, s = np.concatenate(rep), np.concatenate(near), np.concatenate(sim)
         keep = r != m
         return pa.table([pa.array(r[keep].tolist(), pa.string()), pa.array(m[keep].tolist(), pa.string()), pa.array(s[keep], pa.float64())], names=names)
 
-    found = probes.groupBy("list").cogroup(stored.groupBy("list")).applyInArrow(search, "rep string, near string, similarity double")
-    found = found.groupBy("rep", "near").agg(F.max("similarity").alias("similarity"))
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "near"))).where(F.col("n") <= k).drop("n")
+    on = ["list", "i", "j"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(search, "rep string, near string, similarity double")
+
+
+def top_k(
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, list_size: int = 256, replicas: int = 2, ratio: float = 1.3, probe_power: float = 0.8, probe_ratio: float = 4.0, first: int = 8, block: int = 8192,
+    dims: int = DIMS, **fitting: int,
+) -> DataFrame:
+    """(key, neighbour, similarity, rank): the k other vectors most similar to each query (ties by key).
+
+    ``queries``: a frame with ``key`` (default: every usable vector).  Of L lists a query probes the nearest
+    L to ``probe_power`` (at least ``first``), so the share falls as lists grow in number, and of these the ones within ``probe_ratio`` of its
+    nearest squared distance.  The ``first`` nearest are compared before the others, which then give only what is no
+    less similar than the k-th found so far.  Copies of a query's own vector come first; of
+    a class of copies at most k + 1 are looked at, which is enough for k results.
+    Null keys and unusable vectors are neither queries nor results; empty tables give no rows.
+    """
+    units, reps, count = _prepared(vectors, dims)
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("neighbour", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    if count == 0:
+        return units.sparkSession.createDataFrame([], out)
+    centroids = fit(reps, count, list_size, dims=dims, **fitting)
+    copies = write_stage(classes(units), "classes")
+    asked = copies if queries is None else copies.join(queries.select("key").where("key IS NOT NULL").distinct(), "key", "left_semi")
+    q = reps.join(asked.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
+    stored = write_stage(assign(reps, centroids, replicas, ratio, dims), "stored")
+    probes = write_stage(assign(q, centroids, max(first, int(np.ceil(len(centroids.leaves) ** probe_power))), probe_ratio, dims), "probes")
+    one = _compare(stored, probes.where(F.col("nth") < first).withColumn("least", F.lit(-2.0)), k, block, dims).groupBy("rep", "near").agg(F.max("similarity").alias("similarity"))
+    ranked: Callable[[DataFrame], DataFrame] = lambda d: d.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "near"))).where(F.col("n") <= k)
+    one = write_stage(ranked(one), "first")
+    # float rounding differs between blocks: a little less than the k-th is still looked at
+    kth = one.where(F.col("n") == k).select(F.col("rep").alias("key"), (F.col("similarity") - 1e-5).alias("least"))
+    more = probes.where(F.col("nth") >= first).join(kth, "key", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    found = one.drop("n").unionByName(_compare(stored, more, k, block, dims)).groupBy("rep", "near").agg(F.max("similarity").alias("similarity"))
+    best = ranked(found).drop("n")
     # copies: at most k + 1 of a class matter
     some = copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("n") <= k + 1).select(F.col("rep").alias("near"), F.col("key").alias("neighbour"))
     others = best.join(some, "near").select("rep", "neighbour", "similarity")

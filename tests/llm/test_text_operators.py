@@ -211,7 +211,7 @@ def test_pairs_match_brute_force(spark):
     s, k = x @ x.T, [r[0] for r in rows]
     want = {(min(k[i], k[j]), max(k[i], k[j])) for i, j in zip(*np.nonzero(s >= 0.9)) if i != j}
     assert got == want
-    top = neighbours.top_k(v, spark.createDataFrame([("k0007",), ("k0100",), ("nope",)], "key string"), k=5, list_size=64, probe_share=1.0).collect()
+    top = neighbours.top_k(v, spark.createDataFrame([("k0007",), ("k0100",), ("nope",)], "key string"), k=5, list_size=64, probe_power=1.0).collect()
     by = {}
     for r in sorted(top, key=lambda r: (r.key, r.rank)):
         by.setdefault(r.key, []).append(r.neighbour)
@@ -247,8 +247,44 @@ def test_graph_search_reaches_as_many_lists_as_asked_at_every_size(lists, n, mon
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c = neighbours.Centroids.fit(x, lists)
     calls = []
-    monkeypatch.setattr(c, "graph", type("G", (), {"__getitem__": lambda _, i, g=c.graph: calls.append(1) or g[i]})())
+    monkeypatch.setattr(c, "graph", type("G", (), {"shape": c.graph.shape, "__getitem__": lambda _, i, g=c.graph: calls.append(1) or g[i]})())
     ids, sim = c.nearest(x[:20], n)
     assert calls and all(len(set(r)) == n for r in ids.tolist()) and sim.min() > -1.01
     true = np.argsort(-(x[:20] @ c.leaves.T), axis=1)[:, :n]
     assert np.mean([len(set(a) & set(b)) / n for a, b in zip(ids, true)]) > 0.95
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+@pytest.mark.parametrize("lists", [1299, 1300, 4096, 8192])
+def test_recall_of_probed_lists_with_the_graph(lists, clustered):
+    """Ten nearest by the lists ``top_k`` stores in and probes, against brute force; no step between numbers of lists."""
+    rng = np.random.default_rng(5)
+    n = lists * 32
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    if clustered:
+        x = x[rng.integers(0, n // 40, n)] + 0.6 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = neighbours.Centroids.fit(x, lists)
+    q = x[:60]
+    true = np.argsort(-(q @ x.T), axis=1)[:, 1:11]
+    stored, s = c.nearest(x[true.ravel()], 2)
+    d = 2 - 2 * s
+    stored = np.where(d <= 1.3 * np.maximum(d[:, :1], 1e-6), stored, -1).reshape(len(q), 10, 2)
+    probed, s = c.nearest(q, max(8, int(np.ceil(len(c.leaves) ** 0.8))))
+    d = 2 - 2 * s
+    probed = np.where(d <= 4 * np.maximum(d[:, :1], 1e-6), probed, -2)
+    assert np.mean([np.isin(a, b).any(1).mean() for a, b in zip(stored, probed)]) >= 0.9
+
+
+def test_top_k_in_blocks_equals_brute_force(spark):
+    """Lists and probes in many blocks, every vector a query, all lists probed."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 64)).astype(np.float32)
+    v = spark.createDataFrame([(f"v{i:03d}", r.tolist(), 1) for i, r in enumerate(x)], "key string, vector array<float>, touched long")
+    got = {}
+    for r in neighbours.top_k(v, k=10, list_size=50, probe_power=1.0, probe_ratio=100.0, first=2, block=16).collect():
+        got.setdefault(r.key, set()).add(r.neighbour)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    for i in range(300):
+        assert got[f"v{i:03d}"] == {f"v{j:03d}" for j in np.argsort(-s[i]) if j != i and j in set(np.argsort(-s[i])[:11])}
