@@ -2,27 +2,29 @@
 
 Pigeonhole edit matching on words.  A document holds an item if one or two runs
 of it contain two fifths of the item's words in order, so the longer run has at
-least a fifth, ``s`` words.  Such a stretch with ``e`` changed or missing words,
-cut into ``e + 1`` pieces, keeps one piece intact; pieces are ``P`` words at every
-offset of the item, and by the same count a stretch keeps at least
-``s - P + 1 - P e`` of them on nearly one diagonal.  Exact hits of pieces are found
-for a whole batch of documents by one sorted lookup; runs of hits are extended, and
-each is verified with Myers' bit-parallel edit distance.
+least a fifth of them and within it a stretch of ``s`` words with at most ``e`` changed, missing or added ones.
+Each item is cut into pieces of so many words that every stretch of ``s`` holds ``e + 1`` whole
+pieces: one is intact.  Exact hits of pieces are found for a whole batch of documents by
+one sorted lookup.  A hit stays if some ``s`` words of the item around it stand, all but ``e``, within ``e`` places
+of where the hit puts them, which every such stretch fulfils.  For the pairs of document and item that are left all runs are
+gathered, extended, and verified with Myers' bit-parallel edit distance.
 
 Layout and look are normalised first: markup, quotation marks, line-break hyphens,
-escapes, entities, case, accents, invisible and look-alike characters.
+escapes, entities, case, accents, invisible and look-alike characters.  A word is a run of letters of any
+script, one character where a script doesn't separate words, or a run of digits.
 
 Scale: one map-only pass over the documents, whole texts.  The items are a fixed
 test set; they are sent to the tasks, after a check of their size, in several
-passes if they exceed ``MAX_ITEM_BYTES``.
+passes if they exceed ``max_item_bytes``.  What an item needs to know of the others (sentences that many
+share) is counted before, over all items, so the number of passes changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +47,13 @@ _TAG = re.compile(r"<[/!]?[a-zA-Z][^<>]{0,200}>")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑­][ \t]*\r?\n[ \t]*(?:(?:[>|*#;]|//|--)[ \t]*)*(?=\w)")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|[nrt])")
 _INNER = re.compile(r"(?<=[^\W_])[*`~]{1,3}(?=[^\W_])")
-_WORD = re.compile(r"[a-z]+")
+#: scripts without spaces between words: Thai to Myanmar, Khmer, kana, Han
+_WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]|[^\W\d_\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]+|\d+")
+_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
 
 def words(text: str) -> list[str]:
-    """The normalised words of a text: lower-case a to z; digits and other signs only separate."""
+    """The normalised words of a text; signs only separate."""
     if "\\" in text:
         text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else " ", text)
     if "&" in text and ";" in text:
@@ -93,113 +97,162 @@ def myers(pattern: list[int], text: list[int]) -> int:
     return score
 
 
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(hash, number of words) of the sentences of a text, in order."""
+    out = []
+    for part in _SENTENCE.split(text):
+        w = words(part)
+        out.append((int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), len(w)))
+    return out
+
+
+def pieces(n: int) -> tuple[int, int, int]:
+    """(s, e, p) for an item of n words: of s successive words with e errors at least one of the pieces of p words is intact."""
+    s = max(1, -(-n // 5))
+    e = s // ERROR_EVERY
+    return s, e, max(1, (s + 1) // (e + 2))
+
+
+def _rolled(x: np.ndarray, p: int) -> np.ndarray:
+    """Hashes of every p successive numbers (modulo 2**64)."""
+    h = np.zeros(max(0, len(x) - p + 1), np.uint64)
+    y = x.astype(np.int64).view(np.uint64) + np.uint64(2)
+    with np.errstate(over="ignore"):
+        for j in range(p):
+            h = (h ^ y[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
 class Index:
-    """Pieces of the items in sorted order, and what a run needs."""
+    """Pieces of the items in sorted order, by their length, and what a run needs.
+
+    ``standing``: hashes of the sentences that are standing instructions, those of three different items or more.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], standing: set[int] | None = None):
         self.ids = [i for i, _ in items]
         texts = [words(t or "") for _, t in items]
-        # sentences that several different items share are standing instructions
-        seen: Counter = Counter()
-        for t in {t for _, t in items if t}:
-            for s in {tuple(words(s)) for s in re.split(r"(?<=[.!?])\s+", t)}:
-                seen[s] += 1
+        if standing is None:
+            standing = standing_sentences([t for _, t in items])
         self.vocab = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
         self.seq = [np.array([self.vocab[w] for w in t], np.int64) for t in texts]
         self.own = []
-        for _, t in items:
-            own: list[bool] = []
-            for s in re.split(r"(?<=[.!?])\s+", t or ""):
-                w = words(s)
-                own += [seen[tuple(w)] < 3] * len(w)
-            self.own.append(np.array(own, bool))
-        for k, (own, seq) in enumerate(zip(self.own, self.seq)):
-            if len(own) != len(seq):
-                self.own[k] = np.ones(len(seq), bool)
-        self.need = []
-        codes, item, offset = [], [], []
-        v = max(1, len(self.vocab))
-        if v >= 2_000_000:
-            raise ValueError("split the items: too many distinct words")
-        for k, s in enumerate(self.seq):
-            stretch = -(-len(s) // 5)
-            self.need.append(max(2, stretch - P + 1 - P * (stretch // ERROR_EVERY)))
-            if len(s) >= P:
-                codes.append((s[:-2] * v + s[1:-1]) * v + s[2:])
-                item.append(np.full(len(s) - 2, k))
-                offset.append(np.arange(len(s) - 2))
-        self.v = v
-        c = np.concatenate(codes) if codes else np.empty(0, np.int64)
-        order = np.argsort(c, kind="stable")
-        self.codes = c[order]
-        self.item = (np.concatenate(item) if item else c)[order].astype(np.int64)
-        self.offset = (np.concatenate(offset) if offset else c)[order].astype(np.int64)
+        for (_, t), seq in zip(items, self.seq):
+            own = np.array([ok for h, n in sentences(t or "") for ok in [h not in standing] * n], bool)
+            self.own.append(own if len(own) == len(seq) else np.ones(len(seq), bool))
+        lens = np.array([len(q) for q in self.seq], np.int64)
+        self.shape = np.array([pieces(int(n)) for n in lens], np.int64).reshape(-1, 3)
+        self.gap = int((self.shape[:, 0] * 2 + self.shape[:, 1] + self.shape[:, 2]).max(initial=1)) + 1
+        # items one after the other, apart, so that no window reaches another
+        self.base = np.concatenate(([0], np.cumsum(lens + self.gap)))[:-1] + self.gap
+        self.all = np.full(int((lens + self.gap).sum()) + 2 * self.gap, -2, np.int64)
+        by: dict[int, list] = {}
+        for k, q in enumerate(self.seq):
+            self.all[self.base[k] : self.base[k] + len(q)] = q
+            p = int(self.shape[k, 2])
+            # successive pieces, and one that ends with the item
+            at = np.unique(np.append(np.arange(0, len(q) - p + 1, p), len(q) - p)) if len(q) >= p > 0 and len(q) else np.empty(0, np.int64)
+            if len(at):
+                by.setdefault(p, []).append((_rolled(q, p)[at], np.full(len(at), k), at))
+        self.tables = []
+        for p, rows in sorted(by.items()):
+            code, item, offset = (np.concatenate(c) for c in zip(*rows))
+            order = np.argsort(code, kind="stable")
+            self.tables.append((p, code[order], item[order].astype(np.int64), offset[order].astype(np.int64)))
 
     def search(self, docs: list[str]) -> list[tuple[int, int, int, float]]:
         """(document index, item index, matched words, share) of a batch of texts."""
         get = self.vocab.get
-        lists = [[get(w, -1) for w in words(t)] if t else [] for t in docs]
-        lens = np.array([len(x) + 1 for x in lists])
-        starts = np.concatenate(([0], np.cumsum(lens)))
-        flat = np.full(int(starts[-1]) + P, -1, np.int64)
+        lists = [[x for x in (get(w, -1 if not w.isdigit() else -3) for w in words(t)) if x != -3] if t else [] for t in docs]
+        lens = np.array([len(x) for x in lists], np.int64)
+        starts = np.concatenate(([0], np.cumsum(lens + self.gap))) + self.gap
+        flat = np.full(int(starts[-1]) + self.gap, -1, np.int64)
         for a, x in zip(starts, lists):
             flat[a : a + len(x)] = x
-        a, b, c = flat[:-2], flat[1:-1], flat[2:]
-        at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        code = (a[at] * self.v + b[at]) * self.v + c[at]
-        lo, hi = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
-        n = hi - lo
-        keep = n > 0
-        at, lo, n = at[keep], lo[keep], n[keep]
-        if not len(at):
-            return []
-        pos = np.repeat(at, n)
-        which = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-        item, offset = self.item[which], self.offset[which]
-        doc = np.searchsorted(starts, pos, "right") - 1
-        key = doc * len(self.ids) + item
-        diag = pos - offset
-        # hits of a document and item on neighbouring diagonals; two staggered divisions, so no group is cut in both
-        need = np.array(self.need)
+        n_items = len(self.ids)
         chosen: set[int] = set()
-        for shift in (0, 8):
-            band = (key << 28) + ((diag + shift + 1024) >> 4)
-            u, count = np.unique(band, return_counts=True)
-            k = u >> 28
-            chosen.update(k[count >= need[k % len(self.ids)]].tolist())
-        if not chosen:
-            return []
-        order = np.lexsort((offset, pos, key))
-        key, pos, offset = key[order], pos[order], offset[order]
+        for p, codes, items, offsets in self.tables:
+            h = _rolled(flat, p)
+            lo = np.searchsorted(codes, h, "left")
+            hit = np.flatnonzero((codes[np.minimum(lo, len(codes) - 1)] == h) & (flat[: len(h)] >= 0))
+            lo, n = lo[hit], np.searchsorted(codes, h[hit], "right") - lo[hit]
+            # a batch of hits at a time: a piece that many items share multiplies them
+            ends = np.cumsum(n)
+            a = 0
+            while a < len(hit):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 65536, "right")))
+                m = n[a:b]
+                pos = np.repeat(hit[a:b], m)
+                which = np.repeat(lo[a:b] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(int(m.sum()))
+                item, offset = items[which], offsets[which]
+                doc = np.searchsorted(starts, pos, "right") - 1
+                key = doc * n_items + item
+                if chosen:
+                    new = ~np.isin(key, np.fromiter(chosen, np.int64, len(chosen)))
+                    pos, item, offset, key = pos[new], item[new], offset[new], key[new]
+                chosen.update(key[self._near(flat, pos, item, offset)].tolist())
+                a = b
         out = []
         for k in sorted(chosen):
-            i, j = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-            d, it = divmod(k, len(self.ids))
-            got = self.verify(it, flat[starts[d] : starts[d + 1] - 1], pos[i:j] - starts[d], offset[i:j])
+            d, it = divmod(k, n_items)
+            doc = flat[starts[d] : starts[d] + lens[d]]
+            got = self.verify(it, doc, *self._hits(it, doc))
             if got:
                 out.append((d, it, got, got / len(self.seq[it])))
         return out
 
+    def _near(self, flat: np.ndarray, pos: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Which hits have around them s words of the item of which all but e stand within e places of the hit's diagonal."""
+        keep = np.zeros(len(pos), bool)
+        for s, e, p in np.unique(self.shape[item], axis=0).tolist() if len(pos) else []:
+            rows = np.flatnonzero((self.shape[item] == (s, e, p)).all(1))
+            t = np.arange(-s, p + s)
+            for a in range(0, len(rows), 4096):
+                r = rows[a : a + 4096]
+                want = self.all[(self.base[item[r]] + offset[r])[:, None] + t]
+                there = np.zeros(want.shape, bool)
+                for d in range(-e, e + 1):
+                    there |= flat[pos[r][:, None] + t + d] == want
+                c = np.concatenate([np.zeros((len(r), 1), np.int32), np.cumsum(there, axis=1, dtype=np.int32)], 1)
+                keep[r] = (c[:, s:] - c[:, :-s]).max(1) >= s - e
+        return keep
+
+    def _hits(self, it: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document position, item offset) of all equal runs of P words (fewer in a short item), by position."""
+        p = self.run_words(it)
+        code = _rolled(self.seq[it], p)
+        order = np.argsort(code, kind="stable")
+        h = _rolled(doc, p)
+        lo, hi = np.searchsorted(code[order], h, "left"), np.searchsorted(code[order], h, "right")
+        n = hi - lo
+        pos = np.repeat(np.arange(len(h)), n)
+        which = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) if len(h) else np.empty(0, np.int64)
+        return pos, order[which]
+
+    def run_words(self, it: int) -> int:
+        return max(1, min(P, int(self.shape[it, 2])))
+
     def verify(self, it: int, doc: np.ndarray, pos: np.ndarray, offset: np.ndarray) -> int:
         """Words of the item in its best one or two runs of the document, 0 if they are under the share."""
         seq = self.seq[it]
-        n = len(seq)
+        n, p = len(seq), self.run_words(it)
         chains: list[list[int]] = []  # item from, to, document from, to
         open_: list[list[int]] = []
         for x, o in zip(pos.tolist(), offset.tolist()):
             for ch in reversed(open_):
-                dx, do = x - ch[3] + P, o - ch[1] + P
+                dx, do = x - ch[3] + p, o - ch[1] + p
                 if 0 < dx <= 24 and 0 < do <= 24 and abs(dx - do) <= 6:
-                    ch[1], ch[3] = o + P, x + P
+                    ch[1], ch[3] = o + p, x + p
                     break
             else:
-                ch = [o, o + P, x, x + P]
+                ch = [o, o + p, x, x + p]
                 chains.append(ch)
                 open_ = [c for c in open_ if x - c[3] <= 24]
                 open_.append(ch)
         runs = []
         for i0, i1, x0, x1 in chains:
-            if i1 - i0 < 6:
+            if i1 - i0 < min(6, self.shape[it, 0]):
                 continue
             i1, x1 = self._extend(seq, doc, i1, x1, 1)
             i0, x0 = self._extend(seq, doc, i0, x0, -1)
@@ -268,30 +321,54 @@ _FOUND = T.StructType(
 )
 
 
-def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
+def standing_sentences(texts: list[str]) -> set[int]:
+    """Hashes of the sentences that three different texts or more share."""
+    seen: dict[int, int] = {}
+    for t in {t for t in texts if t}:
+        for h in {h for h, _ in sentences(t)}:
+            seen[h] = seen.get(h, 0) + 1
+    return {h for h, n in seen.items() if n >= 3}
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, hashes, texts = [], [], []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for h in {h for h, _ in sentences(t)}:
+                ids.append(i)
+                hashes.append(h)
+                texts.append(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], names=["item_id", "sentence", "text"])
+
+
+def leaked(documents: DataFrame, items: DataFrame, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, matched_words, share) of every document that holds an item's passage.
 
     Rows with a null id or text take no part; a passage under two ids gives both, repeated
-    documents one row each.  Items under P words are never found.  Empty tables give
+    documents one row each.  An item without words is never found.  Empty tables give
     no rows.  The result is sorted by nothing; each pair comes once.
     """
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = -(-size // MAX_ITEM_BYTES)
+    passes = max(1, -(-size // max_item_bytes))
+    parts = rows.mapInArrow(_sentences, "item_id long, sentence long, text long")
+    shared = parts.select("sentence", "text").distinct().groupBy("sentence").agg(F.count("*").alias("n")).where("n >= 3").select("sentence")
+    mine = parts.join(shared, "sentence", "left_semi").groupBy("item_id").agg(F.collect_set("sentence").alias("standing"))
+    full = rows.join(mine, "item_id", "left").withColumn("pass", F.pmod(F.xxhash64("item_id"), F.lit(passes)))
     out = None
-    for k in range(max(1, passes)):
-        part = rows if passes <= 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        found = _one_pass(documents, [(r[0], r[1]) for r in part.orderBy("item_id").collect()])
+    for k in range(passes):
+        part = full.where(F.col("pass") == k).orderBy("item_id", "text").collect()
+        found = _one_pass(documents, [(r.item_id, r.text) for r in part], {h for r in part for h in r.standing or ()})
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _one_pass(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def _one_pass(documents: DataFrame, items: list[tuple[int, str]], standing: set[int]) -> DataFrame:
     holder: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "x" not in holder:
-            holder["x"] = Index(items)
+            holder["x"] = Index(items, standing)
         index = holder["x"]
         for batch in batches:
             out: list[list] = [[], [], [], []]

@@ -288,3 +288,47 @@ def test_top_k_in_blocks_equals_brute_force(spark):
     s = u @ u.T
     for i in range(300):
         assert got[f"v{i:03d}"] == {f"v{j:03d}" for j in np.argsort(-s[i]) if j != i and j in set(np.argsort(-s[i])[:11])}
+
+
+def test_part_of_a_long_item_is_found_wherever_its_document_stands():
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000))
+    index = leakage.Index([(1, text)])
+    tail = " ".join(text.split()[1600:3000])
+    alone, behind = index.search([tail]), index.search(["nothing here", tail])
+    assert [x[2:] for x in alone] == [(1400, 1400 / 3000)] and [x[2:] for x in behind] == [(1400, 1400 / 3000)]
+
+
+def test_passes_over_the_items_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    shared = "Answer the following question with one short sentence and give no reasons for it at all please."
+    rows = [(i, f"{shared} {' '.join(word() for _ in range(24))}.") for i in range(6)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"intro {shared} outro"), (2, "x " + rows[4][1] + " y"), (3, None)], "doc_id long, text string")
+    found = lambda **o: sorted((r.doc_id, r.item_id, r.matched_words) for r in leakage.leaked(docs, items, **o).collect())
+    assert found() == found(max_item_bytes=200) == [(2, 4, 41)]
+
+
+@pytest.mark.parametrize(
+    "text", ["東京の天気は明日から雨になるでしょう。傘を忘れずに持って行ってください。夜は風も強くなります", "in 1914 the 12 ships of 3 fleets met 27 others near 58 degrees north and 4 sank", "Съешь же ещё этих мягких французских булок, да выпей чаю"]
+)
+def test_items_of_other_scripts_numbers_and_few_words(text):
+    assert [(d, i) for d, i, _, _ in leakage.Index([(5, text)]).search(["something else entirely", f"before {text} after"])] == [(1, 0)]
+    assert leakage.Index([(5, "")]).search(["a b", ""]) == []
+    assert [i for _, i, _, _ in leakage.Index([(5, "two words")]).search(["here are two words again"])] == [0]
+
+
+def test_pigeonhole_pieces_survive_every_choice_of_errors():
+    rng = np.random.default_rng(4)
+    for n in (45, 50, 73, 100, 149):
+        s, e, p = leakage.pieces(n)
+        assert (s - p + 1) // p >= e + 1
+        seq = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+        for _ in range(20):
+            doc = list(seq)
+            for i in sorted(rng.choice(n, n // 8, replace=False), reverse=True):
+                if rng.random() < 0.5:
+                    doc[i] = "other"
+                else:
+                    del doc[i]
+            assert [x[:2] for x in leakage.Index([(1, " ".join(seq))]).search(["lead in " + " ".join(doc) + " tail"])] == [(0, 0)]
