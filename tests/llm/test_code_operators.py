@@ -269,3 +269,38 @@ def test_split_on_frames(spark):
     assert rows[0] == (0, 0, 3000, "definition") and rows[-1][2] == len(big)
     cov = spark.createDataFrame([("m", 1, 5, None), ("m", 2, 6, None)], "member string, generation long, truncated_files long, captured_at timestamp")
     assert splitting.against_coverage(p, files, cov).first().asDict() == {"member": "m", "oversized_files": 2, "pieces": 2 * len(rows), "reported_truncated": 6}
+
+
+CONFIG = [
+    ("yaml", 'a:\n  password: |\n    Xk93abcDEF12\n    second9Line\n  next: "q v" # c\nlist:\n  - name: x\n    token: ab:cd\n  - plain\nflow: {x: y,\n  secret: z1}\nurl: http://a/b#c\n',
+     [("a.password", "Xk93abcDEF12"), ("a.password", "second9Line"), ("a.next", "q v"), ("list.name", "x"), ("list.token", "ab:cd"), ("list", "plain"), ("flow.x", "y"), ("flow.secret", "z1"), ("url", "http://a/b#c")]),
+    ("toml", 'top = "x"\n[a.b]\nk.e = "v" # c\nm = """\nline1\nline2"""\nin = { pw = "q", n = 3 }\narr = [\n "s1",\n "s2"\n]\nz = 1\n',
+     [("top", "x"), ("a.b.k.e", "v"), ("a.b.m", "line1"), ("a.b.m", "line2"), ("a.b.in.pw", "q"), ("a.b.in.n", "3"), ("a.b.arr", "s1"), ("a.b.arr", "s2"), ("a.b.z", "1")]),
+    ("ini", '[s]\na = b ; c\nkey: long \\\n   cont\nexport X=1\n# no = x\ne="q x"\n', [("s.a", "b"), ("s.key", "long"), ("s.key", "cont"), ("s.X", "1"), ("s.e", "q x")]),
+    ("json", '{"a": {"b": "c", "d": [true]}, "j": null}\n{"k":"l"}', [("a.b", "c"), ("a.d.d", "true"), ("j", "null"), ("k", "l")]),
+]
+
+
+@pytest.mark.parametrize("kind,text,want", CONFIG)
+def test_key_paths_and_offsets(kind, text, want):
+    assert [(p, text[a:b]) for p, a, b in secrets.config_entries(kind, text)] == want
+    # damaged text is passed over without a crash, whatever is missing
+    for i in range(len(text)):
+        list(secrets.config_entries(kind, text[:i]))
+        list(secrets.config_entries(kind, text[i:]))
+
+
+def test_names_that_only_hold_a_secret_word():
+    for name in ("compassRev", "claim_token_rev_", "TOKEN_VERSION", "passwordHash", "bypass"):
+        assert not secrets.find("a.js", f'const {name} = "r29338x";')
+    for name in ("smtpPass", "SMTPPASS", "db_pass_2", "apiKey"):
+        assert secrets.find("a.js", f'const {name} = "Rk29338xQ";')
+
+
+def test_a_body_is_read_in_the_formats_of_all_its_paths(spark):
+    body = b"service:\n  passwd: Xk93mQ27vbT4\n  pw: |\n    Zr81pW55xcD2\n"
+    files = spark.createDataFrame([(1, "a.js", "r"), (2, "z.yaml", "r"), (3, None, "r"), (4, "b.js", None)], "id long, path string, revision string")
+    contents = spark.createDataFrame([("r", bytearray(body)), ("q", bytearray(b"")), ("n", None)], "revision string, bytes binary")
+    assert sorted(r.line_no for r in secrets.credentials(files, contents).collect()) == [2, 4]
+    (row,) = [r for r in secrets.redacted(files, contents).collect() if r.credentials]
+    assert bytes(row.redacted) == body.replace(b"Xk93mQ27vbT4", b"x" * 12).replace(b"Zr81pW55xcD2", b"x" * 12)
