@@ -34,6 +34,10 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.audit(_pieces(spark, d), table(spark, d, "contents"))
+
+
 def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     return splitting.against_coverage(_pieces(spark, d), table(spark, d, "files"), table(spark, d, "coverage"))
 
@@ -111,7 +115,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_origins, p2_found, p2_pieces, p2_coverage, p3_found, p3_topk, p4_found, p4_rates, p5_found, p5_redacted,
+        p1_found, p1_origins, p2_found, p2_pieces, p2_audit, p2_coverage, p3_found, p3_topk, p4_found, p4_rates, p5_found, p5_redacted,
         p7_found, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_grades,
     )
     return {f.__name__: _shipped(f) for f in every}
@@ -120,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": "SELECT revision FROM contents WHERE octet_length(bytes) > 4096",
+        "p2_audit": "SELECT DISTINCT revision, octet_length(bytes) AS total_bytes, octet_length(bytes) AS covered_bytes, CAST(0 AS BIGINT) AS long_pieces, CAST(0 AS BIGINT) AS wrong_starts FROM contents WHERE octet_length(bytes) > 4096",
         "p3_found": """
             WITH cur AS (SELECT key, arg_max(vector, touched) AS v FROM vector_cache GROUP BY key),
             ok AS (SELECT key, v FROM cur WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),

@@ -2,8 +2,9 @@
 
 A hierarchy of separators - definition (section), blank line (paragraph), line
 end, sentence, word, character - is searched from the top: a piece ends at the
-last boundary in reach of the highest level that has one, so pieces are packed
-greedily up to the limit.  Consecutive pieces overlap by a given number of bytes;
+last boundary of the highest level that has one in the second half of its reach, so what stands between
+boundaries is packed greedily up to the limit and a lone early boundary makes no small piece; only
+where no definition, blank line or line ends there, one in the first half is taken before a sentence or a word is cut.  Consecutive pieces overlap by a given number of bytes;
 a piece begins that many bytes before its predecessor ends, or at the next
 character start.  Offsets are bytes; characters are UTF-8 where the bytes are,
 and single bytes where they aren't.
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import current_files
 
@@ -80,6 +82,33 @@ def _last(rx: re.Pattern, data: bytes, low: int, high: int) -> int | None:
         step *= 4
 
 
+def _section(data: bytes, sections: list[int], low: int, high: int) -> int | None:
+    i = bisect_right(sections, high) - 1
+    while i >= 0 and sections[i] > low:
+        if char_start(data, sections[i]) == sections[i]:
+            return sections[i]
+        i -= 1
+    return None
+
+
+def _boundary(data: bytes, sections: list[int], low: int, half: int, high: int) -> tuple[int | None, str]:
+    """The end of a piece in (low, high] and its kind; (None, '') if not even a word ends there."""
+
+    def last(kind: str, a: int, b: int) -> int | None:
+        if kind == "definition":
+            return _section(data, sections, a, b)
+        if kind == "line":
+            return data.rfind(b"\n", a, b) + 1 or None
+        return _last({"paragraph": _BLANK, "sentence": _SENTENCE, "word": _WORD}[kind], data, a, b)
+
+    for kinds in (("definition", "paragraph", "line"), ("sentence", "word")):
+        for a, b in ((half, high), (low, half)):
+            for kind in kinds:
+                if b > a and (end := last(kind, a, b)) is not None:
+                    return end, kind
+    return None, ""
+
+
 def pieces(data: bytes, sections: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of the pieces that cover ``data``; one piece if it fits, none if it is empty.
 
@@ -97,18 +126,7 @@ def pieces(data: bytes, sections: list[int], limit: int = LIMIT, overlap: int =
         high = start + limit
         # a cut beyond the overlap, so that the next piece begins after this one
         low = start + overlap + 4
-        end, kind = None, ""
-        i = bisect_right(sections, high) - 1
-        while i >= 0 and sections[i] > low:
-            if char_start(data, sections[i]) == sections[i]:
-                end, kind = sections[i], "definition"
-                break
-            i -= 1
-        if end is None:
-            for rx, kind in ((_BLANK, "paragraph"), (None, "line"), (_SENTENCE, "sentence"), (_WORD, "word")):
-                end = (data.rfind(b"\n", low, high) + 1 or None) if rx is None else _last(rx, data, low, high)
-                if end is not None:
-                    break
+        end, kind = _boundary(data, sections, low, max(low, start + limit // 2), high)
         if end is None:
             end, kind = high, "character"
             while char_start(data, end) != end:
@@ -167,3 +185,18 @@ def against_coverage(split_pieces: DataFrame, files: DataFrame, coverage: DataFr
     per = now.join(n, "revision").groupBy("member").agg(F.count("*").alias("oversized_files"), F.sum("pieces").alias("pieces"))
     last = coverage.where("member IS NOT NULL").groupBy("member").agg(F.max_by("truncated_files", F.struct("generation", "captured_at")).alias("reported_truncated"))
     return last.join(per, "member", "left").select("member", F.coalesce("oversized_files", F.lit(0)).alias("oversized_files"), F.coalesce("pieces", F.lit(0)).alias("pieces"), "reported_truncated")
+
+
+def audit(split_pieces: DataFrame, contents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Per split body: its bytes, those its pieces cover without a gap, and how many pieces break a rule: too long, or not
+    beginning ``overlap`` bytes (less at most 3 for a character) before the preceding one ends."""
+    w = Window.partitionBy("revision").orderBy("piece_no")
+    before = F.lag("span_end").over(w)
+    p = split_pieces.withColumn("before", before).withColumn("fresh", F.col("span_end") - F.greatest("span_start", F.coalesce(before, F.lit(0))))
+    lap = F.col("before") - F.col("span_start")
+    per = p.groupBy("revision").agg(
+        F.sum(F.when(F.col("before").isNull() | (F.col("span_start") <= F.col("before")), F.col("fresh")).otherwise(0)).alias("covered_bytes"),
+        F.sum((F.col("span_end") - F.col("span_start") > limit).cast("long")).alias("long_pieces"),
+        F.sum((F.col("before").isNotNull() & ~lap.between(overlap - 3, overlap) | (F.col("before").isNull() & (F.col("span_start") != 0))).cast("long")).alias("wrong_starts"),
+    )
+    return contents.where("revision IS NOT NULL").select("revision", F.length("bytes").cast("long").alias("total_bytes")).distinct().join(per.hint("shuffle_hash"), "revision")

@@ -304,3 +304,13 @@ def test_a_body_is_read_in_the_formats_of_all_its_paths(spark):
     assert sorted(r.line_no for r in secrets.credentials(files, contents).collect()) == [2, 4]
     (row,) = [r for r in secrets.redacted(files, contents).collect() if r.credentials]
     assert bytes(row.redacted) == body.replace(b"Xk93mQ27vbT4", b"x" * 12).replace(b"Zr81pW55xcD2", b"x" * 12)
+
+
+def test_early_boundary_makes_no_small_piece():
+    data = b"".join(b"line %04d of the body\n" % i for i in range(600))
+    got = splitting.pieces(data, [300, len(data)])
+    brute_pieces_hold(data, got, splitting.LIMIT, splitting.OVERLAP)
+    assert all(b - a > splitting.LIMIT // 2 for a, b, _ in got[:-1]) and got[0][2] == "line"
+    # in the second half a definition goes before a later line, and a line in the first half before a word
+    assert splitting.pieces(data, [300, 3000])[0][:2] == (0, 3000)
+    assert splitting.pieces(b"a b\n" * 100 + b"c d " * 2000, [])[0][1:] == (400, "line")
