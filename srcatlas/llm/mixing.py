@@ -59,7 +59,8 @@ def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str
 
 
 def source_key(source: Column) -> Column:
-    return F.lower(F.trim(source))
+    """Sources are the same whatever their letter case and surrounding white space."""
+    return F.lower(F.regexp_replace(source, r"^\s+|\s+$", ""))
 
 
 def temperature_weights(sizes: dict[str, float], exponent: float) -> dict[str, float]:
@@ -109,12 +110,14 @@ def source_sizes(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """
     by = sized.groupBy(source_key(F.col("source")).alias("key")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     total = by.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
-    t = targets.where("source IS NOT NULL").select("source", "target_share", "max_repeats", source_key(F.col("source")).alias("key")).dropDuplicates(["key"])
+    # of a source that is given twice the row with the largest share, then limit, then name
+    t = targets.where("source IS NOT NULL").groupBy(source_key(F.col("source")).alias("key")).agg(F.max(F.struct("target_share", "max_repeats", "source")).alias("t"))
+    t = t.select("t.source", "t.target_share", "t.max_repeats", "key")
     if t.isEmpty():
         t = by.where("key IS NOT NULL").select(F.col("key").alias("source"), F.lit(None).cast("double").alias("target_share"), F.lit(None).cast("long").alias("max_repeats"), "key")
     # total has one row
     out = t.join(by, "key", "left").join(F.broadcast(total))
-    return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "all_tokens")
+    return out.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "all_tokens", "key")
 
 
 def reachable(sizes: DataFrame) -> DataFrame:
@@ -124,11 +127,11 @@ def reachable(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("wanted_tokens", need).withColumn("possible_tokens", most).withColumn("reachable", most >= need)
 
 
-def plan(sizes: list[dict], total_tokens: int | None = None) -> list[dict]:
+def plan(sizes: list[dict], total_tokens: int | None = None, target_entropy: float | None = None) -> list[dict]:
     """``source_sizes``' rows with weight, wanted and possible tokens, budget, reachable and tempered_share.
 
     The weight is the target share; sources without one divide what the shares leave, by tempered weights
-    that repeat none beyond its limit where any do.  ``tempered_share``: the tempered weight, over all
+    that have ``target_entropy`` if it is given, and else repeat none beyond its limit where any do.  ``tempered_share``: the tempered weight, over all
     sources, of equal entropy.  The budget is the wanted tokens up to the possible ones.
     """
     rows = [dict(r) for r in sizes]
@@ -138,7 +141,8 @@ def plan(sizes: list[dict], total_tokens: int | None = None) -> list[dict]:
     weight = {r["source"]: r["target_share"] for r in rows if r["target_share"] is not None}
     free = {k: v for k, v in have.items() if k not in weight}
     rest = max(0.0, 1.0 - sum(weight.values()))
-    share = temperature_weights(free, bisect_exponent(free, budget=rest * total, max_repeats=limit))
+    goal = {"budget": rest * total, "max_repeats": limit} if target_entropy is None else {"target_entropy": target_entropy}
+    share = temperature_weights(free, bisect_exponent(free, **goal))
     weight |= {k: rest * w for k, w in share.items()}
     tempered = temperature_weights(have, bisect_exponent(have, target_entropy=entropy(weight)))
     for r in rows:
@@ -151,14 +155,14 @@ def plan(sizes: list[dict], total_tokens: int | None = None) -> list[dict]:
     return rows
 
 
-def planned(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[list[dict], DataFrame]:
+def planned(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, target_entropy: float | None = None) -> tuple[list[dict], DataFrame]:
     """``plan`` of the sources as rows (one per source: the mix's configuration, not its data), and as a frame."""
-    rows = plan([r.asDict() for r in source_sizes(sized, targets).collect()], total_tokens)
+    rows = plan([r.asDict() for r in source_sizes(sized, targets).collect()], total_tokens, target_entropy)
     kinds = {"source": "string", "target_share": "double", "max_repeats": "long", "documents": "long", "tokens": "long", "wanted_tokens": "double", "budget": "double", "tempered_share": "double", "reachable": "boolean"}
     return rows, sized.sparkSession.createDataFrame([tuple(r[k] for k in kinds) for r in rows], ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, block_documents: int = 20000, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, block_documents: int = 20000, vocabulary: str = VOCABULARY, target_entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents of the mix, report).
 
     Documents: doc_id, source, tokens, copies (at least 1).  Report: per target source the
@@ -171,12 +175,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     Documents with a null id or of no target source, and those without tokens, aren't used.
     """
     sized = write_stage(with_tokens(documents, vocabulary).withColumn("key", source_key(F.col("source"))), "sized")
-    rows, sizes = planned(sized, targets, total_tokens)
+    rows, sizes = planned(sized, targets, total_tokens, target_entropy)
     budgets = []
     for r in rows:
         passes = int(r["budget"] // r["tokens"]) if r["tokens"] else 0
         blocks = max(1, -(-r["documents"] // block_documents))
-        budgets.append((r["source"], r["source"].strip().lower(), passes, float(r["budget"] - passes * r["tokens"]), blocks))
+        budgets.append((r["source"], r["key"], passes, float(r["budget"] - passes * r["tokens"]), blocks))
     spark = documents.sparkSession
     b = spark.createDataFrame(budgets, "mix_source string, key string, passes int, rest double, blocks int")
     d = sized.where("doc_id IS NOT NULL AND tokens > 0").join(F.broadcast(b), "key")

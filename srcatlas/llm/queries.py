@@ -97,6 +97,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _tempered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix whose weights the exponent alone decides: no shares are given, only how often each source may be used."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets").withColumn("target_share", F.lit(None).cast("double")))
+
+
+def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
+    return _tempered(spark, d)[0]
+
+
+def p8_tempered_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _tempered(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return readability.grades(table(spark, d, "documents"), table(spark, d, "reading_labels")).where("grade >= 4").select("doc_id")
 
@@ -116,7 +129,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         p1_found, p1_origins, p2_found, p2_pieces, p2_audit, p2_coverage, p3_found, p3_topk, p4_found, p4_rates, p5_found, p5_redacted,
-        p7_found, p7_items, p8_found, p8_mix, p8_shares, p9_found, p9_grades,
+        p7_found, p7_items, p8_found, p8_mix, p8_shares, p8_tempered, p8_tempered_shares, p9_found, p9_grades,
     )
     return {f.__name__: _shipped(f) for f in every}
 

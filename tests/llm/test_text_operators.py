@@ -332,3 +332,14 @@ def test_pigeonhole_pieces_survive_every_choice_of_errors():
                 else:
                     del doc[i]
             assert [x[:2] for x in leakage.Index([(1, " ".join(seq))]).search(["lead in " + " ".join(doc) + " tail"])] == [(0, 0)]
+
+
+def test_sources_are_the_same_whatever_surrounds_them_and_entropy_decides_the_mix(spark):
+    docs = spark.createDataFrame([(i, "word " * 50, s, None, None, None) for i, s in enumerate(["A\t"] * 30 + [" a"] * 30 + ["b"] * 40 + ["c"] * 20)], "doc_id long, text string, source string, lang string, member string, grade int")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("A ", 0.1, 9), ("b", 0.5, 2)], "source string, target_share double, max_repeats long")
+    used, report = mixing.mix(docs, targets)
+    got = {r.source.strip().lower(): r for r in report.collect()}
+    assert got["a"].target_share == 0.5 and got["a"].documents == 60 and used.where("lower(trim(source)) = 'a'").count() == 60
+    free = targets.where("max_repeats = 2").selectExpr("source", "CAST(NULL AS DOUBLE) AS target_share", "max_repeats")
+    flat, steep = ({r.source: r.budget for r in mixing.mix(docs, free, total_tokens=4000, target_entropy=h)[1].collect()} for h in (0.6931, 0.3))
+    assert abs(flat["a"] - flat["b"]) < 50 and steep["a"] > 1.5 * steep["b"]
