@@ -19,11 +19,11 @@ def current_files(files: DataFrame) -> DataFrame:
     return best.select("id", "r.*")
 
 
-def family(path: Column) -> Column:
+def family(path: Column, extensions: dict[str, str] = EXTENSIONS) -> Column:
     """Language family that a path's extension denotes, null where it denotes none."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
     by: dict[str, list[str]] = {}
-    for e, f in EXTENSIONS.items():
+    for e, f in extensions.items():
         by.setdefault(f, []).append(e)
     out = None
     for f, es in by.items():
@@ -36,3 +36,20 @@ def join_bodies(keys: DataFrame, contents: DataFrame) -> DataFrame:
     each body is shuffled once, whatever the number of files that point to it."""
     bodies = contents.select("revision", "bytes").where(F.col("revision").isNotNull() & F.col("bytes").isNotNull())
     return bodies.join(keys.hint("shuffle_hash"), "revision")
+
+
+#: rows of one key that one task of a join may get
+HOT = 200_000
+
+
+def hot_keys(counted: DataFrame, keys: list[str], rows: str, limit: int = HOT) -> DataFrame:
+    """(keys, salts) of the keys with more than ``limit`` rows: at most one for every ``limit`` rows of the table, small enough to broadcast."""
+    return counted.where(F.col(rows) > limit).select(*keys, F.ceil(F.col(rows) / limit).cast("int").alias("salts"))
+
+
+def join_split(many: DataFrame, one: DataFrame, hot: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key; hot keys are cut in ``salts`` parts by a hash of ``by``, with a copy of the one row for each."""
+    hot = F.broadcast(hot)
+    left = many.join(hot, keys, "left").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64(by), F.col("salts")).cast("int")).otherwise(0)).drop("salts")
+    right = one.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"], how).drop("salt")

@@ -29,31 +29,48 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import write_stage
-from .common import current_files, family, join_bodies
-from .lexers import MASTER
+from .common import HOT, current_files, family, hot_keys, join_bodies, join_split
+from .lexers import BLOCK, DQ, EXTENSIONS, LINE, MASTER, NUMBER, SQ, WORD
 
 #: tokens of a fingerprint, and fingerprints of a window
 K, W = 20, 32
 
-# Path parts that say where a file comes from.
+# Path parts that say where a file comes from (folders of tools and of package managers), and endings of generators.
 GENERATED_PATH = r"(?i)(^|/)(gen|generated|__generated__|autogen|autogenerated)/|(\.gen|\.g|\.designer|\.generated|_generated|_pb2?|\.pb)\.[a-z]+$"
-VENDORED_PATH = r"(?i)(^|/)(vendor|vendors|third[_-]?party|external|extern|externals|deps|node_modules|bower_components|contrib/imported|packages/_index)/"
+VENDORED_PATH = r"(?i)(^|/)(vendor|vendors|vendored|third[_-]?party|external|extern|externals|deps|imported|node_modules|bower_components|jspm_packages|packages/_index|carthage|pods)/"
 MINIFIED_PATH = r"(?i)[.-]min\.[a-z]+$"
 
-#: statements of a tool at the start of a comment
+#: what may follow "generated" and "do not edit" where they speak of the file itself
+_OF_FILE = r"(?=\s*(?:$|[-.,;:!()<>/*]|(?:file|code|class|module|source|by|from|with|using|at|and)\b))"
+_NOT_BY_HAND = r"(?=\s*(?:$|[-.,;:!()]|(?:by hand|manually|directly|this|it)\b))"
+#: statements of a tool at the start of a comment's line: that it was generated, by or from what, and that it isn't to be edited
 GENERATED_NOTE = re.compile(
-    r"(?i)(?:code |file |this (?:file|code) (?:was|is) )?(?:auto[- ]?(?:matically )?generated\b(?! on demand)|generated (?:by|from|with)\b|@generated\b|<auto-?generated\b)"
-    r"|.*\bdo not (?:edit|modify)\b(?! .*twice)|.*\bdo not modify by hand\b|machine[- ]made\b|.*\bregenerate with\b|.*writes this file on every"
-    r"|.*\bautomatisch (?:erzeugt|generiert)\b|.*\bg[ée]n[ée]r[ée]e? automatiquement\b|.*\bgenerad[oa] autom[áa]ticamente\b"
+    rf"(?i)(?:(?:this )?(?:code|file|source)(?: is| was)? )?(?:auto[- ]?(?:matically )?generated\b{_OF_FILE}|generated (?:by|from|with|using)\b|@generated\b|<auto-?generated\b)"
+    rf"|.*\bdo not (?:edit|modify|change)\b{_NOT_BY_HAND}|(?:machine|computer)[- ](?:made|generated|written)\b|.*\bregenerate (?:it )?(?:with|by|using|via)\b|.*\b(?:over)?(?:re)?writes this file\b"
+    r"|.*\bautomatisch (?:erzeugt|generiert|erstellt)\b|.*\bg[ée]n[ée]r[ée]e? automatiquement\b|.*\bgenerad[oa] autom[áa]ticamente\b"
 )
-#: statements of a copy's origin at the start of a comment
+#: statements of a copy's origin at the start of a comment's line: a copy of what, its upstream, or name and release
 VENDORED_NOTE = re.compile(
-    r"(?i)(?:bundled|vendored|unmodified|verbatim) copy of \S|upstream: *\S+ *@|(?:copied |taken |imported |vendored )?from the \S+ release \d"
+    r"(?i)(?:bundled|vendored|unmodified|verbatim|pristine) copy of \S|upstream: *\S+ *@|(?:copied |taken |imported |vendored )?from the \S+ release \d"
     r"|\S+ v?\d+(?:\.\d+)+ *(?:\| *\(c\)|- *https?://|, *(?:taken|copied|imported|vendored)\b)|@license \S+ v?\d"
 )
 _LEAD = re.compile(r"^[\s/*#;!-]*(?:\[=*\[)?\s*")
 _FOOT = re.compile(r"\n[ \t]*\*?[ \t]*")
 
+#: what needs no grammar is lexed alike: languages with // and /* */, and those with # comments
+C_LIKE, HASH_LIKE = "c-like", "hash-like"
+ALL_EXTENSIONS = (
+    EXTENSIONS
+    | {"tsx": "typescript", "jsx": "javascript"}
+    | dict.fromkeys("c h cc cpp cxx hpp hh java go kt kts swift scala dart groovy css scss less proto m mm zig v sol glsl hlsl".split(), C_LIKE)
+    | dict.fromkeys("py pyi rb sh bash zsh pl pm r jl ex exs nim tcl cmake mk gd coffee".split(), HASH_LIKE)
+)
+LEXERS = MASTER | {
+    C_LIKE: re.compile("|".join((LINE, BLOCK, DQ, SQ, r"`[^`]*`", WORD, NUMBER, r"\n", r"\S"))),
+    HASH_LIKE: re.compile("|".join((r'"""[\s\S]*?"""', r"'''[\s\S]*?'''", r"#[^\n]*", DQ, SQ, WORD, NUMBER, r"\n", r"\S"))),
+}
+
+
 _FACTS = T.StructType(
     [
         T.StructField("revision", T.StringType()),
@@ -72,13 +89,13 @@ class _Hashes(dict):
 
     def __init__(self, family: str):
         super().__init__()
-        self.luau = family == "luau"
+        self.family = family
 
     def __missing__(self, t: str) -> int:
         if len(self) > 200_000:
             self.clear()
         c = t[0]
-        if c == "\n" or is_comment(t, self.luau):
+        if c == "\n" or is_comment(t, self.family):
             v = 0
         elif len(t) > 1 and (c in "\"'`" or t[-1] in "\"'`"):
             v = 1
@@ -95,8 +112,14 @@ def _hashes(family: str) -> _Hashes:
     return _Hashes(family)
 
 
-def is_comment(t: str, luau: bool) -> bool:
-    return len(t) > 1 and (t.startswith("--") if luau else t.startswith(("//", "/*")) or t[0] == "#" and t[1] not in "[!" and " " in t)
+def is_comment(t: str, family: str) -> bool:
+    if len(t) < 2:
+        return False
+    if family == "luau":
+        return t.startswith("--")
+    if family == HASH_LIKE:
+        return t[0] == "#" or t.startswith(('"""', "'''"))
+    return t.startswith(("//", "/*")) or t[0] == "#" and t[1] not in "[!" and " " in t
 
 
 def fingerprints(stream: np.ndarray) -> np.ndarray:
@@ -129,11 +152,10 @@ def fingerprints(stream: np.ndarray) -> np.ndarray:
 def body_facts(fam: str, data: bytes) -> tuple[bool, bool, bool, bool, np.ndarray]:
     """(generated note, vendored note, minified, data, fingerprints) of one body; all false and none for an empty one."""
     text = data.decode("utf-8", "replace").lstrip("﻿")
-    tokens = MASTER[fam].findall(text)
-    luau = fam == "luau"
+    tokens = LEXERS[fam].findall(text)
     generated = vendored = False
     comments = 0
-    for t in {t for t in tokens if is_comment(t, luau)}:
+    for t in {t for t in tokens if is_comment(t, fam)}:
         comments += len(t)
         for line in _FOOT.split(t):
             line = _LEAD.sub("", line)
@@ -174,45 +196,66 @@ def facts(bodies: DataFrame) -> DataFrame:
     return bodies.select("revision", "families", "bytes").mapInArrow(_facts, _FACTS)
 
 
-def shared_prints(found: DataFrame, members: DataFrame, min_members: int) -> DataFrame:
-    """(revision, family, prints, shared): fingerprints of a body, and how many of them recur.
+def shared_prints(found: DataFrame, members: DataFrame, min_members: int, hot_rows: int = HOT) -> DataFrame:
+    """(revision, family, shared): how many of a body's fingerprints recur.
 
-    ``members``: (revision, family, some of its members up to ``min_members``).
+    ``members``: (revision, family, some of its members up to ``min_members``).  A
+    fingerprint that more than ``hot_rows`` bodies have is looked up in parts.
     """
     rows = found.where(F.size("prints") > 0).select("revision", "family", F.explode("prints").alias("print"))
     who = found.where(F.size("prints") > 0).select("revision", "family", "prints").join(members, ["revision", "family"])
     pairs = who.select(F.explode("prints").alias("print"), "some").select("print", F.explode("some").alias("member"))
-    recurring = pairs.distinct().groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") >= min_members).select("print")
-    return rows.join(recurring, "print", "left_semi").groupBy("revision", "family").agg(F.count("*").alias("shared"))
+    counted = pairs.groupBy("print", "member").agg(F.count("*").alias("c")).groupBy("print").agg(F.count("*").alias("n"), F.sum("c").alias("bodies"))
+    recurring = counted.where(F.col("n") >= min_members)
+    return join_split(rows, recurring.select("print"), hot_keys(recurring, ["print"], "bodies", hot_rows), ["print"], "revision", "left_semi").groupBy("revision", "family").agg(F.count("*").alias("shared"))
 
 
-def classify(files: DataFrame, contents: DataFrame, min_members: int = 3, min_ratio: float = 0.6, min_prints: int = 4) -> DataFrame:
+def classify(
+    files: DataFrame, contents: DataFrame, min_members: int = 3, min_ratio: float = 0.6, min_prints: int = 4, extensions: dict[str, str] = ALL_EXTENSIONS, hot_rows: int = HOT
+) -> DataFrame:
     """Origin of each current file with a body whose path denotes a language other than text.
 
     Columns: file_id, member, path, revision, generated, minified, vendored, data,
-    prints, shared, hand_written.  ``vendored`` is by path, by a statement in a
+    prints, shared, by_note, by_path, by_measure, by_prints, hand_written.  ``vendored`` is by path, by a statement in a
     comment, or by fingerprints: at least ``min_ratio`` of at least ``min_prints``
-    recur in ``min_members`` members.
+    recur in ``min_members`` members.  The ``by_`` columns say which routes decide.
 
     Files without revision or body give no row; an empty body is hand-written.
     A null member counts as no member.  Repeated rows of a file count once.
     """
-    now = current_files(files).withColumn("family", family(F.col("path"))).where("family IS NOT NULL AND revision IS NOT NULL")
+    now = current_files(files).withColumn("family", family(F.col("path"), extensions)).where("family IS NOT NULL AND revision IS NOT NULL")
     keys = now.groupBy("revision").agg(F.sort_array(F.collect_set("family")).alias("families"))
+    hot = hot_keys(now.groupBy("revision").agg(F.count("*").alias("n")), ["revision"], "n", hot_rows)
     found = write_stage(facts(join_bodies(keys, contents)), "facts").dropDuplicates(["revision", "family"])
     some = now.where("member IS NOT NULL").select("revision", "family", "member").distinct()
     # no more than min_members of a body's members are needed: the group limit below the window runs before the shuffle
     least = some.withColumn("n", F.row_number().over(Window.partitionBy("revision", "family").orderBy("member"))).where(F.col("n") <= min_members)
     members = least.groupBy("revision", "family").agg(F.collect_list("member").alias("some"))
-    shared = shared_prints(found, members, min_members)
+    shared = shared_prints(found, members, min_members, hot_rows)
     body = found.select("revision", "family", "generated_note", "vendored_note", F.col("minified").alias("min_body"), "data", F.size("prints").alias("prints"))
     body = body.join(shared, ["revision", "family"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    out = now.select(F.col("id").alias("file_id"), "member", "path", "revision", "family").join(body, ["revision", "family"])
+    per = body.groupBy("revision").agg(F.collect_list(F.struct(*[c for c in body.columns if c != "revision"])).alias("bodies"))
+    out = join_split(now.select(F.col("id").alias("file_id"), "member", "path", "revision", "family"), per, hot, ["revision"], "file_id")
+    out = out.withColumn("f", F.filter("bodies", lambda b: b["family"] == F.col("family"))[0]).drop("bodies", "family").select("file_id", "member", "path", "revision", "f.*")
     copied = (F.col("prints") >= min_prints) & (F.col("shared") >= min_ratio * F.col("prints"))
+    made, brought, small = (F.col("path").rlike(p) for p in (GENERATED_PATH, VENDORED_PATH, MINIFIED_PATH))
     out = (
-        out.withColumn("generated", F.col("generated_note") | F.col("path").rlike(GENERATED_PATH))
-        .withColumn("minified", F.col("min_body") | F.col("path").rlike(MINIFIED_PATH))
-        .withColumn("vendored", F.col("vendored_note") | F.col("path").rlike(VENDORED_PATH) | copied)
+        out.withColumn("generated", F.col("generated_note") | made)
+        .withColumn("minified", F.col("min_body") | small)
+        .withColumn("vendored", F.col("vendored_note") | brought | copied)
+        .withColumn("by_note", F.col("generated_note") | F.col("vendored_note"))
+        .withColumn("by_path", made | brought | small)
+        .withColumn("by_measure", F.col("min_body") | F.col("data"))
+        .withColumn("by_prints", copied)
     )
     hand: Column = ~(F.col("generated") | F.col("minified") | F.col("vendored") | F.col("data"))
-    return out.select("file_id", "member", "path", "revision", "generated", "minified", "vendored", "data", "prints", "shared", hand.alias("hand_written"))
+    routes = ["by_note", "by_path", "by_measure", "by_prints"]
+    return out.select("file_id", "member", "path", "revision", "generated", "minified", "vendored", "data", "prints", "shared", *routes, hand.alias("hand_written"))
+
+
+def routes(classified: DataFrame) -> DataFrame:
+    """(route, files, alone): files that each route finds, and those that no other route finds."""
+    names = ["by_note", "by_path", "by_measure", "by_prints"]
+    n = sum((F.col(x).cast("int") for x in names[1:]), F.col(names[0]).cast("int"))
+    one = classified.select(F.explode(F.array(*[F.struct(F.lit(x[3:]).alias("route"), F.col(x).alias("yes")) for x in names])).alias("r"), n.alias("n"))
+    return one.where("r.yes").groupBy("r.route").agg(F.count("*").alias("files"), F.sum((F.col("n") == 1).cast("long")).alias("alone"))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import write_stage
-from .common import current_files, family, join_bodies
+from .common import HOT, current_files, family, hot_keys, join_bodies, join_split
 from .grammars import SOURCES
 
 _LEXED = T.StructType(
@@ -97,7 +97,7 @@ def verdicts(lexed: DataFrame) -> DataFrame:
     return out.withColumn("valid", (F.col("bad_pairs") == 0) & ~F.col("nesting_fault") & (F.col("statement_faults") == 0))
 
 
-def check_files(files: DataFrame, contents: DataFrame) -> DataFrame:
+def check_files(files: DataFrame, contents: DataFrame, hot_rows: int = HOT) -> DataFrame:
     """Verdict per current file with a body and a path that denotes a language.
 
     Columns: file_id, member, path, language (as reported), status, revision, family,
@@ -105,7 +105,7 @@ def check_files(files: DataFrame, contents: DataFrame) -> DataFrame:
 
     Files without revision, body or known extension give no row.  Null languages and
     statuses are kept as they are; an empty body is valid.  Further columns of
-    either table are ignored.
+    either table are ignored.  A body that more than ``hot_rows`` files point to is joined with them in parts.
     """
     now = current_files(files).withColumn("family", family(F.col("path"))).where("family IS NOT NULL AND revision IS NOT NULL")
     keys = now.groupBy("revision").agg(F.sort_array(F.collect_set("family")).alias("families"))
@@ -113,7 +113,8 @@ def check_files(files: DataFrame, contents: DataFrame) -> DataFrame:
     lexed = write_stage(lex(join_bodies(keys, contents)), "lexed").dropDuplicates(["revision", "family"])
     found = verdicts(lexed)
     cols = ["id", "member", "path", "language", "status", "revision", "family"]
-    return now.select(*cols).join(found, ["revision", "family"]).withColumnRenamed("id", "file_id")
+    hot = hot_keys(now.groupBy("revision", "family").agg(F.count("*").alias("n")), ["revision", "family"], "n", hot_rows)
+    return join_split(now.select(*cols), found, hot, ["revision", "family"], "id").withColumnRenamed("id", "file_id")
 
 
 def rates(checked: DataFrame, coverage: DataFrame) -> DataFrame:

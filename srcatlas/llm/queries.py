@@ -22,6 +22,11 @@ def p1_origins(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("member").agg(F.count("*").alias("files"), n("generated"), n("minified"), n("vendored"), n("data"), n("hand_written"))
 
 
+def p1_routes(spark: SparkSession, d: str) -> DataFrame:
+    """What statements, paths, token measures and winnowed fingerprints each find, and find alone."""
+    return handwritten.routes(handwritten.classify(table(spark, d, "files"), table(spark, d, "contents")))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, d, "contents"), table(spark, d, "region_spans"), table(spark, d, "definitions"))
 
@@ -118,6 +123,11 @@ def p9_grades(spark: SparkSession, d: str) -> DataFrame:
     return readability.grades(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
+def p9_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """Marks against grades of documents whose marks the model was not fitted on, in five folds."""
+    return readability.held_out(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         ship(spark)
@@ -128,8 +138,8 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_origins, p2_found, p2_pieces, p2_audit, p2_coverage, p3_found, p3_topk, p4_found, p4_rates, p5_found, p5_redacted,
-        p7_found, p7_items, p8_found, p8_mix, p8_shares, p8_tempered, p8_tempered_shares, p9_found, p9_grades,
+        p1_found, p1_origins, p1_routes, p2_found, p2_pieces, p2_audit, p2_coverage, p3_found, p3_topk, p4_found, p4_rates, p5_found, p5_redacted,
+        p7_found, p7_items, p8_found, p8_mix, p8_shares, p8_tempered, p8_tempered_shares, p9_found, p9_grades, p9_heldout,
     )
     return {f.__name__: _shipped(f) for f in every}
 

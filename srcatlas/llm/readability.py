@@ -13,7 +13,7 @@ comparable across languages and no declared language is needed.
 Scale: counting words of the marked documents is a shuffle with partial
 aggregation; grading is one map-only pass over all documents, whole texts.  The
 model is fitted on at most ``max_marked`` marked documents (those with the least
-hash), so what is sent to the tasks is bounded: at most ``max_words`` words.
+hash), so what is sent to the tasks is bounded: the words that stand ``min_count`` times in at most ``max_marked`` marked documents.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_stage
+
 GRADES = 5
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _HEAD = re.compile(r"(?m)^[ \t]*#.*$")
@@ -137,12 +139,12 @@ def marked_documents(documents: DataFrame, labels: DataFrame, max_marked: int) -
     return documents.where("text IS NOT NULL").select("doc_id", "text").join(one.hint("shuffle_hash"), "doc_id").select("text", "grade")
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_marked: int = 20000, max_words: int = 200000, min_count: int = 4) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_marked: int = 20000, min_count: int = 4) -> Model:
     """Word grades and document model from the marked documents (a bounded sample of labelled rows)."""
     marked = marked_documents(documents, labels, max_marked)
     counts = marked.mapInArrow(_words_of, "word string, grade int, n bigint").groupBy("word").agg(*[F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"g{g}") for g in range(1, 6)])
     counts = counts.withColumn("all", sum((F.col(f"g{g}") for g in range(2, 6)), F.col("g1")))
-    rows = counts.where(F.col("all") >= min_count).orderBy(F.desc("all"), "word").limit(max_words).toPandas()
+    rows = counts.where(F.col("all") >= min_count).orderBy("word").toPandas()
     table = rows[[f"g{g}" for g in range(1, 6)]].to_numpy(float) if len(rows) else np.zeros((0, 5))
     totals = table.sum(axis=0) + 1
     grades = acquisition(table, totals) if len(rows) else np.zeros(0)
@@ -168,13 +170,13 @@ def fit(documents: DataFrame, labels: DataFrame, max_marked: int = 20000, max_wo
     return model
 
 
-def grades(documents: DataFrame, labels: DataFrame, **params: int) -> DataFrame:
+def grades(documents: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None, **params: int) -> DataFrame:
     """(doc_id, grade): the reading grade of every document.
 
     A null or empty text has grade 1 (nothing to read); a null doc_id is kept.
-    Repeated documents give a row each.  Without any usable mark every text is graded 3.
+    Repeated documents give a row each.  ``fit_on``: the documents that ``labels`` mark, if they are others.  Without any usable mark every text is graded 3.
     """
-    model = fit(documents, labels, **params)
+    model = fit(documents if fit_on is None else fit_on, labels, **params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,3 +188,19 @@ def grades(documents: DataFrame, labels: DataFrame, **params: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(g, pa.int32())], names=["doc_id", "grade"])
 
     return documents.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("grade", T.IntegerType())]))
+
+
+def held_out(documents: DataFrame, labels: DataFrame, folds: int = 5, **params: int) -> DataFrame:
+    """(mark, grade, documents): marked documents by their mark and the grade that a model fitted without their fold gives them.
+
+    Folds are by a hash of the document, so copies of a row fall in one; documents without a usable mark take no part.
+    """
+    good = labels.where(F.col("doc_id").isNotNull() & F.col("grade").between(1, GRADES)).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
+    marked = write_stage(documents.where("doc_id IS NOT NULL").select("doc_id", "text").join(good.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "marked")
+    one = good.groupBy("doc_id").agg(F.round(F.avg("grade")).cast("int").alias("mark"), F.min("fold").alias("fold"))
+    out = None
+    for k in range(folds):
+        own = marked.join(one.where(F.col("fold") == k), "doc_id")
+        got = grades(own, good.where(F.col("fold") != k), fit_on=marked, **params).join(one.select("doc_id", "mark"), "doc_id").select("mark", "grade")
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("mark", "grade").agg(F.count("*").alias("documents"))

@@ -314,3 +314,31 @@ def test_early_boundary_makes_no_small_piece():
     # in the second half a definition goes before a later line, and a line in the first half before a word
     assert splitting.pieces(data, [300, 3000])[0][:2] == (0, 3000)
     assert splitting.pieces(b"a b\n" * 100 + b"c d " * 2000, [])[0][1:] == (400, "line")
+
+
+def test_files_of_other_languages_and_hot_bodies(spark):
+    lib = "\n".join(f"def step_{i}(a, b):\n    return a * {i} + b.call_{i % 7}(a, [b, '{i}'])\n" for i in range(60))
+    note = "# Code generated by toolsmith. DO NOT EDIT.\nx = 1\n"
+    rows = [(i, f"m{i % 4}", f"lib/part{i}.py", lib.encode()) for i in range(40)]
+    rows += [(100, "m1", "src/a.py", note.encode()), (101, "m1", "src/b.go", b"package main\nfunc main() { println(1) }\n"), (102, "m1", "app/view.tsx", b"export const a = 1;\n"), (103, "m2", "notes.md", b"text"), (104, "m2", "vendored/q.java", b"class Q {}\n")]
+    files, contents = tables(spark, rows)
+    plain = {r.file_id: r for r in handwritten.classify(files, contents).collect()}
+    split = {r.file_id: r for r in handwritten.classify(files, contents, hot_rows=3).collect()}
+    assert plain == split and set(plain) == {*range(40), 100, 101, 102, 104}
+    assert all(plain[i].by_prints and plain[i].vendored for i in range(40))
+    assert plain[100].generated and plain[100].by_note and plain[101].hand_written and plain[102].hand_written and plain[104].by_path
+    by = {r.route: (r.files, r.alone) for r in handwritten.routes(handwritten.classify(files, contents)).collect()}
+    assert by == {"prints": (40, 40), "note": (1, 1), "path": (1, 1)}
+    checked = sorted(map(tuple, parsecheck.check_files(files, contents).collect()))
+    assert not checked  # none of the seven languages
+
+
+def test_parse_check_joins_a_hot_body_in_parts(spark):
+    rows = [(i, "m", f"p{i}.rs", b"fn a() {}\n") for i in range(20)] + [(50, "m", "q.rs", b"fn a( {}\n")]
+    files, contents = tables(spark, rows)
+    assert sorted(map(tuple, parsecheck.check_files(files, contents, hot_rows=4).collect())) == sorted(map(tuple, parsecheck.check_files(files, contents).collect()))
+
+
+@pytest.mark.parametrize("text,want", [("// Do not edit the same row twice", False), ("// ids are auto-generated on demand", False), ("// autogenerated on demand by callers", False), ("// DO NOT EDIT.", True), ("// Autogenerated; see the schema", True), ("// the job rewrites this file", True), ("// generated from a.idl", True), ("// writes this table", False)])
+def test_statements_of_origin(text, want):
+    assert handwritten.body_facts("rust", (text + "\nfn a() {}\n").encode())[0] == want

@@ -343,3 +343,13 @@ def test_sources_are_the_same_whatever_surrounds_them_and_entropy_decides_the_mi
     free = targets.where("max_repeats = 2").selectExpr("source", "CAST(NULL AS DOUBLE) AS target_share", "max_repeats")
     flat, steep = ({r.source: r.budget for r in mixing.mix(docs, free, total_tokens=4000, target_entropy=h)[1].collect()} for h in (0.6931, 0.3))
     assert abs(flat["a"] - flat["b"]) < 50 and steep["a"] > 1.5 * steep["b"]
+
+
+def test_held_out_figures(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(sentence(rng, 4 + 4 * g, WORDS[24 * (g - 1) : 24 * g + 12]) for _ in range(12)), g) for i, g in enumerate([1, 2, 3, 4, 5] * 30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, "no mark")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, g) for i, _, g in rows] + [(None, 2), (3, 9)], "doc_id long, grade int")
+    got = readability.held_out(docs, marks).collect()
+    assert sum(r.documents for r in got) == 150 and sum(r.documents for r in got if abs(r.mark - r.grade) <= 1) > 130
+    assert readability.held_out(docs, marks.limit(0)).count() == 0
