@@ -67,6 +67,17 @@ def is_test_path(path: Column) -> Column:
     return in_dir | named | name.rlike(r"_test\.(go|py)$") | name.rlike(r"^test_.*\.py$") | name.rlike(r"_spec\.rb$")
 
 
+def is_test_name(path: str) -> bool:
+    """``is_test_path`` of one path."""
+    p = path.lower()
+    name = p.rsplit("/", 1)[-1]
+    stem = name.split(".", 1)[0]
+    parts = p.split("/")
+    in_dir = any(x in ("tests", "__tests__", "spec", "testdata") for x in parts[:-1]) or any(x == "test" and y != "src" for x, y in zip(parts[:-1], parts[1:]))
+    named = stem == "tests" or stem.endswith("_tests") or ".test." in name or ".spec." in name
+    return in_dir or named or name.endswith(("_test.go", "_test.py", "_spec.rb")) or name.startswith("test_") and name.endswith(".py")
+
+
 def is_doc_path(path: Column) -> Column:
     return F.lower(path).rlike(r"\.(md|markdown)$")
 

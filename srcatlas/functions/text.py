@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +20,25 @@ def tokens(text: Column) -> Column:
 _IN = r"[\p{L}\p{N}]"
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters with marks and their base letters, by canonical decomposition; combining marks, which fall away, come last."""
+    base = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x2000)) if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))}
+    pairs = [(a, b) for a, b in base.items() if a != b]
+    return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
 def lowered(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit("")))
+    """Lower case without diacritics; empty for null.  Plain ASCII, which most text is, is not mapped."""
+    t = F.coalesce(text, F.lit(""))
+    a, b = _accents()
+    return F.lower(F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, a, b)).otherwise(t))
+
+
+def fold(text: str) -> str:
+    """``lowered`` of one string."""
+    a, b = _accents()
+    return text.translate({ord(x): b[i] if i < len(b) else None for i, x in enumerate(a)}).lower()
 
 
 def count_tokens(low: Column) -> Column:

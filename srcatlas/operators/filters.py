@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -54,26 +55,41 @@ def anchored(files: DataFrame, value: str) -> bool:
     return not files.where(p.startswith(value) & F.substring(p, len(value) + 1, 1).isin("", "/", ".")).limit(1).isEmpty()
 
 
+def bind(files: DataFrame, q: Query) -> Callable[[Iterable[str]], Column] | None:
+    """The query's filters as a condition on a table with some of path, language and kind, or None where there are none.
+
+    Whether a path value is anchored is looked up once, in the paths of ``files``.
+    """
+    if not (q.includes or q.excludes or q.language or q.kind):
+        return None
+    held = {v: anchored(files, v) for v in [*q.includes, *q.excludes]}
+
+    def condition(columns: Iterable[str]) -> Column:
+        ok: Column = F.lit(True)
+        if q.includes:
+            hit: Column = F.lit(False)
+            for v in q.includes:
+                hit = hit | path_predicate(F.col("path"), v, held[v])
+            ok = ok & hit
+        for v in q.excludes:
+            ok = ok & ~path_predicate(F.col("path"), v, held[v])
+        if q.language and "language" in columns:
+            ok = ok & F.coalesce(language_column(F.col("language")) == q.language, F.lit(False))
+        if q.kind and "kind" in columns:
+            ok = ok & F.coalesce(F.col("kind") == q.kind, F.lit(False))
+        return ok
+
+    return condition
+
+
 def filter_paths(files: DataFrame, includes: list[str], excludes: list[str]) -> DataFrame:
     """Includes are alternatives, excludes all hold; pushed to the scan as prefix and containment tests."""
-    out = files
-    if includes:
-        hit: Column = F.lit(False)
-        for v in includes:
-            hit = hit | path_predicate(F.col("path"), v, anchored(files, v))
-        out = out.where(hit)
-    for v in excludes:
-        out = out.where(~path_predicate(F.col("path"), v, anchored(files, v)))
-    return out
+    return apply(files, Query(includes=includes, excludes=excludes))
 
 
 def apply(files: DataFrame, q: Query) -> DataFrame:
-    out = filter_paths(files, q.includes, q.excludes)
-    if q.language:
-        out = out.where(language_column(F.col("language")) == q.language)
-    if q.kind and "kind" in files.columns:
-        out = out.where(F.col("kind") == q.kind)
-    return out
+    bound = bind(files, q)
+    return files if bound is None else files.where(bound(files.columns))
 
 
 def resolve_single_file(files: DataFrame, value: str) -> str | None:

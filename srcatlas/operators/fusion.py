@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.paths import basename, is_doc_path, is_test_path
+from ..functions.paths import basename, is_doc_path, is_test_name, is_test_path
 from . import lanes as L
 
+# The constant of reciprocal ranks, the prior, words that ask for tests and documents, kinds that are no declarations.
 RRF_K = 60
 PRIOR = 0.7
 TEST_WORDS = {"test", "tests", "testing", "spec", "fixture", "fixtures"}
@@ -33,11 +34,23 @@ def evidence_tier(lane: Column, score: Column, identifier: bool) -> Column:
     return F.when((lane == "file") & (score == 3), 0).when(lane == "exact", 1).when(lane == "occurrence", 2).otherwise(3)
 
 
-def path_prior(path: Column, terms: list[str], filters: list[str] | None = None, identifier: bool = False, kind: str | None = None) -> Column:
-    """0.7 for tests and documents the query doesn't ask for: none where a filter or ``kind:file`` targets paths, or a plain query's terms are all in the name."""
-    if kind == "file" or filters:
-        return F.lit(1.0)
-    low = (F.lit(not TEST_WORDS & set(terms)) & is_test_path(path)) | (F.lit(not DOC_WORDS & set(terms)) & is_doc_path(path))
+def _asks_tests(value: str) -> bool:
+    """Whether a path value of a filter is that of a test, or has a directory of tests."""
+    parts = [p for p in value.split("/") if p]
+    return is_test_name(value) or any(is_test_name(p + "/x") for p in parts)
+
+
+def path_prior(path: Column, terms: list[str], filters: list[str] | None = None, identifier: bool = False, kind: str | None = None, language: str | None = None) -> Column:
+    """0.7 for tests and for documents that the query doesn't ask for, by a word, or by a filter that is of that class; else 1.
+
+    A filter lifts only the class it names: a test path or directory, a document or a folder ``doc`` or ``docs``; ``lang:text`` lifts documents,
+    ``kind:file`` both.  Unless the query is an identifier, a file whose name holds all its terms has 1.
+    """
+    values = [v.lower() for v in filters or []]
+    tests = kind != "file" and not TEST_WORDS & set(terms) and not any(map(_asks_tests, values))
+    asks_docs = any(v.endswith((".md", ".markdown")) or {"doc", "docs"} & set(v.split("/")) for v in values)
+    docs = kind != "file" and not DOC_WORDS & set(terms) and language != "text" and not asks_docs
+    low = (F.lit(tests) & is_test_path(path)) | (F.lit(docs) & is_doc_path(path))
     named: Column = F.lit(bool(terms) and not identifier)
     for t in terms:
         named = named & F.lower(basename(path)).contains(t)
@@ -98,47 +111,31 @@ COMMENT = r"^\s*(//|/\*|\*|#|--|;)"
 
 
 def snippets(texts: DataFrame, terms: list[str], most_lines: int = 2000, width: int = 120) -> DataFrame:
-    """(id, line, snippet): the line with most evidence - twice its distinct terms, 3 more for code - then class, then first.
+    """(id, line, snippet): the line with most evidence - twice its distinct terms, 3 more for code that has one - then class, then first.
 
-    Classes: 0 term in code, 2 term in a comment, 4 other code, 5 other comment.
+    Classes: 0 term in code, 1 name in code, 2 term in a comment, 3 name in a comment, 4 other code, 5 other comment.  ``texts``: id, body and, where
+    hits are named, name.  Blank lines never count; the first ``most_lines`` lines of a text are looked at, which is the feature's own bound.
     """
-    lines = texts.select("id", F.posexplode(F.slice(F.split("body", "\n"), 1, most_lines)).alias("n", "text")).where(F.trim("text") != "")
+    name = F.lower(F.coalesce("name", F.lit(""))) if "name" in texts.columns else F.lit("")
+    lines = texts.select("id", name.alias("name"), F.posexplode(F.slice(F.split("body", "\n"), 1, most_lines)).alias("n", "text")).where(F.trim("text") != "")
     low = F.lower("text")
     found = sum((low.contains(t).cast("int") for t in terms), F.lit(0))
+    named = (F.col("name") != "") & low.contains(F.col("name"))
     comment = F.col("text").rlike(COMMENT)
-    klass = F.when((found > 0) & ~comment, 0).when(found > 0, 2).when(~comment, 4).otherwise(5)
-    evidence = 2 * found + F.when(comment, 0).otherwise(3)
+    klass = F.when((found > 0) & ~comment, 0).when((found == 0) & named & ~comment, 1).when(found > 0, 2).when(named, 3).when(~comment, 4).otherwise(5)
+    evidence = 2 * found + F.when((found > 0) & ~comment, 3).otherwise(0)
     best = lines.groupBy("id").agg(F.min_by(F.struct("n", "text"), F.struct(-evidence, klass, "n")).alias("b"))
-    text = F.trim("b.text")
+    text = F.regexp_replace(F.trim(F.regexp_replace("b.text", r"^\s+|\s+$", "")), r"\p{Cc}", " ")
     cut = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("…"))).otherwise(text)
     return best.select("id", (F.col("b.n") + 1).alias("line"), cut.alias("snippet"))
 
 
-def search(regions: DataFrame, text: str, filters: list[str] | None = None, limit: int = 100) -> DataFrame:
-    """Fused ranking of a free-text query over regions (id, path, name, expanded, body): path, tier, score, rank.
+def search(regions: DataFrame, text: str, limit: int = 100) -> DataFrame:
+    """``search.search`` over regions alone: path, tier, score, rank."""
+    from .search import Corpus
+    from .search import search as whole
 
-    Lanes in order: phrase, all terms, any terms, file names.
-    """
-    c = L.concept(text)
-    ident = c["identifier"] is not None
-    terms = c["any"] or c["phrase"]
-    found = []
-    if c["phrase"]:
-        found.append(("phrase", L.phrase(regions, c["phrase"])))
-    if c["all"]:
-        found.append(("all", L.any_terms(regions, c["all"], need_all=True)))
-    if c["any"]:
-        found.append(("any", L.any_terms(regions, c["any"])))
-        found.append(("file", L.filename(regions, terms)))
-    hits = None
-    for no, (lane, df) in enumerate(found):
-        ln = F.lit(lane)
-        h = df.select(
-            F.lit(no).alias("lane_no"), "path", "rank", lane_weight(ln, F.lit(None).cast("string"), F.col("score"), ident).alias("weight"),
-            path_prior(F.col("path"), terms, filters, ident).alias("prior"), evidence_tier(ln, F.col("score"), ident).alias("tier"),
-        )
-        hits = h if hits is None else hits.unionByName(h)
-    return ranked(fuse(hits).limit(limit))
+    return whole(Corpus(regions), text, limit=limit).select("path", "tier", "score", "rank")
 
 
 def words_of(text: str) -> list[str]:

@@ -6,39 +6,59 @@ A lane reads its table once: terms are counted inside the row, so nothing is exp
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import basename
-from ..functions.text import count_phrase, count_token, count_tokens, lowered
+from ..functions.text import count_phrase, count_token, count_tokens, fold, lowered
+from .postings import COLUMN_WEIGHTS, K1, B, Postings, idf, lane
 
 LANE_FILES = 1000
-#: constants of the published ranking function (fixed values)
-K1, B = 1.2, 0.75
-COLUMN_WEIGHTS = {"name": 8.0, "expanded": 2.0, "body": 1.0, "path": 0.5}
 
 
 def query_terms(text: str) -> list[str]:
-    """Lower-case letter and digit runs, each once, in order."""
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
+    """Folded letter and digit runs, as the index has them, in order."""
+    return re.findall(r"[^\W_]+", fold(text))
+
+
+def name_terms(text: str) -> list[str]:
+    """Terms that file names are compared with: letter and digit runs in lower case."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def word_terms(text: str) -> list[str]:
+    """Words of a query: letters, digits and '_'; one with '_' means its parts one after the other."""
+    return re.findall(r"\w+", text)
+
+
+def snippet_terms(text: str) -> list[str]:
+    """Distinct words of at least two bytes."""
+    return list(dict.fromkeys(w.lower() for w in word_terms(text) if len(w.encode()) >= 2))
 
 
 def concept(text: str) -> dict:
-    """Expressions of a free-text query: phrase, all terms, any terms, identifier.
+    """Expressions of a free-text query: phrase, all terms, any terms, identifier (name, and its qualifier).
 
-    A text in double quotes is only a phrase; two or more terms give phrase, all and
-    any; one gives any.  A single word with '_', '::', a digit or an inner capital, and a letter, is an identifier.
+    A text in double quotes with none inside is only a phrase; two or more words give phrase, all and
+    any; one gives any.  One token of identifiers joined by '::', or with '_', a digit or a capital after a small letter,
+    and a letter, is an identifier: ``a::b::c`` names ``c`` in ``b``.
     """
     t = text.strip()
-    words = re.findall(r"\w+", t)
-    if len(t) > 1 and t[0] == t[-1] == '"':
-        return {"phrase": query_terms(t), "all": [], "any": [], "identifier": None}
-    single = t if t and not re.search(r"\s", t) else None
-    code = bool(single and re.search(r"_|::|[a-z][A-Z]|[0-9]", single) and re.search(r"[A-Za-z]", single))
-    many = len(words) > 1
-    return {"phrase": query_terms(t) if many else [], "all": query_terms(t) if many else [], "any": query_terms(t), "identifier": single if code else None}
+    literal = len(t) > 1 and t[0] == t[-1] == '"' and '"' not in t[1:-1]
+    if literal:
+        return {"phrase": query_terms(t), "all": [], "any": [], "identifier": None, "name": None, "qualifier": None, "segments": [], "literal": True}
+    parts = t.split("::")
+    code = all(re.fullmatch(r"\w+", x) for x in parts) and any(map(str.isalpha, t))
+    code = code and (len(parts) > 1 or "_" in t or any(map("0123456789".__contains__, t)) or any(a.islower() and b.isupper() for a, b in zip(t, t[1:])))
+    terms, many = list(dict.fromkeys(query_terms(t))), len(word_terms(t)) > 1
+    return {
+        "phrase": query_terms(t) if many else [], "all": terms if many else [], "any": terms, "identifier": t if code else None,
+        "name": parts[-1] if code else None, "qualifier": parts[-2] if code and len(parts) > 1 else None, "segments": parts if code else [], "literal": False,
+    }
 
 
 def exact(definitions: DataFrame, name: str, limit: int = LANE_FILES) -> DataFrame:
@@ -63,17 +83,15 @@ def term_stats(regions: DataFrame, terms: list[str]) -> dict:
     return {"n": row["n"], "avg": row["avg"] or 1.0, "df": {t: row[f"d{i}"] or 0 for i, t in enumerate(terms)}}
 
 
-def _idf(n: int, df: int) -> float:
-    import math
-
-    return max(1e-6, math.log((n - df + 0.5) / (df + 0.5)))
-
-
-def any_terms(regions: DataFrame, terms: list[str], need_all: bool = False, limit: int = LANE_FILES) -> DataFrame:
+def any_terms(regions: DataFrame | Postings, terms: list[str], need_all: bool = False, limit: int = LANE_FILES) -> DataFrame:
     """Best region per path by weighted term relevance; with ``need_all`` only regions that hold every term.
 
-    ``regions``: id, path and any of name, expanded, body.  Adds score (6 digits) and rank; ties by path, id.
+    ``regions``: their index, or id, path and any of name, expanded, body, which are then read as a whole.
+    Adds score (6 digits) and rank; ties by path, id.
     """
+    if isinstance(regions, Postings):
+        best = lane(regions.paths([[t] for t in terms]), "all" if need_all else "any", limit)
+        return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
     if not terms:
         return regions.select("id", "path", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     stats = term_stats(regions, terms)
@@ -85,7 +103,7 @@ def any_terms(regions: DataFrame, terms: list[str], need_all: bool = False, limi
     for i in range(len(terms)):
         test = test & (F.col(f"f{i}") > 0) if need_all else test | (F.col(f"f{i}") > 0)
     norm = K1 * (1 - B + B * F.col("len") / F.lit(float(stats["avg"])))
-    score = sum((F.lit(_idf(stats["n"], stats["df"][t])) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm) for i, t in enumerate(terms)), F.lit(0.0))
+    score = sum((F.lit(idf(stats["n"], stats["df"][t])) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm) for i, t in enumerate(terms)), F.lit(0.0))
     return _best(hits.where(test).select("id", "path", F.round(score, 6).alias("score")), limit)
 
 
@@ -96,8 +114,11 @@ def _best(scored: DataFrame, limit: int) -> DataFrame:
     return top.select("id", "path", "score", F.row_number().over(Window.orderBy(F.desc("score"), "path")).alias("rank"))
 
 
-def phrase(regions: DataFrame, terms: list[str], limit: int = LANE_FILES) -> DataFrame:
+def phrase(regions: DataFrame | Postings, terms: list[str], limit: int = LANE_FILES) -> DataFrame:
     """Regions in one column of which the terms are adjacent; score is the number of such places times the column's weight."""
+    if isinstance(regions, Postings):
+        best = lane(regions.paths([], terms), "phrase", limit)
+        return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
     regions, cols = _lowered(regions)
     places = sum((count_phrase(c, terms) * COLUMN_WEIGHTS[k] for k, c in cols.items()), F.lit(0.0))
     return _best(regions.select("id", "path", places.alias("score")).where("score > 0"), limit)
@@ -138,11 +159,36 @@ def filename(files: DataFrame, terms: list[str], limit: int = LANE_FILES) -> Dat
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
 
 
+def regex_matches(texts: DataFrame, pattern: str) -> DataFrame:
+    """(id, line, start, end, text): the matches of a pattern in whole texts, the first that begins on each line; offsets are bytes of UTF-8.
+
+    Line anchors hold at every line, and a match may go on over line ends.  Texts are tested in the JVM, and only those that match go
+    to Python for the places; the pattern must mean the same to both (no possessive or atomic groups, no classes of one of them alone).
+    """
+    finder = re.compile(pattern, re.M)
+    hit = texts.where(F.col("body").isNotNull() & ~F.contains("body", F.lit("\0")) & F.col("body").rlike("(?m)" + pattern)).select("id", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                line, at, size, last = 1, 0, 0, 0
+                for m in finder.finditer(body):
+                    between = body[at : m.start()]
+                    line, size, at = line + between.count("\n"), size + len(between.encode()), m.start()
+                    if line != last:
+                        last = line
+                        for col, x in zip(out, (i, line, size, size + len(m[0].encode()), m[0])):
+                            col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "line", "start", "end", "text"])
+
+    return hit.select(F.col("id").cast("long"), "body").mapInArrow(run, "id long, line long, start long, end long, text string")
+
+
 def regex_lines(texts: DataFrame, pattern: str, limit: int = 10000) -> DataFrame:
-    """(id, line, text) of lines that match; the whole text is tested before its lines are made rows."""
-    hit = texts.where(F.col("body").rlike("(?m)" + pattern))
-    rows = hit.select("id", F.posexplode(F.split("body", "\n")).alias("n", "text")).where(F.col("text").rlike(pattern))
-    return rows.select("id", (F.col("n") + 1).alias("line"), "text").orderBy("id", "line").limit(limit)
+    """(id, line, text): each line on which a match begins, whole."""
+    found = regex_matches(texts, pattern).join(texts.select("id", F.split("body", "\n").alias("lines")), "id")
+    return found.select("id", "line", F.get("lines", F.col("line").cast("int") - 1).alias("text")).orderBy("id", "line").limit(limit)
 
 
 def dot(a: Column, b: Column) -> Column:
