@@ -23,7 +23,7 @@ _IN = r"[\p{L}\p{N}]"
 @cache
 def _accents() -> tuple[str, str]:
     """Letters with marks and their base letters, by canonical decomposition; combining marks, which fall away, come last."""
-    base = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x2000)) if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))}
+    base = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x2000) if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))}
     pairs = [(a, b) for a, b in base.items() if a != b]
     return "".join(a for a, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -26,7 +27,8 @@ class Query:
 def parse_query(text: str) -> Query:
     """``file:`` ``-file:`` ``lang:`` ``kind:`` words are filters; the rest is kept; then ``sym:`` or ``re:`` in front of it."""
     q, rest = Query(), []
-    for word in text.split():
+    for chunk in re.findall(r"\S+\s*|\s+", text):
+        word = chunk.rstrip()
         if word.startswith("-file:") and len(word) > 6:
             q.excludes.append(encode_value(word[6:]))
         elif word.startswith("file:") and len(word) > 5:
@@ -36,8 +38,9 @@ def parse_query(text: str) -> Query:
         elif word.startswith("kind:") and len(word) > 5:
             q.kind = word[5:]
         else:
-            rest.append(word)
-    q.text = " ".join(rest)
+            rest.append(chunk)
+    # white space between the words that stay is kept: a pattern may need it
+    q.text = "".join(rest).strip()
     if q.text.startswith("sym:"):
         q.exact, q.text = True, q.text[4:].strip()
         if q.text.startswith("re:"):

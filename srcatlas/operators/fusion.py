@@ -117,7 +117,7 @@ def snippets(texts: DataFrame, terms: list[str], most_lines: int = 2000, width:
     hits are named, name.  Blank lines never count; the first ``most_lines`` lines of a text are looked at, which is the feature's own bound.
     """
     name = F.lower(F.coalesce("name", F.lit(""))) if "name" in texts.columns else F.lit("")
-    lines = texts.select("id", name.alias("name"), F.posexplode(F.slice(F.split("body", "\n"), 1, most_lines)).alias("n", "text")).where(F.trim("text") != "")
+    lines = texts.select("id", name.alias("name"), F.posexplode(F.slice(F.split("body", "\n"), 1, most_lines)).alias("n", "text")).where(F.col("text").rlike(r"\S"))
     low = F.lower("text")
     found = sum((low.contains(t).cast("int") for t in terms), F.lit(0))
     named = (F.col("name") != "") & low.contains(F.col("name"))

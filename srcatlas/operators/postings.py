@@ -1,9 +1,9 @@
 """An inverted index of regions: one row per term and region, read by the terms of a query alone.
 
 Rows hold the term's positions in each column, the region's length in tokens, its path, kind and language, so that
-scores, phrases and filters need no other table.  They are ordered by bucket, term and region within ranges, so
-a term that a third of all regions have lies in as many files as its size asks for; files are
-partitioned by a hash of the term, and within them row groups are skipped by their least and greatest term.
+scores, phrases and filters need no other table.  Files are partitioned by a hash of the term and cut by a hash of the region, so
+a term that a third of all regions have lies in many files; rows are sorted by term, and
+row groups are skipped by their least and greatest term.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from ..session import shared_dir, write_stage
 #: constants of the published ranking function (fixed values)
 K1, B = 1.2, 0.75
 COLUMN_WEIGHTS = {"name": 8.0, "expanded": 2.0, "body": 1.0, "path": 0.5}
-BUCKETS = 32
+BUCKETS = 16
+#: written partitions may be none, so the schemas are given when they are read
+ROWS = "id long, path string, kind string, language string, len int, term string, " + ", ".join(f"p_{c} array<int>, n_{c} int" for c in COLUMN_WEIGHTS) + ", bucket int"
+TERMS = "term string, df long, bucket int"
 
 
 def idf(n: int, df: int) -> float:
@@ -72,23 +75,28 @@ class Postings:
         cols = [c for c in COLUMN_WEIGHTS if c in regions.columns]
         more = [F.col(c) if c in regions.columns else F.lit(None).cast("string").alias(c) for c in ("kind", "language")]
         words = [_places(c, k) for k, c in enumerate(cols)]
-        base = regions.select("id", "path", *more, F.concat(*words).alias("words")).withColumn("len", F.size("words"))
+        # the texts are shuffled once, by region: their terms, several times as large, are then aggregated where they are
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        texts = regions.select("id", "path", *[c for c in ("name", "expanded", "body", "kind", "language") if c in regions.columns]).repartition(tasks, "id")
+        base = texts.select("id", "path", *more, F.concat(*words).alias("words")).withColumn("len", F.size("words"))
         base.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("average")).write.parquet(f"{path}/stats")
-        each = base.where("len > 0").select("id", "path", "kind", "language", "len", F.explode("words").alias("w"))
+        each = base.where("len > 0").select(F.col("id").cast("long").alias("id"), "path", "kind", "language", "len", F.explode("words").alias("w"))
         places = [F.sort_array(F.collect_list(F.when(F.col("w.col") == k, F.col("w.pos")))).alias(f"p_{c}") for k, c in enumerate(cols)]
         rows = each.groupBy("id", "path", "kind", "language", "len", F.col("w.term").alias("term")).agg(*places)
         missing = [F.array().cast("array<int>").alias(f"p_{c}") for c in COLUMN_WEIGHTS if c not in cols]
         rows = rows.select("*", *missing).withColumns({f"n_{c}": F.size(f"p_{c}") for c in cols} | {f"n_{c}": F.lit(0) for c in COLUMN_WEIGHTS if c not in cols})
         rows = rows.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(BUCKETS)).cast("int"))
-        rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/rows")
-        written = spark.read.parquet(f"{path}/rows")
-        written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+        # a term has one row a region, so a bucket is never much larger than its share; it is cut by region all the same
+        rows = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, tasks // BUCKETS))))
+        rows.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/rows")
+        written = spark.read.schema(ROWS).parquet(f"{path}/rows")
+        written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
         return cls.open(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Postings:
         stats = spark.read.parquet(f"{path}/stats").first()
-        return cls(spark, path, stats["n"], stats["average"] or 1.0, spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/terms"))
+        return cls(spark, path, stats["n"], stats["average"] or 1.0, spark.read.schema(ROWS).parquet(f"{path}/rows"), spark.read.schema(TERMS).parquet(f"{path}/terms"))
 
     def lookup(self, terms: list[str], table: DataFrame | None = None) -> DataFrame:
         """The rows of some terms: their buckets' partitions, and in these what the terms' order lets through."""

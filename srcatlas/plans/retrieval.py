@@ -9,6 +9,7 @@ from ..functions import paths as FP
 from ..functions import text as FT
 from ..operators import filters, fusion
 from ..operators import lanes as L
+from ..operators import search as S
 from ..session import table
 from . import relations as R
 
@@ -18,15 +19,15 @@ NAMES = ["ring", "relay"]
 
 
 def lane_any_terms(spark: SparkSession, d: str) -> DataFrame:
-    return L.any_terms(R.regions(spark, d), TERMS).select("id", "path", "score")
+    return L.any_terms(R.postings(spark, d), TERMS).select("id", "path", "score")
 
 
 def lane_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    return L.any_terms(R.regions(spark, d), TERMS, need_all=True).select("id", "path", "score")
+    return L.any_terms(R.postings(spark, d), TERMS, need_all=True).select("id", "path", "score")
 
 
 def lane_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return L.phrase(R.regions(spark, d), PHRASE).select("id", "path", "score")
+    return L.phrase(R.postings(spark, d), PHRASE).select("id", "path", "score")
 
 
 def lane_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,46 @@ def lane_semantic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.search(R.regions(spark, d), " ".join(TERMS)).select("path", "score", "rank")
+    return S.search(R.document_corpus(spark, d), " ".join(TERMS), limit=100).select("path", "score", "rank")
+
+
+def postings_build(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the documents with the number of documents that hold them; the first query on a folder's documents builds their index."""
+    return R.postings(spark, d).terms.select("term", "df")
+
+
+IDENTIFIER = "field2"
+
+
+def search_identifier(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(R.code_corpus(spark, d), IDENTIFIER).select("rank", "path", "tier", "score")
+
+
+def search_qualified(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(R.code_corpus(spark, d), f"Safe::{IDENTIFIER}").select("rank", "path", "tier", "score")
+
+
+def search_literal(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(R.document_corpus(spark, d), '"' + " ".join(PHRASE) + '"').select("rank", "path", "score", "provenance")
+
+
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(R.code_corpus(spark, d), "return value lang:rust -file:gen kind:function").select("rank", "path", "tier", "score")
+
+
+def search_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(R.code_corpus(spark, d), f"sym:{IDENTIFIER} lang:ts").select("rank", "path", "id")
+
+
+def search_regex(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern that goes on over a line end."""
+    return S.search(R.code_corpus(spark, d), r"re:;\n +let lang:rust").select("rank", "path", "span_start", "span_end")
+
+
+def search_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """All lanes over documents, the vector lane, and the first hits reordered by a score of their bodies; with snippets."""
+    found = S.search(R.document_corpus(spark, d), " ".join(TERMS), vector=_QUERY, scorer=F.length("body").cast("double"), limit=100, snippets=True)
+    return found.select("rank", "path", "score", "provenance", "line")
 
 
 def _lane(df: DataFrame, no: int, prior: bool = False) -> DataFrame:
@@ -72,7 +112,7 @@ def _lane(df: DataFrame, no: int, prior: bool = False) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    r = R.regions(spark, d)
+    r = R.postings(spark, d)
     return fusion.ranked(fusion.fuse(_lane(L.phrase(r, PHRASE), 0).unionByName(_lane(L.any_terms(r, TERMS), 1))))
 
 
@@ -81,7 +121,7 @@ def fuse_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def refuse_semantic(spark: SparkSession, d: str) -> DataFrame:
-    r = R.regions(spark, d)
+    r = R.postings(spark, d)
     lane = L.any_terms(r, ["server"]).select("path", "rank")
     return fusion.ranked(fusion.refuse(_fused(spark, d), lane, fusion.path_prior(F.col("path"), TERMS))).select("path", "tier", "score", "rank")
 
@@ -174,7 +214,7 @@ def show_path(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lane_any_terms, lane_all_terms, lane_phrase, lane_exact, lane_occurrence, lane_filename, lane_regex, vector_topk, lane_semantic, search, fuse_rrf, refuse_semantic,
+        lane_any_terms, lane_all_terms, lane_phrase, lane_exact, lane_occurrence, lane_filename, lane_regex, vector_topk, lane_semantic, postings_build, search, search_identifier, search_qualified, search_literal, search_filtered, search_symbol, search_regex, search_semantic, fuse_rrf, refuse_semantic,
         rerank_window, path_prior, lane_weight, evidence_tier, dedup_hits, snippet_pick, filter_language, filter_kind, filter_path, filter_path_bind, filter_diagnosis,
         nearest_paths_filter, resolve_single_file, classify_test_path, classify_doc_path, expand_identifiers, line_span, show_path,
     )
@@ -193,13 +233,15 @@ def _places(col: str, terms: list[str]) -> str:
     return f"len(list_filter(range(1, len(t_{col}) - {n - 2}), lambda i: t_{col}[i:i+{n - 1}] = [{', '.join(repr(t) for t in terms)}]))"
 
 
-def _any(name: str, terms: list[str], need_all: bool = False, base: str = "tok") -> str:
+def _any(name: str, terms: list[str], need_all: bool = False, base: str = "tok", where: str = "") -> str:
+    """``where``: a condition on path, kind and language of what may be a hit; counts are of all regions."""
     freqs = ", ".join("(" + " + ".join(f"{_count(c, t)} * {_W[c]}" for c in _COLS) + f") AS f{i}" for i, t in enumerate(terms))
     length = " + ".join(f"len(t_{c})" for c in _COLS)
     dfs = ", ".join(f"sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS d{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avg))" for i in range(len(terms)))
     cond = (" AND " if need_all else " OR ").join(f"f{i} > 0" for i in range(len(terms)))
-    return f"""{name}_f AS (SELECT id, path, {length} AS len, {freqs} FROM {base}),
+    more, cond = (", kind, language", f"({cond}) AND {where}") if where else ("", cond)
+    return f"""{name}_f AS (SELECT id, path{more}, {length} AS len, {freqs} FROM {base}),
 {name}_s AS (SELECT count(*) AS n, avg(len) AS avg, {dfs} FROM {name}_f),
 {name}_h AS (SELECT id, path, round({score}, 6) AS score FROM {name}_f, {name}_s WHERE {cond}),
 {_top(name)}"""
@@ -210,17 +252,17 @@ def _top(name: str) -> str:
 {name} AS (SELECT id, path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM {name}_b QUALIFY rank <= 1000)"""
 
 
-def _phrase(name: str, terms: list[str]) -> str:
+def _phrase(name: str, terms: list[str], where: str = "true") -> str:
     places = " + ".join(f"{_places(c, terms)} * {_W[c]}" for c in _COLS)
-    return f"{name}_h AS (SELECT id, path, score FROM (SELECT id, path, CAST({places} AS DOUBLE) AS score FROM tok) WHERE score > 0),\n{_top(name)}"
+    return f"{name}_h AS (SELECT id, path, score FROM (SELECT id, path, CAST({places} AS DOUBLE) AS score FROM tok WHERE {where}) WHERE score > 0),\n{_top(name)}"
 
 
-def _filename(name: str, terms: list[str], source: str) -> str:
+def _filename(name: str, terms: list[str], source: str, where: str = "true") -> str:
     both = " AND ".join(f"contains(lower(split_part(path, '/', -1)), '{t}')" for t in terms)
     one = " OR ".join(f"contains(lower(path), '{t}')" for t in terms)
     stem = r"list_filter(regexp_split_to_array(regexp_replace(lower(split_part(path, '/', -1)), '\.[^.]*$', ''), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""{name} AS (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM (
-  SELECT path, CASE WHEN {stem} = [{', '.join(repr(t) for t in terms)}] THEN 3 WHEN {both} THEN 2 WHEN {one} THEN 1 END AS score FROM (SELECT DISTINCT path FROM {source}))
+  SELECT path, CASE WHEN {stem} = [{', '.join(repr(t) for t in terms)}] THEN 3 WHEN {both} THEN 2 WHEN {one} THEN 1 END AS score FROM (SELECT DISTINCT path FROM {source} WHERE {where}))
   WHERE score IS NOT NULL QUALIFY rank <= 1000)"""
 
 
@@ -257,7 +299,61 @@ _SEARCH = (
     "SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM su QUALIFY rank <= 100"
 )
 
+def _stem_is(terms: list[str]) -> str:
+    stem = r"list_filter(regexp_split_to_array(regexp_replace(lower(split_part(path, '/', -1)), '\.[^.]*$', ''), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    return f"{stem} = [{', '.join(repr(t) for t in terms)}]"
+
+
+def _lane_hits(lanes: list[tuple[str, str, str]], terms: list[str], identifier: bool) -> str:
+    """Hits of (table, weight, tier), added in order, to rows path, tier, score, rank."""
+    low = f"({R.IS_TEST.format('path')} OR regexp_matches(lower(path), '\\.(md|markdown)$'))"
+    if not identifier:
+        low += " AND NOT (" + " AND ".join(f"contains(lower(split_part(path, '/', -1)), '{t}')" for t in terms) + ")"
+    union = " UNION ALL ".join(f"SELECT {no} AS lane, path, {weight} / (60 + rank) AS t, {tier} AS tier FROM {table}" for no, (table, weight, tier) in enumerate(lanes))
+    named = f"CASE WHEN {_stem_is(terms)} THEN 0 ELSE min(tier) END" if identifier else "0"
+    return f"""hits AS ({union}),
+su AS (SELECT path, {named} AS tier, round(list_sum(list_transform(array_agg(t ORDER BY lane), lambda x: x * (CASE WHEN {low} THEN 0.7 ELSE 1.0 END))), 9) AS score FROM hits GROUP BY path)
+SELECT row_number() OVER (ORDER BY tier, score DESC, path) AS rank, path, tier, score FROM su QUALIFY rank <= 10000"""
+
+
+_LOCAL = "kind IN ('variable', 'parameter', 'import')"
+_FILE_WEIGHT = "CASE score WHEN 3 THEN 2.0 WHEN 2 THEN 1.0 ELSE 0.5 END"
+
+
+def _exact(name: str, where: str) -> str:
+    return f"{name} AS (SELECT path, kind, row_number() OVER (ORDER BY path, span_start, span_end, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY span_start, span_end, id) AS n FROM cd WHERE {where}) WHERE n = 1 QUALIFY rank <= 1000)"
+
+
+def _occurrences(name: str, of: str, qualifier: str | None = None) -> str:
+    also = f" AND path IN (SELECT path FROM cd WHERE name = '{qualifier}')" if qualifier else ""
+    return f"""{name} AS (SELECT path, row_number() OVER (ORDER BY uses DESC, path) AS rank FROM (SELECT r.path, count(DISTINCT (o.span_start, o.span_end)) AS uses FROM creg r
+  JOIN (SELECT DISTINCT path, span_start, span_end FROM cd WHERE name = '{of}'{also}) o ON r.path = o.path AND r.span_start <= o.span_start AND o.span_end <= r.span_end GROUP BY r.path) QUALIFY rank <= 1000)"""
+
+
+_CODE_FILTER = "lower(trim(language)) IN ('rust', 'rs') AND NOT " + _bound("gen").replace("FROM f)", "FROM cf)")
+_FN = f"({_CODE_FILTER} AND kind = 'function')"
+_IDENT_LANES = [("ex", f"CASE WHEN {_LOCAL} THEN 1.0 ELSE 3.0 END", f"CASE WHEN {_LOCAL} THEN 2 ELSE 1 END")]
+_QUAL = f"""ql AS (SELECT id, path, kind, span_start, span_end, list_concat(string_split({R.SEGMENTS}, '/'), CASE WHEN container IS NULL THEN [] ELSE regexp_split_to_array(container, '::|[\\\\./]') END) AS owner FROM cd WHERE name = '{IDENTIFIER}'
+  AND contains(concat_ws('/', coalesce(container, ''), replace(path, '-', '_')), 'Safe')),
+qt AS (SELECT *, CASE WHEN owner[-1] = 'Safe' THEN 0 WHEN list_contains(owner, 'Safe') THEN 1 END AS t FROM ql),
+qk AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY span_start, span_end, id) AS n FROM qt WHERE t = (SELECT min(t) FROM qt)),
+qu AS (SELECT path, kind, row_number() OVER (ORDER BY CASE kind WHEN 'module' THEN 1 WHEN 'variant' THEN 2 WHEN 'field' THEN 2 WHEN 'constructor' THEN 2 WHEN 'variable' THEN 3 WHEN 'parameter' THEN 3 WHEN 'import' THEN 3 ELSE 0 END, {R.IS_TEST.format('path')}, path, span_start, span_end, id) AS rank FROM qk WHERE n = 1 QUALIFY rank <= 1000)"""
+
 SQL = {
+    "postings_build": f"WITH {R.REGIONS} SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(list_concat(t_name, t_expanded, t_body, t_path)) AS term FROM tok) GROUP BY term",
+    "search_identifier": f"WITH {R.CODE},\n{_exact('ex', f"name = '{IDENTIFIER}'")},\n{_occurrences('oc', IDENTIFIER)},\n{_any('an', [IDENTIFIER])},\n{_filename('fi', [IDENTIFIER], 'cf')},\n"
+    + _lane_hits([*_IDENT_LANES, ("oc", "1.0", "2"), ("an", "1.0", "3"), ("fi", _FILE_WEIGHT, "3")], [IDENTIFIER], True),
+    "search_qualified": f"WITH {R.CODE},\n{_exact('ex', f"name = 'Safe::{IDENTIFIER}'")},\n{_QUAL},\n{_occurrences('oc', IDENTIFIER, 'Safe')},\n{_phrase('ph', ['safe', IDENTIFIER])},\n{_any('al', ['safe', IDENTIFIER], True)},\n{_any('an', ['safe', IDENTIFIER])},\n{_filename('fi', ['safe', IDENTIFIER], 'cf')},\n"
+    + _lane_hits([*_IDENT_LANES, ("qu", *_IDENT_LANES[0][1:]), ("oc", "1.0", "2"), ("ph", "2.0", "3"), ("al", "1.0", "3"), ("an", "1.0", "3"), ("fi", _FILE_WEIGHT, "3")], ["safe", IDENTIFIER], True),
+    "search_literal": f"WITH {R.REGIONS},\n{_phrase('ph', PHRASE)},\n{_lane_hits([('ph', '2.0', '0')], PHRASE, False)}".replace("SELECT row_number() OVER (ORDER BY tier, score DESC, path) AS rank, path, tier, score FROM su", "SELECT row_number() OVER (ORDER BY tier, score DESC, path) AS rank, path, score, 'phrase' AS provenance FROM su"),
+    "search_filtered": f"WITH {R.CODE},\n{_exact('ex', "name = 'return value' AND " + _FN)},\n{_phrase('ph', ['return', 'value'], _FN)},\n{_any('al', ['return', 'value'], True, where=_FN)},\n{_any('an', ['return', 'value'], where=_FN)},\n"
+    + _lane_hits([("ex", "1.0", "0"), ("ph", "2.0", "0"), ("al", "1.0", "0"), ("an", "1.0", "0")], ["return", "value"], False),
+    "search_symbol": f"""WITH {R.CODE} SELECT row_number() OVER (ORDER BY CASE kind WHEN 'module' THEN 1 WHEN 'variant' THEN 2 WHEN 'field' THEN 2 WHEN 'constructor' THEN 2 WHEN 'variable' THEN 3 WHEN 'parameter' THEN 3 WHEN 'import' THEN 3 ELSE 0 END, {R.IS_TEST.format('path')}, path, span_start, span_end, id) AS rank, path, id
+FROM cd WHERE name = '{IDENTIFIER}' AND lower(trim(language)) IN ('typescript', 'ts', 'tsx') QUALIFY rank <= 10000""",
+    "search_regex": f"""WITH {R.CODE}, m AS (SELECT path, span_start, body, regexp_extract_all(body, ';\n +let') AS found, string_split_regex(body, ';\n +let') AS rest FROM creg WHERE lower(trim(language)) IN ('rust', 'rs') AND NOT contains(body, chr(0))),
+e AS (SELECT path, span_start, found[i] AS hit, list_sum(list_transform(rest[1:i], lambda x: octet_length(encode(x)))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: octet_length(encode(x)))), 0) AS skip FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
+h AS (SELECT DISTINCT path, CAST(span_start + skip AS BIGINT) AS span_start, CAST(span_start + skip + octet_length(encode(hit)) AS BIGINT) AS span_end FROM e)
+SELECT row_number() OVER (ORDER BY path, span_start, span_end) AS rank, path, span_start, span_end FROM h QUALIFY rank <= 10000""",
     "lane_any_terms": f"WITH {R.REGIONS},\n{_any('an', TERMS)} SELECT id, path, score FROM an",
     "lane_all_terms": f"WITH {R.REGIONS},\n{_any('an', TERMS, True)} SELECT id, path, score FROM an",
     "lane_phrase": f"WITH {R.REGIONS},\n{_phrase('ph', PHRASE)} SELECT id, path, score FROM ph",
@@ -284,12 +380,13 @@ SELECT path, tier, score, row_number() OVER (ORDER BY tier, score DESC, path) AS
     "lane_weight": f"WITH {R.DEFS} SELECT DISTINCT id, file_id, CASE kind WHEN 'class' THEN 3.0 WHEN 'method' THEN 2.0 ELSE 1.0 END AS weight FROM defs",
     "evidence_tier": f"WITH {R.DEFS} SELECT kind, tier, count(*) AS count FROM (SELECT kind, CASE WHEN kind = 'method' AND container IS NOT NULL THEN 0 WHEN kind = 'class' THEN 1 ELSE 3 END AS tier FROM defs) GROUP BY ALL",
     "dedup_hits": "SELECT revision AS path, span_start, span_end, kind, min(id) AS rank FROM definitions GROUP BY ALL ORDER BY rank, path, span_start, span_end, kind LIMIT 10000",
-    "snippet_pick": r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))[1:2000]) AS t, unnest(range(1, least(2000, len(string_split(text, chr(10)))) + 1)) AS line FROM documents),
+    "snippet_pick": r"""WITH l AS (SELECT doc_id AS id, lower(coalesce(topic, '')) AS name, unnest(string_split(text, chr(10))[1:2000]) AS t, unnest(range(1, least(2000, len(string_split(text, chr(10)))) + 1)) AS line FROM documents),
 e AS (SELECT id, line, t, """
     + " + ".join(f"contains(lower(t), '{x}')::INT" for x in TERMS)
-    + r""" AS found, regexp_matches(t, '^\s*(//|/\*|\*|#|--|;)') AS com FROM l WHERE trim(t) <> ''),
-b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -(2 * found + CASE WHEN com THEN 0 ELSE 3 END), CASE WHEN found > 0 AND NOT com THEN 0 WHEN found > 0 THEN 2 WHEN NOT com THEN 4 ELSE 5 END, line) AS n FROM e)
-SELECT id, line, CASE WHEN length(trim(t)) > 120 THEN substr(trim(t), 1, 120) || '…' ELSE trim(t) END AS snippet FROM b WHERE n = 1""",
+    + r""" AS found, name <> '' AND contains(lower(t), name) AS named, regexp_matches(t, '^\s*(//|/\*|\*|#|--|;)') AS com FROM l WHERE regexp_matches(t, '\S')),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -(2 * found + CASE WHEN found > 0 AND NOT com THEN 3 ELSE 0 END), CASE WHEN found > 0 AND NOT com THEN 0 WHEN found = 0 AND named AND NOT com THEN 1 WHEN found > 0 THEN 2 WHEN named THEN 3 WHEN NOT com THEN 4 ELSE 5 END, line) AS n FROM e),
+c AS (SELECT id, line, regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '[\x00-\x1f\x7f]', ' ', 'g') AS t FROM b WHERE n = 1)
+SELECT id, line, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END AS snippet FROM c""",
     "filter_language": f"WITH {R.FILES} SELECT id, path FROM f WHERE {_LANG}",
     "filter_kind": f"WITH {R.DEFS} SELECT member, count(*) AS methods FROM defs WHERE kind = 'method' GROUP BY member",
     "filter_path": f"WITH {R.FILES} SELECT id, path FROM f WHERE ({_bound('src')} OR {_bound('lib/ring')}) AND NOT {_bound('src/ring')} AND NOT {_bound('score')}",

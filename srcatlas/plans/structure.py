@@ -163,7 +163,7 @@ _TIERS = "CASE WHEN kind = 'module' THEN 1 WHEN kind IN ('variant', 'field', 'co
 _T = R.IS_TEST.format("path")
 _LANGC = "CASE WHEN lower(trim(language)) IN ('rust','rs') THEN 'rust' WHEN lower(trim(language)) IN ('typescript','ts','tsx','javascript','js','jsx') THEN 'script' WHEN lower(trim(language)) IN ('csharp','c#','cs') THEN 'csharp' WHEN lower(trim(language)) = 'php' THEN 'php' WHEN lower(trim(language)) IN ('luau','lua') THEN 'luau' WHEN lower(trim(language)) IN ('dreammaker','dm','byond') THEN 'dreammaker' WHEN lower(trim(language)) IN ('text','txt') THEN 'text' END"
 _SITES = f"{R.DEFS}, s AS (SELECT id, name, path, CAST(floor(span_start / 100) AS BIGINT) AS line, kind AS role FROM defs)"
-_SEG = r"array_to_string(list_transform(list_filter(string_split(regexp_replace(path, '\.[^./]*$', ''), '/'), lambda x: x NOT IN ('src', 'mod', 'lib', 'main', 'index')), lambda x: replace(x, '-', '_')), '/')"
+_SEG = R.SEGMENTS
 
 SQL = {
     "sym_exact": f"WITH {R.DEFS} SELECT id, file_id, row_number() OVER (ORDER BY {_TIERS}, {_T}::INT, -({_DEPTH}), path, span_start, span_end, id) AS rank FROM defs WHERE name = 'field2'",
