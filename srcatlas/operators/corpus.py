@@ -36,8 +36,8 @@ def read_status(data: DataFrame) -> DataFrame:
 
 
 def content_dedup(bodies: DataFrame) -> DataFrame:
-    """(revision, bytes): one row per distinct non-null body, by its digest."""
-    return bodies.where("bytes IS NOT NULL").select(F.sha2("bytes", 256).alias("revision"), "bytes").groupBy("revision").agg(F.first("bytes").alias("bytes"))
+    """(revision, bytes, copies): one row per distinct non-null body, by its digest, and how many rows had it."""
+    return bodies.where("bytes IS NOT NULL").select(F.sha2("bytes", 256).alias("revision"), "bytes").groupBy("revision").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
 
 
 def scan_fingerprint(files: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -151,3 +151,35 @@ def insert_facts(facts: DataFrame, cap: int = 64) -> tuple[DataFrame, DataFrame]
     e = e.withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "source").orderBy("nth"))).where(F.col("rank") <= cap)
     gid = lambda c: F.when(F.col(c).isNotNull(), F.col("file_id") * 100000 + F.col(c))
     return d.select("id", "file_id", "name", "kind", "start", "end"), e.select("file_id", gid("source").alias("source"), gid("target").alias("target"), "kind")
+
+
+def doctor(files: DataFrame, contents: DataFrame, definitions: DataFrame, regions: DataFrame) -> DataFrame:
+    """(probe, rows): orphans between the relations, both ways; keys alone are compared."""
+    used = files.where("revision IS NOT NULL").select("revision").distinct()
+    probes = {
+        "files_without_body": used.join(contents.select("revision"), "revision", "left_anti"),
+        "bodies_without_file": contents.select("revision").join(used, "revision", "left_anti"),
+        "definitions_without_file": definitions.select("id", F.col("file_id").alias("fid")).distinct().join(files.select(F.col("id").alias("fid")).distinct(), "fid", "left_anti"),
+        "regions_without_definition": regions.where("definition IS NOT NULL").select(F.col("definition").alias("id")).distinct().join(definitions.select("id").distinct(), "id", "left_anti"),
+    }
+    out = None
+    for name, p in probes.items():
+        one = p.agg(F.count("*").alias("rows")).select(F.lit(name).alias("probe"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sweep(entries: DataFrame, live: DataFrame, now: float, grace_seconds: int = 86_400) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed) cache folders (name, touched seconds): those no live root names and that nobody touched within the grace go."""
+    named = live.select("name").distinct().withColumn("used", F.lit(True))
+    j = entries.join(named, "name", "left")
+    keep = F.coalesce("used", F.lit(False)) | (F.col("touched") > now - grace_seconds) | F.col("touched").isNull()
+    return j.where(keep).drop("used"), j.where(~keep).drop("used")
+
+
+def within_budget(rows: DataFrame, most_rows: int, most_bytes: int, size: str) -> DataFrame:
+    """``rows`` if they stay within a budget of rows and bytes (sum of ``size``), else an error; the check is one aggregate."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n > most_rows or total > most_bytes:
+        raise RuntimeError(f"staging budget exceeded: {n} rows, {total} bytes")
+    return rows

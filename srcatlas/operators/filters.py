@@ -39,8 +39,10 @@ def parse_query(text: str) -> Query:
             q.kind = word[5:]
         else:
             rest.append(chunk)
-    # white space between the words that stay is kept: a pattern may need it
     q.text = "".join(rest).strip()
+    if not q.text.startswith("re:"):
+        # in a pattern white space counts, between words it doesn't
+        q.text = " ".join(q.text.split())
     if q.text.startswith("sym:"):
         q.exact, q.text = True, q.text[4:].strip()
         if q.text.startswith("re:"):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import write_stage
+
 
 def tree_compare(old: DataFrame, new: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Changes between two trees (path, oid, mode): modified, added, deleted, renamed_exact_blob.
@@ -186,15 +188,96 @@ def blame_runs(lines: DataFrame, by: list[str]) -> DataFrame:
     return r.groupBy(*by, "oid", "island", "gap").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line")).drop("island", "gap")
 
 
+_LINES = "path string, line int, oid string"
+
+
+def blame(versions: DataFrame) -> DataFrame:
+    """(path, line, oid): the commit that each line of a file's last version comes from.
+
+    ``versions``: path, nth, oid, bytes - a file's successive bodies, oldest first; a line that a comparison finds unchanged keeps its commit.
+    A null body stands for a file that was not there.  A file's versions are compared in one task: history caps them.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("nth")
+        owners: list[str] = []
+        before: bytes | None = None
+        for oid, body in zip(group.column("oid").to_pylist(), group.column("bytes").to_pylist()):
+            if body is None:
+                owners, before = [], None
+                continue
+            n = len(body.split(b"\n"))
+            if before is None:
+                owners = [oid] * n
+            else:
+                new, at = [], 0
+                for a, b, c, d in diff_lines(before, body):
+                    new += owners[at:a] + [oid] * (d - c)
+                    at = b
+                owners = new + owners[at:]
+            before = body
+        if before is not None and before.endswith(b"\n"):
+            owners = owners[:-1]
+        path = group.column("path")[0].as_py()
+        return pa.table({"path": pa.array([path] * len(owners), pa.string()), "line": pa.array(range(1, len(owners) + 1), pa.int32()), "oid": pa.array(owners, pa.string())})
+
+    return versions.where("path IS NOT NULL").select("path", "nth", "oid", "bytes").groupBy("path").applyInArrow(run, _LINES)
+
+
+def tree_steps(trees: list[DataFrame], most: int = 256) -> DataFrame:
+    """Changes of all steps between successive trees (newest first) in one comparison, with the step's number."""
+    parts = [t.select("path", "oid", "mode", F.lit(k).alias("step")) for k, t in enumerate(trees[: most + 1])]
+    new = old = None
+    for k, t in enumerate(parts):
+        if k + 1 < len(parts):
+            new = t if new is None else new.unionByName(t)
+        if k > 0:
+            b = t.withColumn("step", F.col("step") - 1)
+            old = b if old is None else old.unionByName(b)
+    return tree_compare(old, new, ["step"])
+
+
 def history_of(path: str, trees: list[DataFrame], most: int = 256) -> list[dict]:
-    """Changes of one path through successive trees, newest first, following exact renames backward."""
-    out = []
-    at = path
+    """Changes of one path through successive trees, newest first, following exact renames backward.
+
+    All steps are compared at once; only changes of the path, and of the names it had before, are read - as many as there are steps.
+    """
+    if len(trees) < 2:
+        return []
+    changes = write_stage(tree_steps(trees, most), "steps")
+    names = {path}
+    while True:
+        here = changes.where(F.col("new_path").isin(sorted(names)) | F.col("new_path").isNull() & F.col("old_path").isin(sorted(names))).collect()
+        more = {r.old_path for r in here if r.old_path is not None} - names
+        if not more:
+            break
+        names |= more
+    out, at = [], path
+    by: dict[int, list] = {}
+    for r in here:
+        by.setdefault(r.step, []).append(r)
     for k in range(min(len(trees) - 1, most)):
-        row = tree_compare(trees[k + 1], trees[k]).where((F.col("new_path") == at) | (F.col("new_path").isNull() & (F.col("old_path") == at))).orderBy("change").limit(1).collect()
-        if row:
-            out.append({"step": k, **row[0].asDict()})
-            if row[0]["change"] == "added":
-                break
-            at = row[0]["old_path"] or at
+        row = min((r for r in by.get(k, ()) if r.new_path == at or r.new_path is None and r.old_path == at), key=lambda r: r.change, default=None)
+        if row is None:
+            continue
+        out.append(row.asDict())
+        if row["change"] == "added":
+            break
+        at = row["old_path"] or at
     return out
+
+
+def since(old: DataFrame, new: DataFrame, by: list[str] | None = None, prefix: str | None = None) -> DataFrame:
+    """What changed since an earlier tree, seen from a subtree if ``prefix`` is given; paths that differ in nothing give no row."""
+    changes = tree_compare(old, new, by)
+    return changes if prefix is None else scope_changes(changes, prefix)
+
+
+def since_uncommitted(committed: DataFrame, working: DataFrame) -> DataFrame:
+    """Paths of a working state that differ from the committed one, with their kind; what was never read counts by its status."""
+    return change_feed(committed, working).select("path", "kind")
+
+
+def diff_sizes(pairs: DataFrame) -> DataFrame:
+    """(id, removed, added): lines that differ between the two texts of each pair."""
+    return line_diff(pairs).groupBy("id").agg(F.sum(F.col("old_to") - F.col("old_from")).alias("removed"), F.sum(F.col("new_to") - F.col("new_from")).alias("added"))

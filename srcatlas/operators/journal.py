@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .history import line_fingerprints
+
 
 def debounce(events: DataFrame, by: list[str], quiet_ms: int = 75, longest_ms: int | None = None) -> DataFrame:
     """Ticks: bursts of events without a pause of ``quiet_ms``; with ``longest_ms`` a burst is cut at that age.
@@ -35,6 +37,20 @@ def debounce(events: DataFrame, by: list[str], quiet_ms: int = 75, longest_ms: i
     return e.groupBy(*by, "burst", "tick").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("events")).drop("burst")
 
 
+PLACE = r"[a-z]+(?:/[A-Za-z_]+)+\.[a-z]+:[0-9]+"
+
+
+def emitted_evidence(texts: DataFrame) -> DataFrame:
+    """(id, path, line): the places that texts (id, text) name as path:line, each once."""
+    t = texts.select("id", F.explode(F.regexp_extract_all("text", F.lit(PLACE), F.lit(0))).alias("place"))
+    return t.select("id", F.split_part("place", F.lit(":"), F.lit(1)).alias("path"), F.split_part("place", F.lit(":"), F.lit(2)).cast("long").alias("line")).distinct()
+
+
+def session_start(texts: DataFrame) -> DataFrame:
+    """What a session remembers of each text (id, text) when it starts: its digest and those of its lines."""
+    return texts.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("revision"), line_fingerprints(F.col("text")).alias("lines"))
+
+
 def unexpired(rows: DataFrame, now: Column, seconds: int) -> DataFrame:
     return rows.where(F.unix_micros(F.col("ts").cast("timestamp")) + seconds * 1_000_000 > F.unix_micros(now.cast("timestamp")))
 

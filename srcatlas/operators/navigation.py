@@ -54,14 +54,32 @@ def container_scopes(container: str | None) -> list[list[str]]:
     return [[re.sub(r"<.*$", "", p).strip() for p in re.split(r"::|[\\./]", n) if p.strip()] for n in names]
 
 
+def owner_hint(qualifier: list[str]) -> Column:
+    """Whether container and path hold all names of a qualifier: necessary for a match, and a cheap test before the exact one."""
+    both = F.concat_ws("/", F.coalesce("container", F.lit("")), F.replace("path", F.lit("-"), F.lit("_")))
+    hint: Column = F.lit(True)
+    for q in qualifier:
+        hint = hint & both.contains(q)
+    return hint
+
+
+def no_definition(definitions: DataFrame, keep: Column) -> DataFrame:
+    """(name, without_filters): names of which a filter leaves no definition, and how many there are without it."""
+    n = definitions.groupBy("name").agg(F.count("*").alias("without_filters"), F.sum(F.coalesce(keep, F.lit(False)).cast("long")).alias("kept"))
+    return n.where("kept = 0").select("name", "without_filters")
+
+
+def definition_lookup(edges: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Edges (source, target) with the file and name of the definition they point to."""
+    d = definitions.select(F.col("id").alias("target"), "file_id", "name").distinct()
+    return edges.join(d, "target").select("source", "target", "file_id", "name")
+
+
 def qualified(definitions: DataFrame, qualifier: list[str], name: str | None) -> DataFrame:
     """``A::b``: definitions ``b`` whose owners - module path and container - end with the qualifier (tier 0) or hold it
     in order (tier 1); only the best tier present is kept.  Without a name, definitions of any name.  A substring test runs before the exact one."""
     owner = F.concat(module_segments(F.col("path")), F.when(F.col("container").isNull(), F.array()).otherwise(F.split("container", r"::|[\\./]")))
-    hint: Column = F.lit(True)
-    both = F.concat_ws("/", F.coalesce("container", F.lit("")), F.replace("path", F.lit("-"), F.lit("_")))
-    for q in qualifier:
-        hint = hint & both.contains(q)
+    hint = owner_hint(qualifier)
     n = len(qualifier)
     q = F.array(*[F.lit(x) for x in qualifier])
     suffix = (F.size(owner) >= n) & (F.slice(owner, F.greatest(F.size(owner) - n + 1, F.lit(1)), n) == q)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path, PurePosixPath
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,14 +61,63 @@ def show(data: bytes, revision: str, start: int, end: int, offset: int = 0, most
 
 
 def show_spans(bodies: DataFrame, spans: DataFrame, most: int = SHOWN_ROWS) -> DataFrame:
-    """(id, line, text): lines of UTF-8 spans (id, revision, span_start, span_end) of bodies (revision, bytes), cut by bytes."""
-    j = spans.join(bodies, "revision").where("span_start >= 0 AND span_end >= span_start AND span_end <= length(bytes)")
-    part = F.substring("bytes", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
-    head = F.substring("bytes", F.lit(1), F.col("span_start"))
-    before = F.length(F.regexp_replace(F.regexp_replace(F.hex(head), "(..)", "$1 "), "(?!0A )[0-9A-F]{2} ", "")) / 3
-    text = F.try_validate_utf8(part.cast("string"))
-    lines = j.select("id", (before + 1).cast("long").alias("first"), F.posexplode(F.slice(F.split(F.regexp_replace(text, "\n$", ""), "\n"), 1, most)).alias("n", "text"))
-    return lines.select("id", (F.col("first") + F.col("n")).alias("line"), "text")
+    """(id, line, text): lines of UTF-8 spans (id, revision, span_start, span_end) of bodies (revision, bytes), cut by bytes.
+
+    Each body is read once with its distinct spans, and its line ends are counted once; spans outside it or not of UTF-8 give nothing.
+    """
+    key = ["revision", "span_start", "span_end"]
+    cut = spans.where("span_start >= 0 AND span_end >= span_start").select(*key).distinct()
+    per = cut.groupBy("revision").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
+    j = bodies.select("revision", "bytes").where("bytes IS NOT NULL").join(per.hint("shuffle_hash"), "revision")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for rev, body, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                data = body.as_py()
+                ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+                for w in wanted:
+                    a, b = w["span_start"], w["span_end"]
+                    if b > len(data):
+                        continue
+                    try:
+                        text = data[a:b].decode("utf-8")
+                    except UnicodeDecodeError:
+                        continue
+                    first = int(np.searchsorted(ends, a)) + 1
+                    lines = (text[:-1] if text.endswith("\n") else text).split("\n")
+                    for k, line in enumerate(lines[:most]):
+                        for col, x in zip(out, (rev, a, b, first + k, line)):
+                            col.append(x)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[*key, "line", "text"])
+
+    shown = j.select("revision", "bytes", "spans").mapInArrow(run, "revision string, span_start long, span_end long, line long, text string")
+    return spans.select("id", *key).join(shown, key).select("id", "line", "text")
+
+
+def show_lines(texts: DataFrame, first: int, last: int) -> DataFrame:
+    """(id, line, text): the lines from ``first`` to ``last`` of texts (id, text)."""
+    t = texts.select("id", F.posexplode(F.slice(F.split("text", "\n"), first, last - first + 1)).alias("n", "text"))
+    return t.select("id", (F.col("n") + first).alias("line"), "text")
+
+
+def escaped_lines(bodies: DataFrame) -> DataFrame:
+    """(revision, line, text) of the lines that aren't UTF-8, of bodies (revision, bytes): bytes beyond printable ASCII are shown as \\xNN."""
+    odd = bodies.where(F.col("bytes").isNotNull() & ~F.is_valid_utf8(F.col("bytes").cast("string"))).select("revision", "bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for rev, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for k, raw in enumerate(body.as_py().split(b"\n"), 1):
+                    text, encoding = display_line(raw)
+                    if encoding == "escaped":
+                        for col, x in zip(out, (rev, k, text)):
+                            col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.string()))], names=["revision", "line", "text"])
+
+    return odd.mapInArrow(run, "revision string, line long, text string")
 
 
 def compact(hits: DataFrame, width: int = 96) -> Column:
@@ -133,9 +184,10 @@ def parse_cursor(text: str) -> tuple[str, int]:
 
 def evict(sets: DataFrame, most: int = 50, most_bytes: int = 512 << 20) -> DataFrame:
     """Result sets (id, created, bytes) that stay: the newest within both limits."""
+    # no more than ``most`` can stay, so the sums are over that many rows
+    newest = sets.orderBy(F.desc("created"), "id").limit(most)
     w = Window.orderBy(F.desc("created"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    r = sets.withColumn("n", F.count("*").over(w)).withColumn("reach", F.sum("bytes").over(w))
-    return r.where((F.col("n") <= most) & (F.col("reach") <= most_bytes)).drop("n", "reach")
+    return newest.withColumn("reach", F.sum("bytes").over(w)).where(F.col("reach") <= most_bytes).drop("reach")
 
 
 def retry(cause: str) -> tuple[int, float]:

@@ -238,6 +238,14 @@ def alias_name(rules: list[tuple[str, str]], name: Column) -> Column:
     return out
 
 
+def charged(derived: list[DataFrame], budget: int = BUDGET) -> int:
+    """Rows of all derived tables, charged one table after the other; an error ends the publication where they exceed the budget."""
+    spent = 0
+    for d in derived:
+        spent = charge(spent, d.count(), budget)
+    return spent
+
+
 def charge(spent: int, more: int, budget: int = BUDGET) -> int:
     """Derived edges and candidates so far; an error beyond the budget ends the publication."""
     if spent + more > budget:

@@ -6,10 +6,13 @@ import hashlib
 import threading
 from collections import deque
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import numbered
 from .lanes import norm
 
 
@@ -39,6 +42,13 @@ def validity(vectors: DataFrame, dims: int, tolerance: float = 0.001) -> DataFra
     return vectors.withColumn("state", state)
 
 
+def latest(cache: DataFrame) -> DataFrame:
+    """The row of each key that was touched last; ties are copies."""
+    cols = [c for c in cache.columns if c not in ("key", "touched")]
+    best = cache.where("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct(*cols), F.coalesce("touched", F.lit(-1))).alias("r"), F.max("touched").alias("touched"))
+    return best.select("key", "r.*", "touched")
+
+
 def lookup(cache: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("key").distinct().join(cache, "key", "left")
 
@@ -69,32 +79,35 @@ def plan_batches(lengths: list[int], most: int = 8, tokens: int = 8192) -> list[
     return out
 
 
-def batches(inputs: DataFrame, by: str, most: int = 8, tokens: int = 8192) -> DataFrame:
-    """(by, nth, tokens) -> (by, nth, batch): the same greedy fold inside an aggregate, per group in order of nth."""
-    rows = inputs.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("nth", "tokens"))).alias("r"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("longest"), F.array().cast("array<struct<nth:bigint,batch:int>>").alias("out"))
+def batches(inputs: DataFrame, by: str, most: int = 8, tokens: int = 8192, block: int = 65536) -> DataFrame:
+    """(by, nth, tokens) -> (by, nth, batch): the same greedy fold, per group in order of nth.
+
+    A group is folded in blocks of ``block`` successive numbers, so no task gets a group without bound: a batch never
+    goes over the end of a block, and batches are numbered through by the counts of the blocks before.
+    """
 
-    def step(s: Column, x: Column) -> Column:
-        longest = F.greatest(s["longest"], x["tokens"])
-        new = (s["n"] > 0) & ((s["n"] + 1 > most) | ((s["n"] + 1) * longest > tokens))
-        batch = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, x["tokens"]).otherwise(longest).alias("longest"),
-            F.concat(s["out"], F.array(F.struct(x["nth"].cast("long").alias("nth"), batch.alias("batch")))).alias("out"),
-        )
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("nth")
+        batch = np.zeros(rows.num_rows, np.int64)
+        for k, (a, b) in enumerate(plan_batches(rows.column("tokens").to_pylist(), most, tokens)):
+            batch[a:b] = k
+        return pa.table({by: rows.column(by), "block": rows.column("block"), "nth": rows.column("nth"), "inner": pa.array(batch)})
 
-    return rows.select(by, F.explode(F.aggregate("r", start, step)["out"]).alias("x")).select(by, "x.nth", "x.batch")
+    cut = inputs.select(by, F.floor(F.col("nth") / block).alias("block"), F.col("nth").cast("long").alias("nth"), "tokens")
+    kind = cut.schema[by].dataType.simpleString()
+    rows = cut.groupBy(by, "block").applyInArrow(fold, f"{by} {kind}, block long, nth long, inner long")
+    per = rows.groupBy(by, "block").agg((F.max("inner") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(per.select(by, "block", before.alias("before")), [by, "block"]).select(by, "nth", (F.col("before") + F.col("inner")).cast("int").alias("batch"))
 
 
 def fair_turns(queue: DataFrame, query_turns: int = 3) -> DataFrame:
-    """Order of service: roots take turns; after ``query_turns`` queries one background item.  ``queue``: root, arrived, background."""
-    w = Window.partitionBy("root", "background").orderBy("arrived")
-    r = queue.withColumn("nth", F.row_number().over(w))
-    # place = rows of earlier turns + place within the turn
-    per = r.groupBy("background", "nth").agg(F.count("*").alias("n"))
-    per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("background").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    v = Window.partitionBy("background", "nth").orderBy("root")
-    r = r.join(per, ["background", "nth"]).withColumn("place", F.col("before") + F.row_number().over(v)).drop("before")
+    """Order of service: roots take turns; after ``query_turns`` queries one background item.  ``queue``: root, arrived, background.
+
+    An item's place is its number in the order of turn and root; turns and places are numbered without gathering a root or a turn in one task.
+    """
+    r = numbered(queue, ["root", "background"], ["arrived"], "nth")
+    r = numbered(r, ["background"], ["nth", "root"], "place")
     slot = F.when(F.col("background"), F.col("place") * (query_turns + 1)).otherwise(F.col("place") + F.floor((F.col("place") - 1) / query_turns))
     return r.withColumn("slot", slot.cast("long"))
 
@@ -136,3 +149,21 @@ class BoundedQueue:
             return False
         self.items.append(item)
         return True
+
+
+def offer(arrivals: DataFrame, by: list[str], order: list[str], most: int = 32) -> DataFrame:
+    """What bounded queues, one for each of ``by``, take and drop of the arrivals in their order: (by, taken, dropped)."""
+    n = arrivals.groupBy(*by).agg(F.count("*").alias("n"))
+    return n.select(*by, F.least("n", F.lit(most)).alias("taken"), F.greatest(F.col("n") - most, F.lit(0)).alias("dropped"))
+
+
+def admit(requests: DataFrame, by: str, most_batches: int = 64, most_inputs: int = 8, most_bytes: int = 8 << 20) -> DataFrame:
+    """(by, nth, inputs, size) -> (by, admitted, refused): each group's requests offered in order to an ``Admission`` that releases none."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows, gate = rows.sort_by("nth"), Admission(most_batches, most_inputs, most_bytes)
+        ok = sum(gate.try_admit(n, size) for n, size in zip(rows.column("inputs").to_pylist(), rows.column("size").to_pylist()))
+        return pa.table({by: rows.column(by).slice(0, 1), "admitted": pa.array([ok], pa.int64()), "refused": pa.array([rows.num_rows - ok], pa.int64())})
+
+    kind = requests.schema[by].dataType.simpleString()
+    return requests.select(by, "nth", "inputs", "size").groupBy(by).applyInArrow(run, f"{by} {kind}, admitted long, refused long")

@@ -79,10 +79,14 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 def line_diff(spark: SparkSession, d: str) -> DataFrame:
     """Line changes between each document and the same without every seventh line."""
+    return history.line_diff(line_pairs(spark, d))
+
+
+def line_pairs(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where("text IS NOT NULL")
     lines = F.split("text", "\n")
     less = F.array_join(F.filter(lines, lambda x, i: i % 7 != 6), "\n")
-    return history.line_diff(t.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("old"), less.cast("binary").alias("new")))
+    return t.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("old"), less.cast("binary").alias("new"))
 
 
 def vector_normalise(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +133,8 @@ def ttl_expiry(spark: SparkSession, d: str) -> DataFrame:
 
 def bounded_queue(spark: SparkSession, d: str) -> DataFrame:
     """Events an hour that a queue of 32 an hour takes and drops."""
-    h = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"))
-    return h.select("hour", F.least("n", F.lit(32)).alias("taken"), F.greatest(F.col("n") - 32, F.lit(0)).alias("dropped"))
+    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "event_id")
+    return vectors.offer(e, ["hour"], ["event_id"], 32)
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -227,8 +231,8 @@ def php_class_index(spark: SparkSession, d: str) -> DataFrame:
 
 def php_names(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "definitions").select("id", "file_id", "name", "kind", "span_start", "span_end").distinct()
-    sites = x.where("kind = 'function'")
-    got = resolution.class_names(sites.withColumn("name", F.regexp_replace("name", "^.", F.lit(""))), resolution.class_index(x.withColumn("name", F.regexp_replace("name", "^.", F.lit("")))), x)
+    # a class's own name stands for a use of it
+    got = resolution.class_names(x.where("kind = 'class'"), resolution.class_index(x), x)
     return got.select("id", F.array_join(F.transform("candidates", lambda c: c.cast("string")), ",").alias("candidates"), "owner")
 
 
@@ -386,6 +390,11 @@ SELECT l.member, CASE WHEN coalesce(n, 0) > 0 THEN 'answered' ELSE 'empty' END A
 g AS (SELECT *, dense_rank() OVER (PARTITION BY base ORDER BY p) AS g FROM r WHERE base IN (SELECT base FROM s))
 SELECT a.base, a.i AS source, b.i AS target, CASE WHEN a.g = b.g THEN 'tie' ELSE 'previous' END AS kind FROM g a JOIN g b ON a.base = b.base AND ((a.g = b.g AND a.i <> b.i) OR b.g = a.g - 1) UNION ALL SELECT base, i, base, 'base' FROM g WHERE g = 1""",
     "chain_prepare": """SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS base, CASE WHEN s_acctbal <= -900 THEN 'unknown_order' WHEN floor(s_acctbal) < 0 THEN 'negative_order' END AS issue FROM supplier WHERE s_acctbal <= -900 OR floor(s_acctbal) < 0""",
+    "php_names": f"""WITH x AS (SELECT DISTINCT id, file_id, name, kind, span_start, span_end FROM definitions),
+i AS (SELECT key, id FROM (SELECT DISTINCT {_KEY.format('name')} AS key, id FROM x WHERE kind IN ('class', 'interface', 'trait', 'enum') AND NOT starts_with(name, 'XFCP_')) QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) <= 64),
+c AS (SELECT DISTINCT s.id, y.id AS class FROM x s JOIN i ON i.key = {_KEY.format('s.name')} JOIN x y ON y.id = i.id WHERE s.kind = 'class' AND y.file_id <> s.file_id),
+o AS (SELECT s.id, arg_min(y.id, (y.span_end - y.span_start, y.id)) AS owner FROM x s JOIN x y ON y.file_id = s.file_id AND y.span_start <= s.span_start AND s.span_end <= y.span_end WHERE s.kind = 'class' GROUP BY s.id)
+SELECT id, string_agg(CAST(class AS VARCHAR), ',' ORDER BY class) AS candidates, any_value(owner) AS owner FROM c LEFT JOIN o USING (id) GROUP BY id""",
     "php_class_index": f"""WITH x AS (SELECT DISTINCT {_KEY.format('name')} AS key, id FROM definitions WHERE kind IN ('class', 'interface', 'trait', 'enum') AND NOT starts_with(regexp_replace(name, '^.*\\\\', ''), 'XFCP_'))
 SELECT key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS classes FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) <= 64) GROUP BY key""",
     "alias_names": "SELECT DISTINCT name, 'Active\\' || name || 'Finder' AS canonical FROM definitions",

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, evaluate, extraction, history, navigation, reads, resolution
+import uuid
+
+from ..operators import corpus, evaluate, extraction, history, journal, navigation, reads, resolution
 from ..operators import lanes as L
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import generations as G
 from . import changes as C
 from . import relations as R
 from .retrieval import TERMS, _any, _filename
@@ -31,12 +34,16 @@ def result_sink(spark: SparkSession, d: str) -> DataFrame:
 
 def result_load(spark: SparkSession, d: str) -> DataFrame:
     """First and last rank of the page of search hits from 20 to 40."""
-    hits = L.any_terms(R.regions(spark, d), TERMS)
-    return hits.where(F.col("rank").between(21, 40)).select("path", "rank")
+    sets = G.ResultSets(spark, f"{shared_dir(spark)}/results-{uuid.uuid4().hex}")
+    sid = sets.save(L.any_terms(R.postings(spark, d), TERMS).select("path", "rank"))
+    return sets.load(sid).where(F.col("rank").between(21, 40)).select("path", "rank")
 
 
 def more(spark: SparkSession, d: str) -> DataFrame:
-    return L.filename(R.files(spark, d), ["ring"]).where(F.col("rank").between(6, 15)).select("path", "rank")
+    """The page after a cursor of a stored set."""
+    sets = G.ResultSets(spark, f"{shared_dir(spark)}/results-{uuid.uuid4().hex}")
+    sid = sets.save(L.filename(R.files(spark, d), ["ring"]).select("path", "rank"))
+    return G.page_of(sets, f"{sid}@5", 10)[0].select("path", "rank")
 
 
 def show_handle(spark: SparkSession, d: str) -> DataFrame:
@@ -51,17 +58,15 @@ def show_sym(spark: SparkSession, d: str) -> DataFrame:
 
 
 def byte_escape(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies by whether they are UTF-8, and lines of those that are not."""
-    t = table(spark, d, "contents")
-    ok = F.is_valid_utf8(F.col("bytes").cast("string"))
-    return t.groupBy(ok.alias("utf8")).agg(F.count("*").alias("bodies"), F.sum(F.length("bytes")).alias("bytes"))
+    """The lines that aren't UTF-8, with their bytes beyond ASCII escaped."""
+    return reads.escaped_lines(table(spark, d, "contents"))
 
 
 def no_definition(spark: SparkSession, d: str) -> DataFrame:
     """How many definitions of each name a filter by kind and path leaves, where it leaves none."""
     x = R.definitions(spark, d)
     hit = (F.col("kind") == "class") & F.col("path").startswith("src/")
-    return x.groupBy("name").agg(F.count("*").alias("without_filters"), F.sum(hit.cast("long")).alias("kept")).where("kept = 0").select("name", "without_filters")
+    return navigation.no_definition(x, hit)
 
 
 def container_scopes(spark: SparkSession, d: str) -> DataFrame:
@@ -100,10 +105,12 @@ def extract_modules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_modules(spark: SparkSession, d: str) -> DataFrame:
-    """Script imports resolved within their member."""
+    """Each script imports the last script of its folder, by its name without extension."""
     f = R.files(spark, d)
-    m = _facts(spark, d, "ts", "mts", "cts", "js", "mjs", "cjs").where("fact = 'module'")
-    i = m.select(F.xxhash64("revision", "span_start").alias("id"), "path", F.col("name").alias("spelled"), F.lit("typescript").alias("language"))
+    s = f.where(F.lower(F.substring_index("path", ".", -1)).isin("ts", "mts", "cts", "js", "mjs", "cjs")).withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    last = s.groupBy("dir").agg(F.max("path").alias("last"))
+    stem = F.regexp_replace(F.substring_index("last", "/", -1), r"\.[^.]*$", "")
+    i = s.join(last, "dir").select("id", "path", F.concat(F.lit("./"), stem).alias("spelled"), F.lit("typescript").alias("language"))
     got = resolution.resolve_modules(i, f)
     return got.select("id", F.array_join("candidates", ",").alias("candidates"), "target")
 
@@ -150,16 +157,16 @@ def parent_method_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def since(spark: SparkSession, d: str) -> DataFrame:
-    return history.tree_compare(*C._trees(spark, d), by=["member"]).groupBy("change").agg(F.count("*").alias("n"))
+    return history.since(*C._trees(spark, d), by=["member"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
 def since_uncommitted(spark: SparkSession, d: str) -> DataFrame:
-    return history.change_feed(*C._scans(spark, d)).select("path", "kind")
+    return history.since_uncommitted(*C._scans(spark, d))
 
 
 def diff(spark: SparkSession, d: str) -> DataFrame:
     """Lines gone by document between the texts of ``line_diff``."""
-    return C.line_diff(spark, d).groupBy("id").agg(F.sum(F.col("old_to") - F.col("old_from")).alias("removed"), F.sum(F.col("new_to") - F.col("new_from")).alias("added"))
+    return history.diff_sizes(C.line_pairs(spark, d))
 
 
 def hist(spark: SparkSession, d: str) -> DataFrame:
@@ -170,14 +177,13 @@ def hist(spark: SparkSession, d: str) -> DataFrame:
 
 def session_start(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
-    h = history.line_fingerprints(F.col("text"))
-    return t.select("doc_id", F.size(h).alias("lines"), F.element_at(h, 1).alias("first"), F.element_at(h, -1).alias("last"))
+    s = journal.session_start(t.select(F.col("doc_id").alias("id"), "text"))
+    return s.select(F.col("id").alias("doc_id"), F.size("lines").alias("lines"), F.element_at("lines", 1).alias("first"), F.element_at("lines", -1).alias("last"))
 
 
 def emitted_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Places (path and line) that documents name."""
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[a-z]+(?:/[A-Za-z_]+)+\.[a-z]+:[0-9]+"), F.lit(0))).alias("place"))
-    return t.select("doc_id", F.split_part("place", F.lit(":"), F.lit(1)).alias("path"), F.split_part("place", F.lit(":"), F.lit(2)).cast("long").alias("line")).distinct()
+    return journal.emitted_evidence(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
 
 
 def search_classifier(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +207,21 @@ i AS (SELECT DISTINCT {C._KEY.format('name')} AS key, id FROM x WHERE kind IN ('
 k AS (SELECT key, count(*) AS n, min(id) AS one FROM i GROUP BY key),
 s AS (SELECT x.id, k.one, CASE WHEN regexp_matches(container, '[^A-Za-z0-9_\\\\]') THEN 'unsupported' WHEN x.id % 17 = 0 THEN 'conditional' WHEN x.id % 19 = 0 THEN 'incomplete' WHEN k.n IS NULL THEN 'missing' WHEN k.n > 1 THEN 'ambiguous' ELSE 'single' END AS status
   FROM x LEFT JOIN k ON k.key = {C._KEY.format('x.container')} WHERE container IS NOT NULL)"""
+
+
+def _shown(spans: str, most: int) -> str:
+    """Lines of spans (id, revision, a, b), at most so many of each."""
+    return f"""WITH {spans}, j AS (SELECT s.id, try(decode(c.bytes[a + 1:b])) AS t, regexp_replace(hex(c.bytes[1:a]), '(..)', '\\1 ', 'g') AS p FROM s JOIN contents c USING (revision) WHERE a >= 0 AND b >= a AND b <= octet_length(c.bytes)),
+n AS (SELECT id, string_split(CASE WHEN ends_with(t, chr(10)) THEN substr(t, 1, length(t) - 1) ELSE t END, chr(10))[1:{most}] AS l, 1 + (length(p) - length(replace(p, '0A ', ''))) // 3 AS first FROM j WHERE t IS NOT NULL)
+SELECT id, line, text FROM (SELECT id, unnest(range(first, first + len(l))) AS line, unnest(l) AS text FROM n)"""
+
+
 SQL = {
+    "show_handle": _shown(f"{R.DEFS}, s AS (SELECT DISTINCT id, revision, span_start AS a, span_end AS b FROM defs WHERE kind = 'class')", 3),
+    "show_sym": _shown(f"{R.DEFS}, s AS (SELECT id, revision, span_start AS a, span_end AS b FROM defs WHERE name = 'field2' QUALIFY row_number() OVER (ORDER BY CASE WHEN kind = 'module' THEN 1 WHEN kind IN ('variant', 'field', 'constructor') THEN 2 WHEN kind IN ('variable', 'parameter', 'import') THEN 3 ELSE 0 END, {R.IS_TEST.format('path')}, path, span_start, span_end, id) <= 6)", 2),
+    "addon_manifest": """SELECT n_name AS key, CAST(14 + before AS BIGINT) AS start, CAST(14 + before + length(n_name) AS BIGINT) AS "end", false AS repeated
+FROM (SELECT n_name, coalesce(sum(length(n_name) + 7) OVER (PARTITION BY n_regionkey ORDER BY n_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nation)""",
+    "search_classifier": "SELECT kind, CASE kind WHEN 'class' THEN 'definition' WHEN 'method' THEN 'reference' ELSE 'body' END AS class, count(*) AS n FROM definitions GROUP BY kind",
     "project_compact": f"""WITH {R.DEFS} SELECT DISTINCT id, file_id, CAST(to_json(struct_pack(path := path, kind := kind, name := CASE WHEN length(name) > 96 THEN substr(name, 1, 95) || '…' ELSE name END)) AS VARCHAR) AS hit FROM defs""",
     "sink_json_lines": f"WITH {R.DEFS} SELECT DISTINCT concat_ws(chr(9), path, name, kind, CAST(span_start AS VARCHAR)) AS line FROM defs",
     "result_sink": "WITH s AS (SELECT strftime(ts, '%Y-%m-%d %H') AS id, min(event_id) AS created, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events GROUP BY 1), r AS (SELECT *, count(*) OVER w AS n, sum(bytes) OVER w AS reach FROM s WINDOW w AS (ORDER BY created DESC, id ROWS UNBOUNDED PRECEDING)) SELECT id, bytes FROM r WHERE n <= 50 AND reach <= 5000",
@@ -210,6 +230,13 @@ SQL = {
     "no_definition": f"WITH {R.DEFS} SELECT name, count(*) AS without_filters FROM defs GROUP BY name HAVING sum((kind = 'class' AND starts_with(path, 'src/'))::INT) = 0",
     "extract_cached": f"""WITH {R.FILES}, w AS (SELECT DISTINCT revision, coalesce(language, 'none') AS g FROM f WHERE revision IS NOT NULL), c AS (SELECT revision, coalesce(language, 'none') AS g, min(id) AS m FROM f WHERE revision IS NOT NULL AND id % 2 = 0 GROUP BY 1, 2),
 h AS (SELECT count(*) AS n FROM w JOIN c USING (revision, g) WHERE m % 6 <> 0) SELECT 'hit' AS what, n FROM h UNION ALL SELECT 'miss', (SELECT count(*) FROM w) - n FROM h""",
+    "resolve_modules": f"""WITH {R.FILES}, s AS (SELECT id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f WHERE lower(regexp_extract(path, '[^.]*$')) IN ('ts', 'mts', 'cts', 'js', 'mjs', 'cjs')),
+l AS (SELECT dir, regexp_replace(max(path), '\\.[^./]*$', '') AS stem FROM s GROUP BY dir), v AS (SELECT unnest(['', '.ts', '.tsx', '.mts', '.cts', '.d.ts', '.js', '.mjs', '.cjs', '/index.ts', '/index.js']) AS v),
+h AS (SELECT DISTINCT s.id, p.path AS c FROM s JOIN l USING (dir) CROSS JOIN v JOIN (SELECT DISTINCT path FROM f) p ON p.path = l.stem || v.v)
+SELECT id, string_agg(c, ',' ORDER BY c) AS candidates, CASE WHEN count(*) = 1 THEN min(c) END AS target FROM h GROUP BY id""",
+    "byte_escape": """WITH b AS (SELECT revision, string_split(regexp_replace(hex(bytes), '(..)', '\\1 ', 'g'), '0A ') AS l FROM contents WHERE try(decode(bytes)) IS NULL AND bytes IS NOT NULL),
+r AS (SELECT revision, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS h FROM b), e AS (SELECT * FROM r WHERE try(decode(unhex(replace(h, ' ', '')))) IS NULL)
+SELECT revision, line, array_to_string(list_transform(string_split(trim(h), ' '), lambda x: CASE WHEN (x >= '20' AND x < '7F') OR x = '09' THEN decode(unhex(x)) ELSE '\\x' || lower(x) END), '') AS text FROM e""",
     "config_lookup": f"WITH {R.FILES}, p AS (SELECT DISTINCT path FROM f), c AS (SELECT split_part(path, '/', 1) AS directory, min(path) AS config FROM p WHERE path LIKE '%.toml' GROUP BY 1) SELECT path, config FROM p JOIN c ON starts_with(path, directory || '/')",
     "class_extensions": "SELECT n_name AS from_class, 'X_' || n_name AS to_class, n_nationkey % 2 = 1 AS active, CAST(n_nationkey AS BIGINT) AS execute_order FROM nation WHERE n_regionkey <> 3",
     "php_hierarchy": _STATUS + " SELECT id, status FROM s",

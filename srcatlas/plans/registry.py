@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import changes, hierarchies, reading, retrieval, structure
+from . import changes, hierarchies, reading, retrieval, stores, structure
 
-MODULES = [hierarchies, retrieval, structure, changes, reading]
+MODULES = [hierarchies, retrieval, structure, changes, reading, stores]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

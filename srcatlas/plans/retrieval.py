@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as FP
 from ..functions import text as FT
-from ..operators import filters, fusion
+from ..operators import filters, fusion, reads
 from ..operators import lanes as L
 from ..operators import search as S
 from ..session import table
@@ -159,7 +159,7 @@ def filter_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filter_kind(spark: SparkSession, d: str) -> DataFrame:
-    return R.definitions(spark, d).where(F.col("kind") == "method").groupBy("member").agg(F.count("*").alias("methods"))
+    return filters.apply(R.definitions(spark, d), filters.parse_query("kind:method")).groupBy("member").agg(F.count("*").alias("methods"))
 
 
 def filter_path(spark: SparkSession, d: str) -> DataFrame:
@@ -207,8 +207,7 @@ def line_span(spark: SparkSession, d: str) -> DataFrame:
 
 def show_path(spark: SparkSession, d: str) -> DataFrame:
     """Lines 2 to 4 of every document."""
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 2, 3)).alias("n", "text"))
-    return t.select("doc_id", (F.col("n") + 2).alias("line"), "text")
+    return reads.show_lines(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 2, 4).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
@@ -400,6 +399,9 @@ p AS (SELECT DISTINCT path FROM f WHERE contains(lower(path), 'ring') ORDER BY l
 q AS (SELECT path, split_part(lower(split_part(path, '/', -1)), '.', 1) AS s FROM p),
 r AS (SELECT path, CASE WHEN s = 'ringg' THEN 0 WHEN contains(s, 'ringg') THEN 1 WHEN contains(lower(path), 'ringg') THEN 2 ELSE 3 END AS class, levenshtein(s, 'ringg') AS distance, len(string_split(path, '/')) AS depth FROM q)
 SELECT path, class, distance, row_number() OVER (ORDER BY class, distance, depth, length(path), path) AS rank FROM r QUALIFY rank <= 3""",
+    "resolve_single_file": f"""WITH {R.FILES}, p AS (SELECT DISTINCT path FROM f), a AS (SELECT min(path) AS first, split_part(min(path), '/', -1) AS base FROM p),
+m AS (SELECT min(path) AS path, count(*) AS n FROM p, a WHERE path = base OR ends_with(path, '/' || base) OR (starts_with(split_part(path, '/', -1), base || '.') AND NOT contains(substr(split_part(path, '/', -1), length(base) + 2), '.')))
+SELECT 0 AS n, first AS path FROM a UNION ALL SELECT 1, CASE WHEN EXISTS (SELECT 1 FROM p WHERE path = base) THEN base WHEN m.n = 1 THEN m.path END FROM a, m UNION ALL SELECT 2, NULL""",
     "classify_test_path": f"WITH {R.FILES} SELECT id, {R.IS_TEST.format('path')} AS is_test FROM f",
     "classify_doc_path": f"WITH {R.FILES} SELECT id, regexp_matches(lower(path), '\\.(md|markdown)$') AS is_doc FROM f",
     "expand_identifiers": f"SELECT DISTINCT name, {R.EXPAND.format('name')} AS expanded FROM definitions",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as FP
-from ..operators import corpus
+from ..operators import corpus, vectors
 from ..operators import navigation as N
 from ..session import table
 from . import relations as R
@@ -28,7 +28,7 @@ def qualified_match(spark: SparkSession, d: str) -> DataFrame:
 
 def owner_hint(spark: SparkSession, d: str) -> DataFrame:
     x = R.definitions(spark, d)
-    return x.where(F.instr(F.concat_ws("/", F.coalesce("container", F.lit("")), F.replace("path", F.lit("-"), F.lit("_"))), "ring") > 0).groupBy("kind").agg(F.count("*").alias("n"))
+    return x.where(N.owner_hint(["ring"])).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def module_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +75,12 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def ctx(spark: SparkSession, d: str) -> DataFrame:
     x, e = _graph(spark, d)
-    return N.context(x.where("kind = 'constant'"), x, e)
+    return N.context(x.where("kind = 'method'"), x, e)
 
 
 def definition_lookup(spark: SparkSession, d: str) -> DataFrame:
     x, e = _graph(spark, d)
-    return e.join(x.select(F.col("id").alias("target"), "file_id", "name").distinct(), "target").select("source", "target", "file_id", "name")
+    return N.definition_lookup(e, x)
 
 
 def inheritance_walk(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def resolve_names(spark: SparkSession, d: str) -> DataFrame:
 
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
-    return t.select(F.sha2(F.col("text").cast("binary"), 256).alias("revision")).groupBy("revision").agg(F.count("*").alias("copies"))
+    return corpus.content_dedup(t.select(F.col("text").cast("binary").alias("bytes"))).select("revision", "copies")
 
 
 def fingerprint_skip(spark: SparkSession, d: str) -> DataFrame:
@@ -128,24 +128,13 @@ def region_faults(spark: SparkSession, d: str) -> DataFrame:
 
 def doctor(spark: SparkSession, d: str) -> DataFrame:
     """Orphans both ways between relations, as counts."""
-    f, c, x, r = (table(spark, d, n) for n in ("files", "contents", "definitions", "region_spans"))
-    probes = [
-        ("files_without_body", f.where("revision IS NOT NULL").select("revision").distinct().join(c.select("revision"), "revision", "left_anti")),
-        ("bodies_without_file", c.select("revision").join(f.select("revision"), "revision", "left_anti")),
-        ("definitions_without_file", x.select("id", F.col("file_id").alias("fid")).distinct().join(f.select(F.col("id").alias("fid")).distinct(), "fid", "left_anti")),
-        ("regions_without_definition", r.where("definition IS NOT NULL").select(F.col("definition").alias("id")).distinct().join(x.select("id").distinct(), "id", "left_anti")),
-    ]
-    out = None
-    for name, p in probes:
-        one = p.agg(F.count("*").alias("rows")).select(F.lit(name).alias("probe"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return corpus.doctor(*(table(spark, d, n) for n in ("files", "contents", "definitions", "region_spans")))
 
 
 def vector_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Latest vector per key: length and provenance only."""
     t = table(spark, d, "vector_cache").select("key", "touched", F.size("vector").alias("dims"))
-    return t.groupBy("key").agg(F.max_by("dims", "touched").alias("dims"), F.max("touched").alias("touched"))
+    return vectors.lookup(vectors.latest(t), t.select("key")).select("key", "dims", "touched")
 
 
 QUERIES = {
@@ -185,7 +174,7 @@ SELECT file_id, coalesce(string_agg(name, ', ' ORDER BY n) FILTER (reach <= 90),
     "map_miss": f"""WITH {R.FILES}, p AS (SELECT DISTINCT path, list_reverse(string_split(path, '/')) AS q FROM f)
 SELECT path, CASE WHEN q[1] = 'relay.rs' THEN 1 + CASE WHEN q[2] = 'ring' THEN 1 + CASE WHEN q[3] = 'core' THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END AS shared, levenshtein(q[1], 'relay.rs') AS distance FROM p ORDER BY shared DESC, distance, path LIMIT 3""",
     "ctx": f"""WITH {_GRAPH},
-h AS (SELECT DISTINCT h.id AS hit_id, n.id AS node FROM x h JOIN x n ON n.file_id = h.file_id AND n.span_start <= h.span_start AND h.span_end <= n.span_end WHERE h.kind = 'constant'),
+h AS (SELECT DISTINCT h.id AS hit_id, n.id AS node FROM x h JOIN x n ON n.file_id = h.file_id AND n.span_start <= h.span_start AND h.span_end <= n.span_end WHERE h.kind = 'method'),
 u AS (SELECT hit_id, source, target, kind FROM h JOIN e ON e.source = h.node UNION SELECT hit_id, source, target, kind FROM h JOIN e ON e.target = h.node)
 SELECT hit_id, source, target, kind FROM u QUALIFY row_number() OVER (PARTITION BY hit_id ORDER BY kind, source, target) <= 100""",
     "definition_lookup": f"WITH {_GRAPH} SELECT e.source, e.target, y.file_id, y.name FROM e JOIN (SELECT DISTINCT id, file_id, name FROM x) y ON y.id = e.target",

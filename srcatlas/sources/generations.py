@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reads import parse_cursor
+
 
 class Warming(Exception):
     """Nothing is published yet."""
@@ -103,6 +105,15 @@ class ResultSets:
         return df.drop("expires").orderBy("rank")
 
 
+def page_of(sets: ResultSets, cursor: str, size: int, now: float | None = None) -> tuple[DataFrame, str | None]:
+    """(rows of the page that a cursor SET@OFFSET names, the next page's cursor or None)."""
+    sid, offset = parse_cursor(cursor)
+    rows = sets.load(sid, now)
+    part = rows.where((F.col("rank") > offset) & (F.col("rank") <= offset + size))
+    more = not rows.where(F.col("rank") > offset + size).limit(1).isEmpty()
+    return part, f"{sid}@{offset + size}" if more else None
+
+
 def seed_cache(own: DataFrame, sibling: DataFrame, key: list[str]) -> DataFrame:
     """Content-keyed rows of a sibling's cache that one's own lacks, with it; publications are never copied."""
     return own.unionByName(sibling.join(own.select(*key), key, "left_anti"))
