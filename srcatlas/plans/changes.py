@@ -277,11 +277,6 @@ def _graded(lines: DataFrame) -> DataFrame:
 
 
 def grade_task(spark: SparkSession, d: str) -> DataFrame:
-    """The first five lines of each document."""
-    return _graded(table(spark, d, "documents").select("doc_id", "source", F.slice(F.split("text", "\n"), 1, 5).alias("lines")))
-
-
-def grade_task_all(spark: SparkSession, d: str) -> DataFrame:
     """Every line of each document."""
     return _graded(table(spark, d, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines")))
 
@@ -310,7 +305,7 @@ QUERIES = {
         tree_compare, scope_changes, change_feed, session_end, change_retention, observations_since, blame, correspond, fingerprints, line_diff, vector_normalise, vector_validate,
         vector_cache_put, prepare_missing, batch_plan, fair_schedule, debounce, ttl_expiry, bounded_queue, audit, audit_totals, ledger, lane_trace, journal_segments, agent_session_summary,
         agent_adoption, ws_merge, ws_widen, ws_scope, ws_coverage, ws_parent_fallback, ordered_chain, chain_prepare, php_class_index, php_names, php_extends_edges, alias_names,
-        extract_syntax, recall_at_k, span_coverage, grade_task, grade_task_all, usage_rollup, limits_exceeded, latency_percentiles, path_encode,
+        extract_syntax, recall_at_k, span_coverage, grade_task, usage_rollup, limits_exceeded, latency_percentiles, path_encode,
     )
 }
 
@@ -403,8 +398,7 @@ SELECT task, count(*) AS relevant, round(sum((coalesce(rank, 99) <= 5)::INT) / c
     "span_coverage": """WITH s AS (SELECT DISTINCT revision AS id, span_start AS a, span_end AS b FROM region_spans), c AS (SELECT revision AS id, octet_length(bytes) AS n FROM contents),
 j AS (SELECT s.*, n, greatest(coalesce(max(b) OVER (PARTITION BY s.id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS reach FROM s JOIN c ON c.id = s.id WHERE b > 0 AND a < n),
 g AS (SELECT id, max((a > reach)::INT) AS gap, max(b) AS reach FROM j GROUP BY id) SELECT c.id, coalesce(gap = 0 AND reach >= n, false) AS covered FROM c LEFT JOIN g ON g.id = c.id""",
-    "grade_task": """WITH t AS (SELECT doc_id, lower(trim(source)) AS task, unnest(string_split(text, chr(10))[1:5]) AS x FROM documents) SELECT task, sum((doc_id % 3 <> 0)::INT) AS verified, sum((doc_id % 3 = 0)::INT) AS rejected FROM t GROUP BY task""",
-    "grade_task_all": """WITH t AS (SELECT doc_id, lower(trim(source)) AS task, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT task, sum((doc_id % 3 <> 0)::INT) AS verified, sum((doc_id % 3 = 0)::INT) AS rejected FROM t GROUP BY task""",
+    "grade_task": """WITH t AS (SELECT doc_id, lower(trim(source)) AS task, unnest(string_split(text, chr(10))) AS x FROM documents) SELECT task, sum((doc_id % 3 <> 0)::INT) AS verified, sum((doc_id % 3 = 0)::INT) AS rejected FROM t GROUP BY task""",
     "usage_rollup": "SELECT member, CASE WHEN count(total_files) = count(*) THEN sum(total_files) END AS total_files, CASE WHEN count(parse_failures) = count(*) THEN sum(parse_failures) END AS parse_failures, count(total_files) < count(*) OR count(parse_failures) < count(*) AS censored FROM coverage GROUP BY member",
     "limits_exceeded": "SELECT member, generation, concat_ws(',', CASE WHEN indexed_bytes > 100000 THEN 'indexed_bytes' END, CASE WHEN total_files > 20 THEN 'total_files' END) AS exceeded FROM coverage",
     "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) SELECT event_type, count(*) AS rows, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM r WHERE n > 12 GROUP BY event_type",
