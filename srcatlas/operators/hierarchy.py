@@ -188,12 +188,13 @@ def _solve(q: DataFrame, count: int, order: list[str], with_path: bool, task_row
     else:
         edges = edges.withColumn("hop", no_trail)
     edges = write_stage(edges, "exits")
-    rest = tops.select("id").join(edges.select("id"), "id", "left_anti").select("id", none.alias("parent"), F.lit(0).cast("long").alias("w"), no_trail.alias("hop"))
+    rest = tops.select("id").join(edges.select("id").hint("shuffle_hash"), "id", "left_anti").select("id", none.alias("parent"), F.lit(0).cast("long").alias("w"), no_trail.alias("hop"))
     # fragments that hang on a local cycle stay in the quotient as roots of their own, so that what hangs on them is found too
     hanging = edges.where("into_cycle").select("id", none.alias("parent"), F.lit(0).cast("long").alias("w"), no_trail.alias("hop"))
     live = edges.where(~F.col("into_cycle")).select("id", "parent", "w", "hop")
     quotient = live.unionByName(rest).unionByName(hanging)
-    quotient = write_stage(quotient.join(q.select("id", *[c for c in order if c != "id"]), "id"), "quotient")
+    # hash tables are built of the fragments: no side is small enough by its nature to be broadcast
+    quotient = write_stage(quotient.hint("shuffle_hash").join(q.select("id", *[c for c in order if c != "id"]), "id"), "quotient")
     left = quotient.count()
     if left > 0.6 * count and left > task_rows:
         solved = _double(quotient, with_path)
@@ -316,8 +317,8 @@ def _totals(q: DataFrame, count: int, order: list[str], task_rows: int) -> DataF
     inner = rows.groupBy(F.col("top").alias("id")).agg(F.sum("c").alias("c"), F.max(F.col("dist") + F.col("h")).alias("h"))
     tops = rows.where("id = top").select("id", "exit", F.col("w").alias("own"), *[c for c in order if c != "id"])
     near = rows.select(F.col("id").alias("exit"), F.col("top").alias("parent"), F.col("dist").alias("below"))
-    edges = tops.join(near, "exit", "left")
-    quotient = edges.withColumn("w", F.coalesce(F.col("below") + F.col("own"), F.lit(1)).cast("long")).join(inner, "id")
+    edges = tops.join(near.join(tops.select("exit").hint("shuffle_hash"), "exit", "left_semi").hint("shuffle_hash"), "exit", "left")
+    quotient = edges.withColumn("w", F.coalesce(F.col("below") + F.col("own"), F.lit(1)).cast("long")).hint("shuffle_hash").join(inner, "id")
     quotient = write_stage(quotient.select("id", "parent", "w", "c", "h", "exit", "own", *[c for c in order if c != "id"]), "quotient")
     left = quotient.count()
     if left > 0.6 * count and left > task_rows:
@@ -325,7 +326,7 @@ def _totals(q: DataFrame, count: int, order: list[str], task_rows: int) -> DataF
     solved = _totals(quotient.drop("exit", "own"), left, order, task_rows)
     if solved is None:
         return None
-    hung = quotient.where("parent IS NOT NULL").select("id", F.col("exit"), "own").join(solved, "id")
+    hung = quotient.where("parent IS NOT NULL").select("id", F.col("exit"), "own").hint("shuffle_hash").join(solved, "id")
     hung = hung.groupBy(F.col("exit").alias("id")).agg(F.sum("total").alias("more"), F.max(F.col("height") + F.col("own")).alias("far"))
     r = rows.join(hung.hint("shuffle_hash"), "id", "left")
     return gather(r.withColumn("c", F.col("c") + F.coalesce("more", F.lit(0))).withColumn("h", F.greatest("h", F.coalesce("far", F.lit(0)))))
