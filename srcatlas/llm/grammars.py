@@ -1,4 +1,4 @@
-"""Small grammars whose adjacent terminals give the permissible token pairs.
+"""Small grammars whose adjacent terminals give the permissible token pairs, and the permissible windows within a level of brackets.
 
 Notation of ``GRAMMARS``: ``name = alternatives ;`` with ``|``, ``?``, ``*``,
 ``+`` and parentheses; quoted words are terminals, ``ID``, ``NUM`` and ``STR``
@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 from functools import cache
 
+import numpy as np
+
 _EXPR_BRACE = """
 args = ( "(" ( arg ( "," arg )* ","? )? ")" ) ;
 """
@@ -73,9 +75,10 @@ margs = ( expr ( ( "," | ";" | "=>" ) expr )* ( "," | ";" )? | ID "=" expr | typ
 """,
     "typescript": r"""
 file = stmt* ;
-stmt = block | ";" | decl | "import" imp | "export" exp | "if" "(" e ")" stmt ( "else" stmt )? | "for" "await"? "(" forhead ")" stmt | "while" "(" e ")" stmt | "do" stmt "while" "(" e ")" ";"? | "return" e? ";" | ( "break" | "continue" ) ID? ";" | "throw" e ";" | "try" block ( "catch" ( "(" bind ")" )? block )? ( "finally" block )? | "switch" "(" e ")" "{" ( ( "case" e | "default" ) ":" stmt* )* "}" | ID ":" stmt | e ";" | "debugger" ";" ;
+stmt = block | ";" | decl | "import" imp | "export" exp | "if" "(" e ")" stmt ( "else" stmt )? | "for" "await"? "(" forhead ")" stmt | "while" "(" e ")" stmt | "do" stmt "while" "(" e ")" ";"? | "return" e? ";" | ( "break" | "continue" ) ID? ";" | "throw" e ";" | "try" block ( "catch" ( "(" bind ")" )? block )? ( "finally" block )? | "switch" "(" e ")" "{" ( ( "case" e | "default" ) ":" stmt* )* last? "}" | ID ":" stmt | e ";" | "debugger" ";" ;
 endings = ";" | "return" | "break" | "continue" | "debugger" | ID | NUM | STR | "TPL" | ")" | "]" | "}" | "++" | "--" | "this" | "null" | "true" | "false" | "super" ;
-block = "{" stmt* "}" ;
+block = "{" stmt* last? "}" ;
+last = e | "return" e? | ( "break" | "continue" ) ID? | "throw" e | ( "const" | "let" | "var" ) bind ( "," bind )* | "do" stmt "while" "(" e ")" | "if" "(" e ")" ( stmt "else" )? last | ( "for" "await"? "(" forhead ")" | "while" "(" e ")" ) last | "debugger" ;
 decl = ( "const" | "let" | "var" ) "enum"? bind ( "," bind )* ";" | "async"? "function" "*"? ID? tparams? params ret? ( block | ";" ) | decorator* "abstract"? "class" ID? tparams? ( "extends" e )? ( "implements" type ( "," type )* )? cbody | TYPED ;
 bind = target "!"? ( ":" type )? ( "=" e )? ;
 target = ID | "{" ( prop1 ( "," prop1 )* ","? )? "}" | "[" ( ","* ( "..."? target ( "=" e )? )? ( ","+ "..."? target ( "=" e )? )* ","? ) "]" ;
@@ -89,7 +92,7 @@ param = decorator* mods? "..."? ( target | "this" ) OPT? ( ":" type )? ( "=" e )
 OPT = "?" ;
 ret = ":" ( type | ID "is" type | "asserts" ID ) ;
 decorator = "DECO" args? ;
-cbody = "{" ( ";" | decorator* mods? ( "static" block | ( "get" | "set" )? "*"? key OPT? "!"? tparams? ( params ret? ( block | ";" ) | ( ":" type )? ( "=" e )? ";" ) | "[" ID ":" type "]" ":" type ";" ) )* "}" ;
+cbody = "{" ( ";" | decorator* mods? ( "static" block | ( "get" | "set" )? "*"? key OPT? "!"? tparams? ( params ret? ( block | ";" ) | ( ":" type )? ( "=" e )? ";" ) | "[" ID ":" type "]" ":" type ";" ) )* ( mods? key ( ":" type )? ( "=" e )? )? "}" ;
 mods = ( "static" | "async" | "get" | "set" | "MOD" )* ;
 key = ID | STR | NUM | "[" e "]" | KW ;
 KW = "default" | "import" | "export" | "class" | "new" | "delete" | "in" | "of" | "if" | "for" | "catch" | "finally" | "return" | "this" | "null" | "true" | "false" | "function" | "static" | "get" | "set" | "async" | "await" | "type" | "from" | "as" | "with" | "case" | "do" | "else" | "enum" | "extends" | "super" | "switch" | "throw" | "try" | "typeof" | "var" | "void" | "while" | "yield" | "const" | "let" | "break" | "continue" | "debugger" | "instanceof" | "is" | "MOD" | "implements" | "abstract" | "TYPEKW" ;
@@ -324,3 +327,104 @@ def adjacent(family: str) -> tuple[frozenset, frozenset, frozenset]:
     start = "stmt" if "stmt" in rules else "line"
     ends = last["endings"] if "endings" in rules else last[start]
     return frozenset(pairs), frozenset(first[start]), frozenset(ends)
+
+
+#: brackets whose groups are reduced, and the symbols that stand for reduced ones
+BRACKETS = {"(": ")", "[": "]", "{": "}", "#[": "]", "#![": "]"}
+REDUCED = {"(": "()", "[": "[]", "{": "{}", "#[": "#[]", "#![": "#[]"}
+
+
+def _reduced(rules: dict) -> dict:
+    """The rules with every bracketed part of a sequence replaced by one symbol; what stood in brackets becomes a rule of its own."""
+    out: dict = {}
+
+    def go(node):
+        if isinstance(node, str) or node[0] == "ref":
+            return node
+        if node[0] != "seq":
+            return (node[0], *map(go, node[1:]))
+        parts, i = [], 1
+        while i < len(node):
+            x = node[i]
+            j = i + 1
+            if isinstance(x, str) and x in BRACKETS:
+                depth = 1
+                while j < len(node):
+                    depth += (node[j] in BRACKETS) - (node[j] == BRACKETS[x]) if isinstance(node[j], str) else 0
+                    if depth == 0:
+                        break
+                    j += 1
+                if j < len(node):
+                    out[f"group {len(out)}"] = go(("seq", *node[i + 1 : j]))
+                    parts.append(REDUCED[x])
+                    i = j + 1
+                    continue
+            parts.append(go(x))
+            i += 1
+        return ("seq", *parts)
+
+    whole = {name: go(node) for name, node in rules.items()}
+    return whole | out
+
+
+def windows(family: str, names: list[str], reduced: bool) -> np.ndarray:
+    """Which three of ``names`` can stand side by side: a cube of booleans.
+
+    ``reduced``: within one level of brackets, where brackets and what they hold are one symbol.  The same fixed point as ``adjacent``, on what a rule can begin and end
+    with - a whole sentence of one symbol, or two symbols; each boundary in a rule gives the windows over it.
+    """
+    rules = _parse(SOURCES[family])
+    rules = _reduced(rules) if reduced else rules
+    n, at = len(names), {x: i for i, x in enumerate(names)}
+    none, pair = np.zeros(n, bool), np.zeros((n, n), bool)
+    cube = np.zeros((n, n, n), bool)
+    # (may be empty, sentences of one symbol, first two, last two)
+    known = dict.fromkeys(rules, (False, none, pair, pair))
+    empty = (True, none, pair, pair)
+
+    def follow(a, b):
+        firsts, lasts = b[1] | b[2].any(1), a[1] | a[3].any(0)
+        if a[3].any():
+            for f in np.flatnonzero(firsts):
+                cube[:, :, f] |= a[3]
+        if b[2].any():
+            for x in np.flatnonzero(lasts):
+                cube[x] |= b[2]
+        one = (a[1] if b[0] else none) | (b[1] if a[0] else none)
+        first = a[2] | np.outer(a[1], firsts) | (b[2] if a[0] else pair)
+        last = b[3] | np.outer(lasts, b[1]) | (a[3] if b[0] else pair)
+        return a[0] and b[0], one, first, last
+
+    def either(parts):
+        return any(p[0] for p in parts), *(np.logical_or.reduce([p[k] for p in parts]) for k in (1, 2, 3))
+
+    def walk(node):
+        if isinstance(node, str) or node[0] == "ref" and node[1] not in rules:
+            one = none.copy()
+            one[at[node if isinstance(node, str) else node[1]]] = True
+            return False, one, pair, pair
+        if node[0] == "ref":
+            return known[node[1]]
+        if node[0] == "alt":
+            return either([walk(x) for x in node[1:]])
+        if node[0] == "seq":
+            out = empty
+            for x in node[1:]:
+                out = follow(out, walk(x))
+            return out
+        x = walk(node[1])
+        if node[0] == "opt":
+            return either([x, empty])
+        out = x
+        for _ in range(3):
+            out = either([out, follow(out, x)])
+        return out if node[0] == "plus" else either([out, empty])
+
+    size = -1
+    while True:
+        for name, node in rules.items():
+            known[name] = either([known[name], walk(node)])
+        now = int(cube.sum()) + sum(int(k[0]) + sum(int(x.sum()) for x in k[1:]) for k in known.values())
+        if now == size:
+            return cube
+        size = now

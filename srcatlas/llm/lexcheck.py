@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from .grammars import OPERATORS, WORDS, adjacent
+import numpy as np
+
+from .grammars import BRACKETS, OPERATORS, REDUCED, WORDS, adjacent, windows
 from .lexers import HEREDOC, MASTER
 
 #: brackets per block of the residue rows
@@ -208,6 +210,53 @@ def _luau_statements() -> list[re.Pattern]:
     return [rx("«for»[^«=»«in»«do»]*«do»"), rx("«for»«ID»«=»[^«,»«do»«function»]*«do»"), rx("«elseif»[^«then»«function»«if»]*(?:«end»|«elseif»|«else»)"), rx("«while»[^«do»«function»«if»]*«end»")]
 
 
+@cache
+def _names(family: str) -> list[str]:
+    """Names of the class characters in order, then of reduced groups."""
+    return [*memo(family).code, *sorted(set(REDUCED.values()))]
+
+
+@cache
+def _levels(family: str) -> list[tuple[re.Pattern, str]]:
+    """Innermost groups and the character that a reduced one is."""
+    m, names = memo(family).code, _names(family)
+    brackets = "".join(re.escape(m[x]) for x in ("(", ")", "[", "]", "{", "}", "#[", "#![") if x in m)
+    return [(re.compile(f"{re.escape(m[a])}([^{brackets}]*){re.escape(m[b])}"), chr(0x100 + names.index(REDUCED[a]))) for a, b in BRACKETS.items() if a in m and b in m]
+
+
+def packed_windows(family: str) -> bytes:
+    """``grammars.windows`` of the family, of tokens and of reduced levels, as bits: made once, sent to the tasks."""
+    return np.packbits([windows(family, _names(family), reduced) for reduced in (False, True)]).tobytes()
+
+
+@cache
+def _cubes(family: str, bits: bytes) -> np.ndarray:
+    n = len(_names(family)) ** 3
+    return np.unpackbits(np.frombuffer(bits, np.uint8))[: 2 * n].astype(bool).reshape(2, n)
+
+
+def window_faults(family: str, s: str, bits: bytes) -> int:
+    """Distinct windows of three successive classes that no production of the grammar has: of tokens, and of each level of brackets.
+
+    Levels are reduced from the innermost groups out; a line end that may end a statement cuts a window.
+    """
+    nl, k, faults = memo(family).code["NL"], len(_names(family)), 0
+    parts, whole, n = [], s, -1
+    while n != len(s):
+        n = len(s)
+        for rx, c in _levels(family):
+            parts += rx.findall(s)
+            s = rx.sub(c, s)
+    parts.append(s)
+    for cube, text in zip(_cubes(family, bits), (whole, nl.join(set(parts)))):
+        a = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) - 0x100
+        if len(a) > 2:
+            solid = a != ord(nl) - 0x100
+            code = ((a[:-2] * k + a[1:-1]) * k + a[2:])[solid[:-2] & solid[1:-1] & solid[2:]]
+            faults += len(np.unique(code[~cube[code]]))
+    return faults
+
+
 _CLOSER = {")": "(", "]": "[", "}": "{"}
 
 
@@ -234,8 +283,8 @@ def residue(s: str) -> str:
     return s
 
 
-def _dm(tokens: list[str], m: _Memo) -> tuple[set, int, str]:
-    """Pairs within logical lines, indentation faults and the class string without line ends."""
+def _dm(tokens: list[str], m: _Memo) -> tuple[set, int, str, str]:
+    """Pairs within logical lines, indentation faults, and the class string without and with line ends."""
     code, pairs, faults, whole = m.code, set(), 0, []
     start, end = code["START"], code["END"]
     stack, depth, line, indent, prev_open, control = [0], 0, [], 0, True, {}
@@ -302,11 +351,11 @@ def _dm(tokens: list[str], m: _Memo) -> tuple[set, int, str]:
             depth -= 1
     flush()
     faults += sum(x in owed for x in before.values())
-    return pairs, faults, "".join(whole)
+    return pairs, faults, "".join(whole), code["NL"].join(whole)
 
 
-def check(family: str, data: bytes) -> tuple[list[int], list[str], int]:
-    """(distinct pair codes, bracket residues by block, statement faults) of one body.
+def check(family: str, data: bytes, bits: bytes | None = None) -> tuple[list[int], list[str], int]:
+    """(distinct pair codes, bracket residues by block, statement faults) of one body; ``bits``: ``packed_windows`` of the family, else they are made here.
 
     Undecodable bytes become U+FFFD, which is harmless in a comment or a string
     and a stray token elsewhere.  An empty body has no pairs and no faults.
@@ -329,12 +378,13 @@ def check(family: str, data: bytes) -> tuple[list[int], list[str], int]:
     m = memo(family)
     tokens = MASTER[family].findall(text)
     base = 0x100
+    level = None
     if family == "dreammaker":
-        pairs, more, s = _dm(tokens, m)
+        pairs, more, s, level = _dm(tokens, m)
         faults += more
         codes = {(ord(p[0]) - base) * 1024 + ord(p[1]) - base for p in pairs}
     else:
-        s = "".join([m[t] for t in tokens])
+        s = level = "".join([m[t] for t in tokens])
         t = m.code["START"] + s + m.code["END"]
         nl = m.code["NL"]
         if nl in t:
@@ -353,6 +403,8 @@ def check(family: str, data: bytes) -> tuple[list[int], list[str], int]:
     for p in _productions(family):
         faults += len(p.findall(s))
     faults += statement_faults(family, s)
+    if level:
+        faults += window_faults(family, level, packed_windows(family) if bits is None else bits)
     keep, table, expr_if = _bracket_rx(family)
     if expr_if:
         s = expr_if[0].sub(lambda x: x[0].replace(expr_if[1], ""), s)

@@ -4,7 +4,9 @@ Bodies are lexed into rows; a row holds a body's distinct adjacent token pairs,
 its bracket residues in blocks and its statement faults.  The pairs are
 anti-joined against the pairs that the language's grammar permits
 (``grammars.adjacent``); nesting is decided by reducing the blocks in order
-(running depth over a window, kinds by an ordered fold).  A body is valid if all its
+(running depth over a window, kinds by an ordered fold).  Statement productions are tested level by level of brackets, from the
+innermost groups out: every window of three successive symbols of a level, a reduced group being one, must be one that
+the grammar's productions have (``grammars.windows``).  A body is valid if all its
 pairs are permissible, its nesting closes and no statement fault was found.
 
 Each distinct (body, language) is lexed once, however many files point to it.
@@ -13,6 +15,7 @@ Each distinct (body, language) is lexed once, however many files point to it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,25 +38,34 @@ _LEXED = T.StructType(
 )
 
 
-def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .lexcheck import check
+@cache
+def _windows() -> dict[str, bytes]:
+    """Permissible windows of all grammars as bits, under 2 MB: fixed by the grammars and not by the data."""
+    from .lexcheck import packed_windows
 
-    for batch in batches:
-        revisions, families, bodies = (batch.column(batch.schema.get_field_index(c)) for c in ("revision", "families", "bytes"))
-        out: list[list] = [[], [], [], [], []]
-        for rev, fams, body in zip(revisions.to_pylist(), families.to_pylist(), bodies):
-            data = body.as_py()
-            for fam in fams:
-                pairs, blocks, faults = check(fam, data)
-                for col, x in zip(out, (rev, fam, pairs, blocks, faults)):
-                    col.append(x)
-        kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=_LEXED.names)
+    return {f: packed_windows(f) for f in SOURCES}
 
 
 def lex(bodies: DataFrame) -> DataFrame:
     """(revision, families array, bytes) -> one row of lexical facts per revision and family."""
-    return bodies.select("revision", "families", "bytes").mapInArrow(_lex, _LEXED)
+    bits = _windows()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .lexcheck import check
+
+        for batch in batches:
+            revisions, families, bodies = (batch.column(batch.schema.get_field_index(c)) for c in ("revision", "families", "bytes"))
+            out: list[list] = [[], [], [], [], []]
+            for rev, fams, body in zip(revisions.to_pylist(), families.to_pylist(), bodies):
+                data = body.as_py()
+                for fam in fams:
+                    pairs, blocks, faults = check(fam, data, bits[fam])
+                    for col, x in zip(out, (rev, fam, pairs, blocks, faults)):
+                        col.append(x)
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=_LEXED.names)
+
+    return bodies.select("revision", "families", "bytes").mapInArrow(run, _LEXED)
 
 
 def permissible_pairs(spark: SparkSession) -> DataFrame:

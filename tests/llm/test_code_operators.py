@@ -342,3 +342,54 @@ def test_parse_check_joins_a_hot_body_in_parts(spark):
 @pytest.mark.parametrize("text,want", [("// Do not edit the same row twice", False), ("// ids are auto-generated on demand", False), ("// autogenerated on demand by callers", False), ("// DO NOT EDIT.", True), ("// Autogenerated; see the schema", True), ("// the job rewrites this file", True), ("// generated from a.idl", True), ("// writes this table", False)])
 def test_statements_of_origin(text, want):
     assert handwritten.body_facts("rust", (text + "\nfn a() {}\n").encode())[0] == want
+
+
+@pytest.mark.parametrize(
+    "family,text",
+    [
+        ("javascript", "function f() { if (a) b c; }"), ("javascript", "let x = f(1)(, 2);"), ("typescript", "class A { m() { return 1 } } export default A; try { f() } g();"), ("rust", "fn f() { let x = 1 + ; }"),
+        ("csharp", "class A { void M() { try { F(); } G(); } }"), ("php", "<?php function f($a) { return $a +; }"), ("luau", "local x = f(1) + + 2 then"), ("javascript", "switch (a) { b: c; case 1: d; } ) {"),
+    ],
+)
+def test_windows_and_levels_find_broken_statements(family, text):
+    pairs, blocks, faults = lexcheck.check(family, text.encode())
+    assert faults or lexcheck.residue("".join(blocks)) or not set(pairs) <= lexcheck.permissible(family)
+
+
+@pytest.mark.parametrize("family", sorted(SOURCES))
+def test_windows_hold_every_window_of_derived_sentences(family):
+    """Sentences derived at random from the grammar have permissible windows only, at every level."""
+    import random
+
+    from srcatlas.llm import grammars
+
+    rules, rng = grammars._parse(SOURCES[family]), random.Random(3)
+
+    def derive(node, depth):
+        if isinstance(node, str):
+            return [node]
+        if node[0] == "ref":
+            if node[1] not in rules:
+                return [node[1]]
+            if depth > 14:
+                raise RecursionError
+            return derive(rules[node[1]], depth + 1)
+        if node[0] == "alt":
+            return derive(rng.choice(node[1:]), depth)
+        if node[0] == "seq":
+            return [x for y in node[1:] for x in derive(y, depth)]
+        k = {"opt": rng.random() < 0.3, "rep": rng.choice((0, 0, 1)), "plus": 1}[node[0]]
+        return [x for _ in range(int(k)) for x in derive(node[1], depth)]
+
+    code, done, bits = lexcheck.memo(family).code, 0, lexcheck.packed_windows(family)
+    for _ in range(4000):
+        try:
+            s = derive(("ref", "stmt" if "stmt" in rules else "line"), 0)
+        except RecursionError:
+            continue
+        text = "".join(code[x] for x in s)
+        if lexcheck.residue("".join(x for y in s for x in y if len(y) == 1 and x in "()[]{}")):
+            continue
+        assert lexcheck.window_faults(family, text, bits) == 0, s
+        done += 1
+    assert done > 100
