@@ -103,8 +103,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tempered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The mix whose weights the exponent alone decides: no shares are given, only how often each source may be used."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets").withColumn("target_share", F.lit(None).cast("double")))
+    """The mix whose weights the exponent alone decides: token shares to the power whose weights have the targets' entropy, without the targets' shares."""
+    t = table(spark, d, "mix_targets")
+    # the mix's configuration: one row a source
+    shares = {r.source: r.target_share for r in t.select("source", "target_share").collect() if r.target_share}
+    return mixing.mix(table(spark, d, "documents"), t.withColumn("target_share", F.lit(None).cast("double")), target_entropy=mixing.entropy(shares))
 
 
 def p8_tempered(spark: SparkSession, d: str) -> DataFrame:
