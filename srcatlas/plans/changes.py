@@ -385,6 +385,15 @@ SELECT l.member, CASE WHEN coalesce(n, 0) > 0 THEN 'answered' ELSE 'empty' END A
 g AS (SELECT *, dense_rank() OVER (PARTITION BY base ORDER BY p) AS g FROM r WHERE base IN (SELECT base FROM s))
 SELECT a.base, a.i AS source, b.i AS target, CASE WHEN a.g = b.g THEN 'tie' ELSE 'previous' END AS kind FROM g a JOIN g b ON a.base = b.base AND ((a.g = b.g AND a.i <> b.i) OR b.g = a.g - 1) UNION ALL SELECT base, i, base, 'base' FROM g WHERE g = 1""",
     "chain_prepare": """SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS base, CASE WHEN s_acctbal <= -900 THEN 'unknown_order' WHEN floor(s_acctbal) < 0 THEN 'negative_order' END AS issue FROM supplier WHERE s_acctbal <= -900 OR floor(s_acctbal) < 0""",
+    "correspond": """WITH o AS (SELECT DISTINCT id, file_id AS file, concat_ws('/', kind, name) AS key, CAST(span_end AS VARCHAR) AS digest FROM definitions),
+n AS (SELECT id, file, CASE WHEN id % 5 = 0 THEN key || '2' ELSE key END AS key, CASE WHEN id % 3 = 0 THEN digest || '+' ELSE digest END AS digest FROM o WHERE id % 8 <> 0),
+a AS (SELECT file, x.i AS oi, y.i AS ni FROM (SELECT file, key, digest, min(id) AS i FROM o GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT file, key, digest, min(id) AS i FROM n GROUP BY ALL HAVING count(*) = 1) y USING (file, key, digest)),
+o2 AS (SELECT * FROM o WHERE (file, id) NOT IN (SELECT (file, oi) FROM a)), n2 AS (SELECT * FROM n WHERE (file, id) NOT IN (SELECT (file, ni) FROM a)),
+b AS (SELECT file, x.i AS oi, y.i AS ni FROM (SELECT file, key, min(id) AS i FROM o2 GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT file, key, min(id) AS i FROM n2 GROUP BY ALL HAVING count(*) = 1) y USING (file, key)),
+o3 AS (SELECT * FROM o2 WHERE (file, id) NOT IN (SELECT (file, oi) FROM b)), n3 AS (SELECT * FROM n2 WHERE (file, id) NOT IN (SELECT (file, ni) FROM b)),
+c AS (SELECT file, x.i AS oi, y.i AS ni FROM (SELECT file, digest, min(id) AS i FROM o3 GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT file, digest, min(id) AS i FROM n3 GROUP BY ALL HAVING count(*) = 1) y USING (file, digest))
+SELECT * FROM (SELECT 'unchanged' AS state, count(*) AS n FROM a UNION ALL SELECT 'modified', count(*) FROM b UNION ALL SELECT 'moved', count(*) FROM c UNION ALL SELECT 'deleted', count(*) FROM o3 WHERE (file, id) NOT IN (SELECT (file, oi) FROM c)
+UNION ALL SELECT 'added', count(*) FROM n3 WHERE (file, id) NOT IN (SELECT (file, ni) FROM c)) WHERE n > 0""",
     "php_names": f"""WITH x AS (SELECT DISTINCT id, file_id, name, kind, span_start, span_end FROM definitions),
 i AS (SELECT key, id FROM (SELECT DISTINCT {_KEY.format('name')} AS key, id FROM x WHERE kind IN ('class', 'interface', 'trait', 'enum') AND NOT starts_with(name, 'XFCP_')) QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) <= 64),
 c AS (SELECT DISTINCT s.id, y.id AS class FROM x s JOIN i ON i.key = {_KEY.format('s.name')} JOIN x y ON y.id = i.id WHERE s.kind = 'class' AND y.file_id <> s.file_id),

@@ -234,6 +234,12 @@ h AS (SELECT count(*) AS n FROM w JOIN c USING (revision, g) WHERE m % 6 <> 0) S
 l AS (SELECT dir, regexp_replace(max(path), '\\.[^./]*$', '') AS stem FROM s GROUP BY dir), v AS (SELECT unnest(['', '.ts', '.tsx', '.mts', '.cts', '.d.ts', '.js', '.mjs', '.cjs', '/index.ts', '/index.js']) AS v),
 h AS (SELECT DISTINCT s.id, p.path AS c FROM s JOIN l USING (dir) CROSS JOIN v JOIN (SELECT DISTINCT path FROM f) p ON p.path = l.stem || v.v)
 SELECT id, string_agg(c, ',' ORDER BY c) AS candidates, CASE WHEN count(*) = 1 THEN min(c) END AS target FROM h GROUP BY id""",
+    "parent_method_lookup": """WITH RECURSIVE x AS (SELECT DISTINCT id, file_id, name, kind, container FROM definitions), cls AS (SELECT id, file_id, name FROM x WHERE kind = 'class'),
+up AS (SELECT a.id AS source, max(b.id) AS target FROM cls a JOIN cls b ON a.file_id = b.file_id AND b.id < a.id GROUP BY a.id),
+m AS (SELECT x.id, c.id AS class, substr(x.name, 1, 3) AS name, x.id % 5 <> 0 AND x.id % 7 <> 0 AS good FROM x JOIN cls c ON c.file_id = x.file_id AND c.name = x.container WHERE x.kind = 'method'),
+w AS (SELECT m.id AS call, up.target AS class, m.name, 1 AS hops FROM m JOIN up ON up.source = m.class
+  UNION ALL SELECT w.call, up.target, w.name, w.hops + 1 FROM w JOIN up ON up.source = w.class WHERE w.hops < 8 AND NOT EXISTS (SELECT 1 FROM m WHERE m.class = w.class AND m.name = w.name))
+SELECT w.call, m.id AS method, w.hops FROM w JOIN m ON m.class = w.class AND m.name = w.name WHERE m.good""",
     "byte_escape": """WITH b AS (SELECT revision, string_split(regexp_replace(hex(bytes), '(..)', '\\1 ', 'g'), '0A ') AS l FROM contents WHERE try(decode(bytes)) IS NULL AND bytes IS NOT NULL),
 r AS (SELECT revision, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS h FROM b), e AS (SELECT * FROM r WHERE try(decode(unhex(replace(h, ' ', '')))) IS NULL)
 SELECT revision, line, array_to_string(list_transform(string_split(trim(h), ' '), lambda x: CASE WHEN (x >= '20' AND x < '7F') OR x = '09' THEN decode(unhex(x)) ELSE '\\x' || lower(x) END), '') AS text FROM e""",
