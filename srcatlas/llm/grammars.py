@@ -377,7 +377,8 @@ def windows(family: str, names: list[str], reduced: bool) -> np.ndarray:
     rules = _reduced(rules) if reduced else rules
     n, at = len(names), {x: i for i, x in enumerate(names)}
     none, pair = np.zeros(n, bool), np.zeros((n, n), bool)
-    cube = np.zeros((n, n, n), bool)
+    # by their third and by their first symbol
+    ended, begun = np.zeros((n, n, n), bool), np.zeros((n, n, n), bool)
     # (may be empty, sentences of one symbol, first two, last two)
     known = dict.fromkeys(rules, (False, none, pair, pair))
     empty = (True, none, pair, pair)
@@ -386,10 +387,10 @@ def windows(family: str, names: list[str], reduced: bool) -> np.ndarray:
         firsts, lasts = b[1] | b[2].any(1), a[1] | a[3].any(0)
         if a[3].any():
             for f in np.flatnonzero(firsts):
-                cube[:, :, f] |= a[3]
+                ended[f] |= a[3]
         if b[2].any():
             for x in np.flatnonzero(lasts):
-                cube[x] |= b[2]
+                begun[x] |= b[2]
         one = (a[1] if b[0] else none) | (b[1] if a[0] else none)
         first = a[2] | np.outer(a[1], firsts) | (b[2] if a[0] else pair)
         last = b[3] | np.outer(lasts, b[1]) | (a[3] if b[0] else pair)
@@ -424,7 +425,7 @@ def windows(family: str, names: list[str], reduced: bool) -> np.ndarray:
     while True:
         for name, node in rules.items():
             known[name] = either([known[name], walk(node)])
-        now = int(cube.sum()) + sum(int(k[0]) + sum(int(x.sum()) for x in k[1:]) for k in known.values())
+        now = int(ended.sum()) + int(begun.sum()) + sum(int(k[0]) + sum(int(x.sum()) for x in k[1:]) for k in known.values())
         if now == size:
-            return cube
+            return ended.transpose(1, 2, 0) | begun
         size = now
