@@ -23,6 +23,8 @@ from ..session import shared_dir, write_stage
 K1, B = 1.2, 0.75
 COLUMN_WEIGHTS = {"name": 8.0, "expanded": 2.0, "body": 1.0, "path": 0.5}
 BUCKETS = 16
+#: bits of a position: a region has fewer tokens
+SHIFT = 28
 #: written partitions may be none, so the schemas are given when they are read
 ROWS = "id long, path string, kind string, language string, len int, term string, " + ", ".join(f"p_{c} array<int>, n_{c} int" for c in COLUMN_WEIGHTS) + ", bucket int"
 TERMS = "term string, df long, bucket int"
@@ -54,6 +56,12 @@ def _successive(places: list[Column]) -> Column:
     return F.filter(places[0], follow)
 
 
+def _of_column(number: int) -> Column:
+    """The places of one column among ``codes``."""
+    low = number << SHIFT
+    return F.transform(F.filter("codes", lambda x: (x >= low) & (x < low + (1 << SHIFT))), lambda x: x - low)
+
+
 @dataclass
 class Postings:
     spark: SparkSession
@@ -81,8 +89,10 @@ class Postings:
         base = texts.select("id", "path", *more, F.concat(*words).alias("words")).withColumn("len", F.size("words"))
         base.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("average")).write.parquet(f"{path}/stats")
         each = base.where("len > 0").select(F.col("id").cast("long").alias("id"), "path", "kind", "language", "len", F.explode("words").alias("w"))
-        places = [F.sort_array(F.collect_list(F.when(F.col("w.col") == k, F.col("w.pos")))).alias(f"p_{c}") for k, c in enumerate(cols)]
-        rows = each.groupBy("id", "path", "kind", "language", "len", F.col("w.term").alias("term")).agg(*places)
+        # one list of places a term, the column in the bits above the position
+        code = F.shiftleft(F.col("w.col").cast("int"), SHIFT) + F.col("w.pos")
+        rows = each.groupBy("id", "path", "kind", "language", "len", F.col("w.term").alias("term")).agg(F.sort_array(F.collect_list(code)).alias("codes"))
+        rows = rows.select("id", "path", "kind", "language", "len", "term", *[_of_column(k).alias(f"p_{c}") for k, c in enumerate(cols)])
         missing = [F.array().cast("array<int>").alias(f"p_{c}") for c in COLUMN_WEIGHTS if c not in cols]
         rows = rows.select("*", *missing).withColumns({f"n_{c}": F.size(f"p_{c}") for c in cols} | {f"n_{c}": F.lit(0) for c in COLUMN_WEIGHTS if c not in cols})
         rows = rows.withColumn("bucket", F.pmod(F.crc32("term"), F.lit(BUCKETS)).cast("int"))

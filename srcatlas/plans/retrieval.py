@@ -72,6 +72,11 @@ def postings_build(spark: SparkSession, d: str) -> DataFrame:
     return R.postings(spark, d).terms.select("term", "df")
 
 
+def postings_code(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the regions of code."""
+    return R.postings(spark, d, "code").terms.select("term", "df")
+
+
 IDENTIFIER = "field2"
 
 
@@ -213,7 +218,7 @@ def show_path(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lane_any_terms, lane_all_terms, lane_phrase, lane_exact, lane_occurrence, lane_filename, lane_regex, vector_topk, lane_semantic, postings_build, search, search_identifier, search_qualified, search_literal, search_filtered, search_symbol, search_regex, search_semantic, fuse_rrf, refuse_semantic,
+        lane_any_terms, lane_all_terms, lane_phrase, lane_exact, lane_occurrence, lane_filename, lane_regex, vector_topk, lane_semantic, postings_build, postings_code, search, search_identifier, search_qualified, search_literal, search_filtered, search_symbol, search_regex, search_semantic, fuse_rrf, refuse_semantic,
         rerank_window, path_prior, lane_weight, evidence_tier, dedup_hits, snippet_pick, filter_language, filter_kind, filter_path, filter_path_bind, filter_diagnosis,
         nearest_paths_filter, resolve_single_file, classify_test_path, classify_doc_path, expand_identifiers, line_span, show_path,
     )
@@ -340,6 +345,7 @@ qu AS (SELECT path, kind, row_number() OVER (ORDER BY CASE kind WHEN 'module' TH
 
 SQL = {
     "postings_build": f"WITH {R.REGIONS} SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(list_concat(t_name, t_expanded, t_body, t_path)) AS term FROM tok) GROUP BY term",
+    "postings_code": f"WITH {R.CODE} SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(list_concat(t_name, t_expanded, t_body, t_path)) AS term FROM tok) GROUP BY term",
     "search_identifier": f"WITH {R.CODE},\n{_exact('ex', f"name = '{IDENTIFIER}'")},\n{_occurrences('oc', IDENTIFIER)},\n{_any('an', [IDENTIFIER])},\n{_filename('fi', [IDENTIFIER], 'cf')},\n"
     + _lane_hits([*_IDENT_LANES, ("oc", "1.0", "2"), ("an", "1.0", "3"), ("fi", _FILE_WEIGHT, "3")], [IDENTIFIER], True),
     "search_qualified": f"WITH {R.CODE},\n{_exact('ex', f"name = 'Safe::{IDENTIFIER}'")},\n{_QUAL},\n{_occurrences('oc', IDENTIFIER, 'Safe')},\n{_phrase('ph', ['safe', IDENTIFIER])},\n{_any('al', ['safe', IDENTIFIER], True)},\n{_any('an', ['safe', IDENTIFIER])},\n{_filename('fi', ['safe', IDENTIFIER], 'cf')},\n"
