@@ -1,5 +1,6 @@
 """Extraction by family: names, kinds, containers, byte spans, scopes, relationships; damaged and empty sources."""
 
+import pyarrow as pa
 import pytest
 
 from srcatlas.operators.extraction import extract, extract_all
@@ -115,3 +116,27 @@ def test_facts_as_rows(spark):
     assert {(r.revision, r.status) for r in got if r.fact == "file"} == {("r1", "recovered"), ("r2", "recovered"), ("r3", "invalid_encoding")}
     assert {(r.nth, r.name) for r in got if r.fact == "definition"} == {(0, "f"), (1, "x")}
     assert [(r.name, r.target) for r in got if r.fact == "occurrence" and r.kind == "read"] == [("u8", None), ("x", 1)]
+
+
+class _Batches:
+    """Stands for a table of bodies; gives the function that would run in its workers."""
+
+    def where(self, *_):
+        return self
+
+    select = where
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_facts_of_many_bodies_are_not_held_at_once():
+    n = 100
+    body = b"".join(b"pub fn f%d(x: u8) { g(x) }\n" % i for i in range(100))
+    batch = pa.record_batch([[f"r{i}" for i in range(n)], ["a.rs"] * n, [body] * n], names=["revision", "path", "bytes"])
+    each = 1 + sum(len(extract("a.rs", body)[k]) for k in ("definitions", "occurrences", "relationships", "modules"))
+    sizes, files = [], []
+    for out in extract_all(_Batches())(iter([batch, batch.slice(0, 0)])):
+        sizes.append(out.num_rows)
+        files += [r for r, f in zip(out["revision"].to_pylist(), out["fact"].to_pylist()) if f == "file"]
+    assert sum(sizes) == n * each and max(sizes) <= 5000 and files == [f"r{i}" for i in range(n)]
