@@ -140,3 +140,11 @@ def test_facts_of_many_bodies_are_not_held_at_once():
         sizes.append(out.num_rows)
         files += [r for r, f in zip(out["revision"].to_pylist(), out["fact"].to_pylist()) if f == "file"]
     assert sum(sizes) == n * each and max(sizes) <= 5000 and files == [f"r{i}" for i in range(n)]
+
+
+def test_facts_of_one_body_come_in_parts():
+    body = b"".join(b"pub fn f%d(x: u8) { g(x) }\n" % i for i in range(2000))
+    parts = list(extract_all(_Batches())(iter([pa.record_batch([["r"], ["a.rs"], [body]], names=["revision", "path", "bytes"])])))
+    x = extract("a.rs", body)
+    names = [n for p in parts for n, f in zip(p["name"].to_pylist(), p["fact"].to_pylist()) if f in ("definition", "occurrence")]
+    assert names == [y["name"] for k in ("definitions", "occurrences") for y in x[k]] and len(names) > 5000 > max(p.num_rows for p in parts)
