@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, extraction, filters, history, journal, navigation, reads, resolution, targets, vectors
@@ -236,9 +237,12 @@ def show_continue(spark: SparkSession, d: str) -> DataFrame:
     return t.select("revision", F.udf(follow, "struct<lines:int,pages:int>", useArrow=True)("revision", "bytes").alias("p")).select("revision", "p.*")
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
+def _facts(spark: SparkSession, d: str, facts: Collection[str] = extraction.FACTS, where: Column | None = None) -> DataFrame:
+    """Facts of each body under its first path, where that path is as ``where`` says."""
     f = R.files(spark, d).where("revision IS NOT NULL").groupBy("revision").agg(F.min("path").alias("path"))
-    return extraction.extract_all(table(spark, d, "contents").join(f.hint("shuffle_hash"), "revision"))
+    if where is not None:
+        f = f.where(where)
+    return extraction.extract_all(table(spark, d, "contents").join(f.hint("shuffle_hash"), "revision"), facts)
 
 
 def extract_dispatch(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +259,8 @@ def scope_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 def php_markers(spark: SparkSession, d: str) -> DataFrame:
     """What extraction says of PHP classes and methods for the hierarchy."""
-    x = _facts(spark, d).where("fact = 'definition' AND (canonical IS NOT NULL OR visibility IS NOT NULL) AND kind <> 'import'")
+    php = F.lower(F.substring_index("path", ".", -1)).isin([e for e, f in extraction.FAMILY.items() if f == "php"])  # no other family fills these columns
+    x = _facts(spark, d, ("definition",), php).where("(canonical IS NOT NULL OR visibility IS NOT NULL) AND kind <> 'import'")
     return x.groupBy("kind", "visibility", "abstract", "conditional", "complete").agg(F.count("*").alias("n"))
 
 

@@ -3,7 +3,9 @@
 import pyarrow as pa
 import pytest
 
+from srcatlas.operators import extraction
 from srcatlas.operators.extraction import extract, extract_all
+from srcatlas.plans import stores
 
 
 def kinds(x):
@@ -148,3 +150,13 @@ def test_facts_of_one_body_come_in_parts():
     x = extract("a.rs", body)
     names = [n for p in parts for n, f in zip(p["name"].to_pylist(), p["fact"].to_pylist()) if f in ("definition", "occurrence")]
     assert names == [y["name"] for k in ("definitions", "occurrences") for y in x[k]] and len(names) > 5000 > max(p.num_rows for p in parts)
+
+
+def test_php_markers_are_looked_for_in_php_bodies(spark, small, monkeypatch):
+    seen, real = [], extract_all
+    with monkeypatch.context() as m:
+        m.setattr(extraction, "extract_all", lambda bodies, *a: seen.append(bodies.select("path").distinct().collect()) or real(bodies, *a))
+        got = {tuple(r) for r in stores.php_markers(spark, small).collect()}
+    assert {r.path.rsplit(".", 1)[-1].lower() for r in seen[0]} <= {"php", "phtml"} and len(seen) == 1
+    x = stores._facts(spark, small).where("fact = 'definition' AND (canonical IS NOT NULL OR visibility IS NOT NULL) AND kind <> 'import'")
+    assert got == {tuple(r) for r in x.groupBy("kind", "visibility", "abstract", "conditional", "complete").count().collect()} and got
