@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -81,11 +82,28 @@ def member_config(text: str, most: int = 32) -> dict:
 
 def reextract(path: str, data: bytes, name: str, near: int) -> dict:
     """The definition of that name in current bytes, nearest to where it was; marked as not yet published."""
-    found = [d for d in extract(path, data)["definitions"] if d["name"] == name]
-    if not found:
-        raise KeyError(name)
-    best = min(found, key=lambda d: (abs(d["start"] - near), d["start"]))
-    return {**best, "freshness": "unpublished"}
+    return reextract_all(path, data, [(name, near)])[0]
+
+
+def reextract_all(path: str, data: bytes, wanted: list[tuple[str, int]]) -> list[dict]:
+    """``reextract`` for each (name, near) of one body, which is extracted once."""
+    by: dict[str, list[dict]] = {}
+    for d in extract(path, data)["definitions"]:
+        by.setdefault(d["name"], []).append(d)
+    starts: dict[str, list[int]] = {}
+    out = []
+    for name, near in wanted:
+        if name not in by:
+            raise KeyError(name)
+        if name not in starts:
+            by[name].sort(key=lambda d: d["start"])
+            starts[name] = [d["start"] for d in by[name]]
+        at = starts[name]
+        k = bisect_left(at, near)
+        # the first that starts there or after it, and the first of those that start last before it
+        close = [by[name][i] for i in ([bisect_left(at, at[k - 1])] if k else []) + ([k] if k < len(at) else [])]
+        out.append({**min(close, key=lambda d: (abs(d["start"] - near), d["start"])), "freshness": "unpublished"})
+    return out
 
 
 def documented_items(text: str, pattern: str) -> list[dict]:

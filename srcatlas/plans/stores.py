@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Collection
+from collections import Counter
+from collections.abc import Collection, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -324,14 +326,22 @@ def rustdoc_query(spark: SparkSession, d: str) -> DataFrame:
 
 def show_stale_sym(spark: SparkSession, d: str) -> DataFrame:
     """Classes of Rust bodies looked up again, by name, in bytes that moved by a line: found where they are now."""
-    x = _facts(spark, d).where("fact = 'definition' AND path LIKE '%.rs' AND kind = 'struct'").select("revision", "path", "name", "span_start")
-    body = table(spark, d, "contents").select("revision", "bytes")
-
-    def again(path: str, data: bytes, name: str, near: int) -> int:
-        return targets.reextract(path, b"// moved\n" + data, name, near)["start"] - near
-
-    j = x.join(body, "revision")
-    return j.groupBy(F.udf(again, "int", useArrow=True)("path", "bytes", "name", "span_start").alias("moved_by")).agg(F.count("*").alias("n"))
+    # a body's structs are looked up together, so that its bytes are sent and extracted once for all of them
+    x = _facts(spark, d, ("definition",), F.col("path").like("%.rs")).where("kind = 'struct'")
+    x = x.groupBy("revision", "path").agg(F.collect_list(F.struct("name", "span_start")).alias("wanted"))
+    body = table(spark, d, "contents").where("bytes IS NOT NULL").select("revision", "bytes")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter[int] = Counter()
+            for path, data, wanted in zip(*batch.columns):
+                sites = [(w["name"], w["span_start"]) for w in wanted.as_py()]
+                found = targets.reextract_all(path.as_py(), b"// moved\n" + data.as_py(), sites)
+                n.update(y["start"] - near for y, (_, near) in zip(found, sites))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["moved_by", "n"])
+
+    j = body.join(x.hint("shuffle_hash"), "revision").select("path", "bytes", "wanted")
+    return j.mapInArrow(again, "moved_by int, n long").groupBy("moved_by").agg(F.sum("n").alias("n"))
 
 
 QUERIES = {

@@ -41,3 +41,16 @@ def test_reextract_and_items():
         targets.reextract("a.rs", b"", "f", 0)
     idx = json.dumps({"paths": {"1": {"path": ["std", "vec", "Vec"], "kind": "struct"}, "2": {"path": ["std", "fmt"], "kind": "module"}}})
     assert [x["id"] for x in targets.documented_items(idx, "Vec$")] == ["1"]
+
+
+def test_a_body_is_extracted_once_for_all_its_names(monkeypatch):
+    body, calls, real = b"struct A { x: u8 }\nmod m { struct B; struct A; }\nmod n { struct A; }\n", [], targets.extract
+    monkeypatch.setattr(targets, "extract", lambda *a: calls.append(a) or real(*a))
+    wanted = [(n, near) for n in ("A", "B") for near in range(0, len(body) + 9)]
+    got = targets.reextract_all("a.rs", body, wanted)
+    assert len(calls) == 1 and {d["freshness"] for d in got} == {"unpublished"}
+    defs = real("a.rs", body)["definitions"]
+    for (name, near), d in zip(wanted, got):
+        assert d["start"] == min((abs(x["start"] - near), x["start"]) for x in defs if x["name"] == name)[1]
+    with pytest.raises(KeyError):
+        targets.reextract_all("a.rs", body, [("A", 0), ("C", 0)])
