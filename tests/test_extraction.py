@@ -152,6 +152,13 @@ def test_facts_of_one_body_come_in_parts():
     assert names == [y["name"] for k in ("definitions", "occurrences") for y in x[k]] and len(names) > 5000 > max(p.num_rows for p in parts)
 
 
+def test_only_the_facts_asked_for_become_rows():
+    batch = pa.record_batch([["r"], ["a.ts"], [b'import { q } from "./q"; q(1);']], names=["revision", "path", "bytes"])
+    whole = [r for b in extract_all(_Batches())(iter([batch])) for r in b.to_pylist()]
+    got = [r for b in extract_all(_Batches(), ("module",))(iter([batch])) for r in b.to_pylist()]
+    assert got == [r for r in whole if r["fact"] == "module"] and [r["name"] for r in got] == ["./q"] and len(whole) > 2
+
+
 def test_php_markers_are_looked_for_in_php_bodies(spark, small, monkeypatch):
     seen, real = [], extract_all
     with monkeypatch.context() as m:
