@@ -1,11 +1,13 @@
 """Extraction by family: names, kinds, containers, byte spans, scopes, relationships; damaged and empty sources."""
 
+import re
+
 import pyarrow as pa
 import pytest
 
 from srcatlas.operators import extraction
 from srcatlas.operators.extraction import extract, extract_all
-from srcatlas.plans import stores
+from srcatlas.plans import changes, stores
 
 
 def kinds(x):
@@ -159,6 +161,17 @@ def test_only_the_facts_asked_for_become_rows():
     assert got == [r for r in whole if r["fact"] == "module"] and [r["name"] for r in got] == ["./q"] and len(whole) > 2
 
 
+def test_only_the_columns_asked_for_leave_the_worker(spark, small):
+    batch = pa.record_batch([["r", "s"], ["a.ts", "b.txt"], [b'import { q } from "./q"; q(1);', b"x"]], names=["revision", "path", "bytes"])
+    whole = [r for b in extract_all(_Batches())(iter([batch])) for r in b.to_pylist()]
+    parts = list(extract_all(_Batches(), columns=("status", "fact", "kind"))(iter([batch])))
+    assert [r for b in parts for r in b.to_pylist()] == [{k: r[k] for k in ("status", "fact", "kind")} for r in whole] and len(whole) > 4
+    x = changes.extract_syntax(spark, small)
+    assert re.findall(r"MapInArrow run\(.*, \[(.*)\]", re.sub(r"#\d+L?", "", x._jdf.queryExecution().optimizedPlan().toString())) == ["status, fact, kind"]
+    want = stores._facts(spark, small).groupBy("fact", "kind", "status").count().collect()
+    assert {tuple(r) for r in x.collect()} == {tuple(r) for r in want} and len(want) > 10
+
+
 def test_php_markers_are_looked_for_in_php_bodies(spark, small, monkeypatch):
     seen, real = [], extract_all
     with monkeypatch.context() as m:
