@@ -240,10 +240,12 @@ def show_continue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str, facts: Collection[str] = extraction.FACTS, where: Column | None = None) -> DataFrame:
-    """Facts of each body under its first path, where that path is as ``where`` says."""
-    f = R.files(spark, d).where("revision IS NOT NULL").groupBy("revision").agg(F.min("path").alias("path"))
+    """Facts of each body under its first path, of those that are as ``where`` says."""
+    f = R.files(spark, d).where("revision IS NOT NULL")
     if where is not None:
+        # before the first is taken: a body may stand under other paths too
         f = f.where(where)
+    f = f.groupBy("revision").agg(F.min("path").alias("path"))
     return extraction.extract_all(table(spark, d, "contents").join(f.hint("shuffle_hash"), "revision"), facts)
 
 

@@ -180,3 +180,12 @@ def test_php_markers_are_looked_for_in_php_bodies(spark, small, monkeypatch):
     assert {r.path.rsplit(".", 1)[-1].lower() for r in seen[0]} <= {"php", "phtml"} and len(seen) == 1
     x = stores._facts(spark, small).where("fact = 'definition' AND (canonical IS NOT NULL OR visibility IS NOT NULL) AND kind <> 'import'")
     assert got == {tuple(r) for r in x.groupBy("kind", "visibility", "abstract", "conditional", "complete").count().collect()} and got
+
+
+def test_php_markers_of_bodies_that_stand_under_other_paths_too(spark, tmp_path):
+    body = bytearray(b"<?php class A { public function f() {} private function g() {} }")
+    paths = [("r", "a/x.inc"), ("r", "b/x.php"), ("r", "c/x.PHTML"), ("s", "a/y.php"), ("t", "a/z.inc"), ("u", None)]
+    spark.createDataFrame([(i, "m", p, r, None, None, None, 1, None) for i, (r, p) in enumerate(paths)], "id long, member string, path string, revision string, language string, status string, bytes long, generation long, observed_at timestamp").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([(r, body) for r in "rstu"], "revision string, bytes binary").write.parquet(f"{tmp_path}/contents.parquet")
+    got = {(r.kind, r.visibility): r.n for r in stores.php_markers(spark, str(tmp_path)).collect()}
+    assert got == {("class", None): 2, ("method", "public"): 2, ("method", "private"): 2}
