@@ -6,7 +6,8 @@ within the tops, in tasks, on ``per_list`` vectors a list chosen by hash, so the
 grows with the data.  A vector is stored in every list whose squared distance is within a ratio of that of its
 nearest one, up to a number of replicas, so vectors near a boundary stand in several
 lists.  Centroids are searched through an in-memory graph of their
-neighbours, at every size: a beam of fixed width a row, whose cost does not depend on the number of lists.
+neighbours, at every size: a beam of fixed width a row, ``TOGETHER`` rows near each other at once, so that lists are looked at
+in matrix products; at most ``GRAPH`` for each list that stands in a beam of theirs, whatever the number of lists.
 Lists are compared as matrix products within a list; a list longer than ``block`` is worked in pairs of blocks.
 
 Exact copies of a vector are one entry of the index (their least key), so a group
@@ -30,10 +31,10 @@ from ..session import write_stage
 
 DIMS = 64
 GRAPH = 24
-#: least width of the beam, least number of lists expanded at once, entry points of a search, lists of an entry point
-BEAM, EXPAND, ENTRIES, ENTRY = 48, 12, 6, 16
-#: neighbours looked at in one step of a block of rows
-STEP = 1 << 17
+#: least width of the beam, entry points of a search, lists of an entry point
+BEAM, ENTRIES, ENTRY = 24, 6, 16
+#: rows that are searched together, and rows gathered of which those near each other are
+TOGETHER, GATHERED = 128, 1 << 15
 
 
 def usable(vectors: DataFrame, dims: int = DIMS) -> DataFrame:
@@ -94,8 +95,9 @@ class Centroids:
     def of(cls, leaves: np.ndarray, tops: np.ndarray) -> Centroids:
         k = len(leaves)
         graph = np.empty((k, min(GRAPH, k)), np.int32)
-        for a in range(0, k, 1024):
-            graph[a : a + 1024] = np.argpartition(-(leaves[a : a + 1024] @ leaves.T), graph.shape[1] - 1, axis=1)[:, : graph.shape[1]]
+        step = max(1, min(1024, (1 << 23) // k))
+        for a in range(0, k, step):
+            graph[a : a + step] = np.argpartition(leaves[a : a + step] @ leaves.T, k - graph.shape[1], axis=1)[:, k - graph.shape[1] :]
         near = np.argpartition(-(tops @ leaves.T), min(ENTRY, k) - 1, axis=1)[:, : min(ENTRY, k)]
         return cls(leaves, graph, tops, near.astype(np.int32))
 
@@ -110,70 +112,55 @@ class Centroids:
 
     def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, similarities) of the n nearest centroids of each row, nearest first: always n distinct lists."""
-        n = min(n, len(self.leaves))
+        n, entries = min(n, len(self.leaves)), min(ENTRIES, len(self.tops))
+        ids, sim, first = np.empty((len(x), n), np.int32), np.empty((len(x), n), np.float32), np.empty((len(x), entries), np.int32)
+        for a in range(0, len(x), 8192):
+            s = x[a : a + 8192] @ self.tops.T
+            best = np.argpartition(-s, entries - 1, axis=1)[:, :entries]
+            first[a : a + 8192] = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
+        order = np.lexsort(first.T[::-1])
+        for a in range(0, len(x), TOGETHER):
+            at = order[a : a + TOGETHER]
+            ids[at], sim[at] = self._search(x[at], first[at], n)
+        return ids, sim
+
+    def _search(self, x: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Beam search of the graph from the lists of the best entry points, of all rows together, until every list of every row's beam has been expanded.
+
+        A list is looked at once, by all rows, so the search ends after as many steps as there are lists, whatever ties there are.
+        One that is in no beam when it is looked at never will be: a beam's least similarity only rises.
+        The graph may fall apart: where fewer than n lists were reached, further entry points are taken, and in the end every list.
+        """
         beam = min(len(self.leaves), max(BEAM, n + n // 4))
-        step = max(1, STEP // (max(EXPAND, beam // 8) * self.graph.shape[1]))
-        parts = [self._search(x[a : a + step], n, beam) for a in range(0, len(x), step)]
-        if not parts:
-            return np.empty((0, n), np.int32), np.empty((0, n), np.float32)
-        return np.concatenate([i for i, _ in parts]), np.concatenate([s for _, s in parts])
+        best = np.full((len(x), beam), -9, np.float32)
+        seen, lists, sims = np.zeros(len(self.leaves), bool), [], []
 
-    def _search(self, x: np.ndarray, n: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search of the graph from the lists of the best entry points, until every list of the beam has been expanded.
+        def unseen(near: np.ndarray) -> np.ndarray:
+            there = np.zeros(len(seen), bool)
+            there[near] = True
+            return np.flatnonzero(there & ~seen)
 
-        The graph may fall apart: a row that reached fewer than n lists takes further entry points, and in the end every list.
-        """
-        rows_all, wide = len(x), max(EXPAND, beam // 8)
-        ids, sim, open_ = np.full((rows_all, beam), -1, np.int32), np.full((rows_all, beam), -9, np.float32), np.zeros((rows_all, beam), bool)
-        order = np.argsort(-(x @ self.tops.T), axis=1, kind="stable")
-
-        def insert(rows: np.ndarray, new: np.ndarray) -> None:
-            """The beam's best of what it holds and ``new``; a list dropped before is worse than all it holds."""
-            both = np.concatenate([ids[rows], new], 1)
-            at = np.argsort(both, axis=1, kind="stable")
-            ranked = np.take_along_axis(both, at, 1)
-            again = np.zeros(both.shape, bool)
-            again[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
-            twice = np.empty(both.shape, bool)
-            np.put_along_axis(twice, at, again, 1)
-            fresh = ~twice[:, beam:]
-            i, j = np.nonzero(fresh)
-            got = np.full(new.shape, -9, np.float32)
-            got[i, j] = np.einsum("ij,ij->i", x[rows[i]], self.leaves[new[i, j]])
-            sims = np.concatenate([sim[rows], got], 1)
-            keep = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
-            sim[rows] = np.take_along_axis(sims, keep, 1)
-            open_[rows] = np.take_along_axis(np.concatenate([open_[rows], fresh], 1), keep, 1)
-            ids[rows] = np.where(sim[rows] > -9, np.take_along_axis(both, keep, 1), -1)
-
-        used = min(ENTRIES, len(self.tops))
-        rows = np.arange(rows_all)
-        insert(rows, self.entry[order[:, :used]].reshape(rows_all, -1))
+        new, more = unseen(self.entry[first]), None
         while True:
-            while len(rows):
-                waiting = np.where(open_[rows], sim[rows], -9)
-                best = np.argpartition(-waiting, min(wide, beam) - 1, axis=1)[:, :wide]
-                there = np.take_along_axis(waiting, best, 1) > -9
-                some = there.any(1)
-                rows, best, there = rows[some], best[some], there[some]
-                if len(rows):
-                    # rows with fewer open lists expand one of them again, which adds nothing
-                    one = best[np.arange(len(rows)), there.argmax(1)][:, None]
-                    best = np.where(there, best, one)
-                    open_[rows[:, None], best] = False
-                    insert(rows, self.graph[ids[rows[:, None], best]].reshape(len(rows), -1))
-            rows = np.flatnonzero((sim > -9).sum(1) < n)
-            if not len(rows):
+            while len(new):
+                seen[new] = True
+                s = x @ self.leaves[new].T
+                lists.append(new)
+                sims.append(s)
+                best = np.partition(np.concatenate([best, s], 1), len(new), axis=1)[:, len(new) :]
+                new = unseen(self.graph[new[(s >= best.min(1)[:, None]).any(0)]])
+            if sum(map(len, lists)) >= n:
                 break
-            if used < len(self.tops):
-                insert(rows, self.entry[order[rows, used]])
-                used += 1
-            else:
-                for a in range(0, len(self.leaves), 4096):
-                    every = np.arange(a, min(len(self.leaves), a + 4096), dtype=np.int32)
-                    insert(rows, np.tile(every, (len(rows), 1)))
-        at = np.argsort(-sim, axis=1, kind="stable")[:, :n]
-        return np.take_along_axis(ids, at, 1), np.take_along_axis(sim, at, 1)
+            more = iter(np.argsort(-(self.tops @ x.sum(0)), kind="stable")) if more is None else more
+            top = next(more, None)
+            new = np.flatnonzero(~seen) if top is None else unseen(self.entry[top])
+        every, s = np.concatenate(lists), np.concatenate(sims, 1)
+        row, col = np.divmod(np.flatnonzero(s >= np.partition(best, beam - n, axis=1)[:, beam - n, None]), len(every))
+        got = s[row, col]
+        at = np.lexsort((every[col], -got, row))
+        # of lists as similar as the n-th those of the least numbers
+        at = at[np.arange(len(at)) - np.searchsorted(row[at], row[at]) < n]
+        return every[col[at]].reshape(-1, n), got[at].reshape(-1, n)
 
 
 def nearest_top(x: np.ndarray, tops: np.ndarray) -> np.ndarray:
@@ -217,20 +204,39 @@ def fit(units: DataFrame, count: int, list_size: int = 256, max_lists: int = 262
     return Centroids.of(leaf[np.lexsort(leaf.T[:2])], tops)
 
 
-def assign(units: DataFrame, centroids: Centroids, replicas: int, ratio: float, dims: int = DIMS) -> DataFrame:
-    """(list, nth, key, v): each vector in the lists whose squared distance is at most ``ratio`` times the least one; ``nth``: 0 for its nearest."""
+def placed(units: DataFrame, centroids: Centroids, replicas: int, ratio: float, dims: int = DIMS) -> DataFrame:
+    """(key, v, lists): the lists whose squared distance is at most ``ratio`` times the least one, nearest first; a vector is held once."""
+    # what is found of the gathered rows is bounded too
+    many = max(1024, min(GATHERED, (1 << 22) // max(1, replicas)))
+
+    def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, sim = centroids.nearest(_matrix(rows.column(1), dims), replicas)
+        for a in range(0, rows.num_rows, 1024):
+            d = 2 - 2 * sim[a : a + 1024]
+            near = d <= ratio * np.maximum(d[:, :1], 1e-6)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], near.sum(1).cumsum()]), pa.int32()), pa.array(ids[a : a + 1024][near], pa.int32()))
+            part = rows.slice(a, 1024).combine_chunks()
+            yield pa.RecordBatch.from_arrays([part.column(0).chunk(0), part.column(1).chunk(0), lists], names=["key", "v", "lists"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                x = _matrix(part.column(1), dims)
-                ids, sim = centroids.nearest(x, replicas)
-                d = 2 - 2 * sim
-                row, col = np.nonzero((d <= ratio * np.maximum(d[:, :1], 1e-6)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col], pa.int32()), pa.array(col, pa.int32()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "nth", "key", "v"])
+                held.append(batch.slice(a, 1024))
+                n += held[-1].num_rows
+                if n >= many:
+                    yield from search(pa.Table.from_batches(held))
+                    held, n = [], 0
+        if held:
+            yield from search(pa.Table.from_batches(held))
+
+    return units.select("key", "v").mapInArrow(run, "key string, v binary, lists array<int>")
+
 
-    return units.select("key", "v").mapInArrow(run, "list int, nth int, key string, v binary")
+def assign(placed: DataFrame) -> DataFrame:
+    """(list, nth, key, v): a row for each list of a vector; ``nth``: 0 for its nearest."""
+    return placed.select("key", "v", F.posexplode("lists").alias("nth", "list"))
 
 
 def classes(units: DataFrame) -> DataFrame:
@@ -258,8 +264,7 @@ def similar_pairs(
     units, reps, count = _prepared(vectors, dims)
     if count == 0:
         return units.select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0.0).alias("similarity"))
-    lists = assign(reps, fit(reps, count, list_size, dims=dims, **fitting), replicas, ratio, dims)
-    lists = write_stage(lists, "lists")
+    lists = assign(write_stage(placed(reps, fit(reps, count, list_size, dims=dims, **fitting), replicas, ratio, dims), "lists"))
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # a list of b blocks: block pairs i <= j, each row sent to the b pairs that hold its block
     rows = lists.join(F.broadcast(sizes), "list").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -371,8 +376,8 @@ def top_k(
     copies = write_stage(classes(units), "classes")
     asked = copies if queries is None else copies.join(queries.select("key").where("key IS NOT NULL").distinct(), "key", "left_semi")
     q = reps.join(asked.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
-    stored = write_stage(assign(reps, centroids, replicas, ratio, dims), "stored")
-    probes = write_stage(assign(q, centroids, max(first, int(np.ceil(len(centroids.leaves) ** probe_power))), probe_ratio, dims), "probes")
+    stored = assign(write_stage(placed(reps, centroids, replicas, ratio, dims), "stored"))
+    probes = assign(write_stage(placed(q, centroids, max(first, int(np.ceil(len(centroids.leaves) ** probe_power))), probe_ratio, dims), "probes"))
     one = _compare(stored, probes.where(F.col("nth") < first).withColumn("least", F.lit(-2.0)), k, block, dims).groupBy("rep", "near").agg(F.max("similarity").alias("similarity"))
     ranked: Callable[[DataFrame], DataFrame] = lambda d: d.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "near"))).where(F.col("n") <= k)
     one = write_stage(ranked(one), "first")

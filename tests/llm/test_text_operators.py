@@ -1,6 +1,7 @@
 """Leakage, mixing, reading level, neighbours: small fixtures, brute force and held-out accuracy."""
 
 import random
+import signal
 
 import numpy as np
 import pytest
@@ -254,6 +255,29 @@ def test_graph_search_reaches_as_many_lists_as_asked_at_every_size(lists, n, mon
     assert np.mean([len(set(a) & set(b)) / n for a, b in zip(ids, true)]) > 0.95
 
 
+@pytest.mark.parametrize("n", [6, 90])
+def test_graph_search_ends_where_lists_are_equally_similar(n):
+    """Centroids as similar to a row as the last of its beam: none of them may be taken up again and again."""
+    rng = np.random.default_rng(4)
+    few = rng.normal(size=(3, 64)).astype(np.float32)
+    few /= np.linalg.norm(few, axis=1, keepdims=True)
+    c = neighbours.Centroids.of(np.repeat(few, [150, 150, 20], axis=0), few)
+    # near centroids of equal ones, in both directions
+    c.graph = rng.integers(0, len(c.leaves), c.graph.shape).astype(np.int32)
+
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        ids, sim = c.nearest(few[[0, 1, 2, 0]], n)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert all(len(set(r)) == n for r in ids.tolist()) and (np.diff(sim, axis=1) <= 0).all() and sim[0].min() > 0.999
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 @pytest.mark.parametrize("lists", [1299, 1300, 4096, 8192])
 def test_recall_of_probed_lists_with_the_graph(lists, clustered):
