@@ -32,7 +32,7 @@ from ..session import write_stage
 DIMS = 64
 GRAPH = 24
 #: least width of the beam, entry points of a search, lists of an entry point
-BEAM, ENTRIES, ENTRY = 24, 6, 16
+BEAM, ENTRIES, ENTRY = 48, 6, 16
 #: rows that are searched together, and rows gathered of which those near each other are
 TOGETHER, GATHERED = 128, 1 << 15
 
